@@ -58,3 +58,15 @@ def with_clash_free(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def ship_by_value() -> None:
+    """Send this subpackage's functions to Python workers whole, so that executors need no copy of it."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
+
+ship_by_value()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality_rules, sharding
+from . import chat, decontaminate, mixing, quality_rules, sharding
 
-MODULES = (sharding, quality_rules, mixing, chat)
+MODULES = (sharding, quality_rules, decontaminate, mixing, chat)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
