@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, mixing, quality_rules, sharding
+from . import chat, decontaminate, language_id, mixing, quality_rules, sharding, toxicity
 
-MODULES = (sharding, quality_rules, decontaminate, language_id, mixing, chat)
+MODULES = (sharding, toxicity, quality_rules, decontaminate, language_id, mixing, chat)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
