@@ -28,7 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, materialize, table, text_key
@@ -185,20 +185,19 @@ def _digest(items: set) -> str:
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _judge(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    """The whole result, if the benchmark is one block."""
+def _judge(batches: Iterator[pa.RecordBatch], index: Index, first: int) -> Iterator[pa.RecordBatch]:
+    """The columns from ``first`` on and the whole result, if the benchmark is one block."""
     for rows, counts, starts, hit, items in _spans(batches, index):
         n_hit = np.add.reduceat(hit.astype(np.int64), starts[:-1])
         columns = [
-            *[rows.column(i) for i in range(rows.num_columns) if i != 1],
+            *rows.columns[first:],
             pa.array(counts.astype(np.int64)),
             pa.array(n_hit),
             pa.array([len(items[i]) if i in items else 0 for i in range(len(counts))], pa.int64()),
             pa.array([_digest(items.get(i, set())) for i in range(len(counts))]),
             pa.array(n_hit > 0),
         ]
-        names = [n for i, n in enumerate(rows.schema.names) if i != 1]
-        yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names[first:], "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def _mark(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
@@ -241,23 +240,33 @@ def _broadcast_index(docs: DataFrame, items: list):
     return spark.sparkContext.broadcast(index)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``keep`` columns, n_words, n_hit, n_items, items_sha256 and contaminated, a row for each document."""
-    names = [f"k{i}" for i in range(len(keep))]
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS, prefix: str = "") -> DataFrame:
+    """``keep`` columns, n_words, n_hit, n_items, items_sha256 and contaminated, a row for each document.
+
+    ``prefix`` goes before the names of what is found.
+    """
     # Kept columns travel under other names, so none can clash with a result's.
-    renamed = [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]
+    others = [c for c in keep if c != "text"]
+    names = [f"k{i}" for i in range(len(others))]
+    renamed = [F.col(c).alias(n) for c, n in zip(others, names, strict=True)]
     found = list(blocks(benchmark, block_words))
-    types = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True))
     if len(found) == 1:
         index = _broadcast_index(docs, found[0])
-        first, *others = renamed
-        out = docs.select(first, "text", *others).mapInArrow(lambda b: _judge(b, index.value), f"{types}, {RESULT}")
+        types = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(others, names, strict=True))
+        first = 1 if "text" in keep else 2
+        out = docs.select(F.lit(0).alias("row"), "text", *renamed).mapInArrow(lambda b: _judge(b, index.value, first), f"{'text string, ' if first == 1 else ''}{types}{RESULT}")
     else:
         out = _merge(docs, renamed, names, found)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *[c.split()[0] for c in RESULT.split(", ")])
+    kept = [F.col("text") if c == "text" else F.col(names[others.index(c)]).alias(c) for c in keep]
+    return out.select(*kept, *[F.col(c.split()[0]).alias(prefix + c.split()[0]) for c in RESULT.split(", ")])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that hold no window of the benchmark."""
+    return find_contamination(docs, benchmark, tuple(docs.columns), prefix="__").where("NOT __contaminated").select(*docs.columns)
 
 
-def _merge(docs: DataFrame, renamed: list, names: list[str], found: list) -> DataFrame:
+def _merge(docs: DataFrame, renamed: list[Column], names: list[str], found: list) -> DataFrame:
     """Several blocks: each marks the texts it hits; the marks meet at the text's key."""
     marks = None
     for block in found:
@@ -266,11 +275,11 @@ def _merge(docs: DataFrame, renamed: list, names: list[str], found: list) -> Dat
         part = materialize(part.groupBy("key").agg(F.first("at").alias("at"), F.first("items").alias("items")), "leak-block")
         marks = part if marks is None else marks.unionByName(part)
     marks = marks.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    counted = docs.select(*renamed, text_key(F.col("text")).alias("key"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+    counted = docs.select(*renamed, "text", text_key(F.col("text")).alias("key"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
     n_hit = F.coalesce(F.size("at"), F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return counted.join(marks, "key", "left").select(
-        *names, "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        *names, "text", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 

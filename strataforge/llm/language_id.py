@@ -210,7 +210,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Filter | None:
     return Filter(names, np.array(grams, np.int64)[by].view(np.uint64), np.array(masks, np.uint64).reshape(len(grams), -1)[by])
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Filter | None) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Filter | None, first: int) -> Iterator[pa.RecordBatch]:
+    """Columns of the batch from ``first`` on (the text is column 0), the language and the score."""
     for batch in batches:
         n = batch.num_rows
         seen = np.zeros(n, np.int64)
@@ -225,18 +226,25 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Filter | None) -> Iterato
             best, score = model.decide(seen, hits)
             langs = [x if s else "und" for x, s in zip(best, seen, strict=True)]
             score = np.where(seen > 0, score, 0.0)
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(langs), pa.array(score)], [*batch.schema.names[first:], "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, model: Filter | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred and score."""
-    names = [f"k{i}" for i in range(len(keep))]
-    types = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(keep, names, strict=True))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select("text", *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]).mapInArrow(
-        lambda b: _predict(b, shared.value), f"{types}lang_pred string, score double"
+def predict(docs: DataFrame, model: Filter | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns, and the language and score under ``names``."""
+    others = [c for c in keep if c != "text"]
+    types = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(others))
+    shared, first = docs.sparkSession.sparkContext.broadcast(model), 0 if "text" in keep else 1
+    out = docs.select("text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(others)]).mapInArrow(
+        lambda b: _predict(b, shared.value, first), f"{'' if first else 'text string, '}{types}lang_pred string, score double"
     )
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "lang_pred", "score")
+    kept = [F.col("text") if c == "text" else F.col(f"k{others.index(c)}").alias(c) for c in keep]
+    return out.select(*kept, F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
+
+
+def accept(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, whose language is told with at least ``min_score``."""
+    found = predict(docs, train(docs), tuple(docs.columns), ("__lang", "__score"))
+    return found.where(F.col("__lang") != "und").where(F.col("__score") >= min_score).select(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

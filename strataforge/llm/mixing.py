@@ -19,7 +19,7 @@ sorted, so a leaf with a third of all rows costs no more than others.
 Defined results: null domain, language or source is the node ``none``; a null or
 empty text has no tokens and is taken with its leaf's prefix like any other;
 repeated rows (same id, same text) are taken or left together; an empty table
-gives no rows. Extra columns may be carried with ``keep``. Word counts are
+gives no rows. Other columns are ignored, or carried by ``mixed``. Word counts are
 words ``[^\\x20\\x09-\\x0D]+``.
 """
 
@@ -56,6 +56,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def order_key(seed: int) -> Column:
+    """Where the seed puts a document in its leaf; rows of one id and text share a place."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def _weight(level: str, weights: dict) -> Column:
     named = [x for k, v in weights.get(level, {}).items() for x in (F.lit(k), F.lit(v))]
     return F.coalesce(F.create_map(*named)[F.col(level)], F.lit(DEFAULT_WEIGHT)).cast("long") if named else F.lit(DEFAULT_WEIGHT).cast("long")
@@ -95,24 +100,19 @@ def mix(
     weights: dict = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
-    keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """Documents taken, with ``n_copies``: whole epochs, and one more for those in the prefix.
 
     ``df`` has doc_id, text, lang and source; ``budget`` in words, or a share of all.
+    Texts are read once, for their length and key, and not carried along.
     """
-    # A result column must not meet one of the input by the same name.
-    kept = [c for c in keep if c not in (*LEVELS, "doc_id", "n_tokens", "n_copies")]
-    named = F.struct(*[F.col(c) for c in kept]) if kept else F.lit(None).cast("string")
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
     rows = df.select(
         "doc_id",
         domain_of(F.col("source")).alias("domain"),
         F.coalesce("lang", F.lit("none")).alias("lang"),
         F.coalesce("source", F.lit("none")).alias("source"),
         n_words(F.col("text")).alias("n_tokens"),
-        order.alias("order_key"),
-        named.alias("carried"),
+        order_key(seed).alias("order_key"),
     )
     rows = materialize(rows, "mix-rows")
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows")), "mix-leaves")
@@ -145,12 +145,19 @@ def mix(
         .withColumn("n_copies", F.col("epochs") + F.coalesce(F.col("inside") | F.col("within"), F.col("inside"), F.col("within"), F.lit(False)).cast("long"))
         .where("n_copies > 0")
     )
-    more = [F.col(f"carried.`{c}`").alias(c) for c in kept]
-    return taken.select("doc_id", *LEVELS, "n_tokens", "n_copies", *more)
+    return taken.select("doc_id", *LEVELS, "n_tokens", "n_copies", "order_key")
+
+
+def mixed(df: DataFrame, **options) -> DataFrame:
+    """The rows of ``df`` that are taken, each as often as it is, with all their columns."""
+    key, seed = "__order", options.get("seed", SEED)
+    taken = mix(df, **options).groupBy(F.col("order_key").alias(key)).agg(F.max("n_copies").alias("__copies"))
+    rows = df.withColumn(key, order_key(seed)).join(taken, key)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*df.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("order_key")
 
 
 def _sql() -> str:
