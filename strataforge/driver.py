@@ -232,10 +232,10 @@ def e_schema_models(spark, sf_dir):
 
 U_SQL = "(SELECT p_partkey::VARCHAR AS id, p_brand AS file_path, p_name AS name, CASE p_size % 3 WHEN 0 THEN 'FUNCTION' WHEN 1 THEN 'METHOD' ELSE 'CLASS' END AS unit_type, p_size AS line_start, p_size + 10 AS line_end, CASE WHEN p_size % 4 <> 0 THEN concat('(', p_type, ')') END AS signature, p_size % 2 = 0 AS is_exported, CASE WHEN p_size % 5 = 0 THEN 'python' ELSE 'typescript' END AS language, p_size::DOUBLE AS complexity_score, p_partkey AS seq FROM part)"
 P_TYPE = "CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'API_ENDPOINT' WHEN 'RF' THEN 'DATABASE_READ' WHEN 'NF' THEN 'DATABASE_WRITE' WHEN 'NO' THEN 'EXTERNAL_SERVICE' WHEN 'AO' THEN 'API_CALL' ELSE 'ENV_VARIABLE' END"
-P_SQL = f"(SELECT concat(l_orderkey, '-', l_linenumber) AS id, l_partkey::VARCHAR AS code_unit_id, {P_TYPE} AS pattern_type, concat(CASE l_linenumber % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END, ' /', l_suppkey) AS pattern_value, l_linenumber AS line_number, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_linenumber <= 3)"
-D_SQL = "(SELECT DISTINCT a.p_brand AS source_file, b.p_brand AS target_file FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 2 WHERE a.p_size <= 6)"
+P_SQL = f"(SELECT concat(l_orderkey, '-', l_linenumber) AS id, l_partkey::VARCHAR AS code_unit_id, {P_TYPE} AS pattern_type, concat(CASE l_linenumber % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END, ' /', l_suppkey) AS pattern_value, l_linenumber AS line_number, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)"
+D_SQL = "(SELECT DISTINCT a.p_brand AS source_file, b.p_brand AS target_file FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 2)"
 E_SQL = "(SELECT event_id::VARCHAR AS id, (user_id % 400)::VARCHAR AS code_unit_id, event_type AS event_name, CASE WHEN event_id % 2 = 0 THEN 'emit' ELSE 'subscribe' END AS direction, CASE WHEN event_id % 3 = 0 THEN 'rxjs' ELSE 'node-events' END AS framework, (event_id % 50)::INT AS line_number FROM events)"
-CALL_SQL = f"(SELECT concat(l_orderkey, '-', l_linenumber) AS id, l_partkey::VARCHAR AS caller_unit_id, CASE l_linenumber % 3 WHEN 2 THEN p_name WHEN 1 THEN concat('this.x.', p_name) ELSE concat('new ', p_name) END AS callee_name, l_linenumber AS line_number, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN part ON p_partkey = l_suppkey % {N} WHERE l_linenumber <= 2)"
+CALL_SQL = f"(SELECT concat(l_orderkey, '-', l_linenumber) AS id, l_partkey::VARCHAR AS caller_unit_id, CASE l_linenumber % 3 WHEN 2 THEN p_name WHEN 1 THEN concat('this.x.', p_name) ELSE concat('new ', p_name) END AS callee_name, l_linenumber AS line_number, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN part ON p_partkey = l_suppkey % {N})"
 
 
 def empty(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
@@ -253,14 +253,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         "p_size + 10 AS line_end", "CASE WHEN p_size % 4 <> 0 THEN concat('(', p_type, ')') END AS signature", "false AS is_async", "p_size % 2 = 0 AS is_exported",
         "CASE WHEN p_size % 5 = 0 THEN 'python' ELSE 'typescript' END AS language", "cast(p_size AS double) AS complexity_score", "p_partkey AS seq",
     )
-    pats = item.where("l_linenumber <= 3").selectExpr(
+    pats = item.selectExpr(
         "concat(l_orderkey, '-', l_linenumber) AS id", "cast(l_partkey AS string) AS code_unit_id", f"{P_TYPE} AS pattern_type",
         "concat(CASE l_linenumber % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END, ' /', l_suppkey) AS pattern_value", "l_linenumber AS line_number", "l_orderkey * 10 + l_linenumber AS seq",
     )
-    half = part.select(F.expr("p_partkey DIV 2").alias("h"), F.col("p_brand").alias("source_file"), "p_size").where("p_size <= 6")
+    half = part.select(F.expr("p_partkey DIV 2").alias("h"), F.col("p_brand").alias("source_file"))
     deps = half.join(part.select(F.col("p_partkey").alias("h"), F.col("p_brand").alias("target_file")), "h").select("source_file", "target_file").distinct()
     n = part.agg(F.count("*").alias("n"))
-    calls = item.where("l_linenumber <= 2").crossJoin(F.broadcast(n)).withColumn("p_partkey", F.col("l_suppkey") % F.col("n")).join(part.select("p_partkey", "p_name"), "p_partkey").selectExpr(
+    calls = item.crossJoin(F.broadcast(n)).withColumn("p_partkey", F.col("l_suppkey") % F.col("n")).join(part.select("p_partkey", "p_name"), "p_partkey").selectExpr(
         "concat(l_orderkey, '-', l_linenumber) AS id", "cast(l_partkey AS string) AS caller_unit_id",
         "CASE l_linenumber % 3 WHEN 2 THEN p_name WHEN 1 THEN concat('this.x.', p_name) ELSE concat('new ', p_name) END AS callee_name", "l_linenumber AS line_number", "l_orderkey * 10 + l_linenumber AS seq",
     )
@@ -325,13 +325,13 @@ def d_closure_dependents(spark, sf_dir):
     return graph.closure(back, spark.createDataFrame([(5,), (17,)], "start long"), 4)
 
 
-@query("""WITH RECURSIVE e AS (SELECT concat('c', c_custkey) AS a, concat('n', c_nationkey) AS b FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation WHERE n_nationkey % 2 = 0),
+@query("""WITH RECURSIVE e AS (SELECT concat('c', c_custkey) AS a, concat('n', c_nationkey) AS b FROM customer UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation),
   s AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
   r AS (SELECT a AS node, a AS x FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.x)
   SELECT node, min(x) AS component FROM r GROUP BY node""")
 def d_components(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").where("c_custkey % 4 = 0").selectExpr("concat('c', c_custkey) AS src", "concat('n', c_nationkey) AS dst")
-    n = t(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").selectExpr("concat('n', n_nationkey) AS src", "concat('r', n_regionkey) AS dst")
+    c = t(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS src", "concat('n', c_nationkey) AS dst")
+    n = t(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey) AS src", "concat('r', n_regionkey) AS dst")
     return graph.components(c.unionByName(n))
 
 
@@ -617,10 +617,10 @@ def q19_imported_by(spark, sf_dir):
     return tools.implementation_context(template_catalog(spark, sf_dir), file_path="Brand#22").parts["imported_by"].select("source_file")
 
 
-@query("SELECT concat('tests/m', k % 10, '/part', k, '.test.ts') AS file_path, (k % 3)::BIGINT AS test_count FROM (SELECT 20::BIGINT AS k)")
+@query("SELECT concat('tests/m', k % 10, '/part', k, '.test.ts') AS file_path, (k % 3)::BIGINT AS test_count FROM (SELECT p_partkey AS k FROM part)")
 def q20_test_structure(spark, sf_dir):
     text = F.expr(r"concat('import { x } from ''y'';\ndescribe(''d'', () => {\n  beforeEach(() => {});\n', repeat('  it(''w'', () => {});\n', cast(k % 3 AS int)), '});')")
-    files = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).where("k = 20").select(F.expr("concat('tests/m', k % 10, '/part', k, '.test.ts')").alias("file_path"), text.alias("content"))
+    files = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select(F.expr("concat('tests/m', k % 10, '/part', k, '.test.ts')").alias("file_path"), text.alias("content"))
     return units.test_structure(files).select("file_path", "test_count")
 
 
@@ -642,10 +642,10 @@ def r01_tokens(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", lines.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("""WITH x AS (SELECT text FROM documents WHERE doc_id = 7), l AS (SELECT unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_number FROM x)
-  SELECT line_number, line FROM (SELECT *, sum(length(line) + 1) OVER (ORDER BY line_number) AS used FROM l) WHERE used <= 400 * 4 + 1""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_number FROM documents)
+  SELECT doc_id AS key, line_number, line FROM (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_number) AS used FROM l) WHERE used <= 400 * 4 + 1""")
 def r03_truncate(spark, sf_dir):
-    return reports.truncate(t(spark, sf_dir, "documents").where("doc_id = 7").select(F.col("text").alias("content")), 400)
+    return reports.truncate(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content")), 400)
 
 
 @query("""WITH RECURSIVE s AS (SELECT p_partkey AS seq, p_size * 4 // 4 AS tokens, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS i FROM part),

@@ -30,9 +30,9 @@ def budgets(total: int = TOTAL_TOKENS) -> dict[str, int]:
 
 
 def truncate(text: DataFrame, max_tokens: int) -> DataFrame:
-    """(line_number, line) of the longest run of whole lines within the budget; ``text`` has one row."""
-    line = text.select(F.posexplode(F.split("content", "\n", -1)).alias("line_number", "line"))
-    used = F.sum(F.length("line") + 1).over(Window.orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0))
+    """(key, line_number, line) of each text's (key, content) longest run of whole lines within the budget."""
+    line = text.select("key", F.posexplode(F.split("content", "\n", -1)).alias("line_number", "line"))
+    used = F.sum(F.length("line") + 1).over(Window.partitionBy("key").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0))
     return line.withColumn("used", used).where(F.col("used") <= max_tokens * 4 + 1).drop("used")
 
 
