@@ -31,10 +31,11 @@ ENV_EXAMPLES = (
 )
 
 
-def read_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, root: str, pattern: str | None = None, hidden: bool = True) -> DataFrame:
     """Files under ``root`` as (file_path, content, seq, sha256, language).
 
     ``pattern`` is a file name glob. Directories named .git and node_modules are left out.
+    ``hidden`` adds the files that Spark's readers skip, which lists the whole tree on the driver.
     """
     reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
     raw = reader.text(root, wholetext=True, recursiveFileLookup=True)
@@ -42,7 +43,7 @@ def read_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
     path = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"\A[a-z0-9]+:(//[^/]*)?(?=/)", "")
     local = F.expr(f"substring(p, locate('{base.lstrip('/')}', p) + {len(base.lstrip('/'))})")
     files = raw.select(path.alias("p"), F.col("value").alias("content")).select(local.alias("file_path"), "content")
-    if pattern is None:
+    if hidden and pattern is None:
         files = files.unionByName(hidden_files(spark, root))
     return with_file_columns(files.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(F.lit(".git"), F.lit("node_modules")))))
 
