@@ -9,11 +9,13 @@ agree in a component with the probability Jaccard similarity of the documents.
 
 Signatures are cut into bands; documents that share a band are candidates. They
 are verified exactly, from their texts. Equal texts are one node from the start.
-No bucket emits all its pairs. A bucket's members meet its pivot (its least
-node); links found merge classes, and only buckets that still hold several
-classes go on with more pivots, a pivot leaving its buckets once all others have
-met it. So every candidate pair is either verified or already in one class, and
-no link is lost, while a group of copies costs about one comparison each.
+No bucket emits all its pairs. A band's members meet its pivot,
+and links found merge classes, so a group of copies costs about one comparison
+each. Members of bands that still hold several classes, such as texts with a
+passage in common, go through an exact filter: similar texts share one of their
+rarest shingles, so these become their buckets, with pivots again, until every
+pair is compared, in one class, or five standard deviations below the threshold by
+its signatures. So no candidate link is lost.
 
 Defined results: texts without words (null, empty) are each a class of their own;
 ``class_id`` is the least doc_id of the class, null if none has an id; repeated
@@ -31,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, materialize, table, text_key
+from .common import SHINGLE_WORDS, SIMILARITY, discard, materialize, table, text_key
 
-#: 40 bands of 6 components: a pair at 0.8 is missed five times in a million.
-BANDS, ROWS = 40, 6
+#: 56 bands of 8 components: a pair at 0.8 is missed three times in a hundred thousand.
+BANDS, ROWS = 56, 8
 SIZE = BANDS * ROWS
+WORDS = SIZE // 16
 #: Shingles handled at once in a task, and members a task compares with one pivot.
 CHUNK = 1 << 18
 HUB = 512
@@ -118,6 +121,12 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each component, sixteen to a word."""
+    bits = (mix(signature) >> np.uint64(60)).reshape(len(signature), WORDS, 16)
+    return np.bitwise_or.reduce(bits << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two sorted (shingle, count) pairs: the sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -147,10 +156,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK, side="right")) - 1)
             starts = offsets[begin : end + 1]
             doc, shingle, count = shingles(words[starts[0] : starts[-1]], starts - starts[0])
-            bands = band_hashes(signatures(doc, shingle, count, end - begin)).view(np.int64)
+            signature = signatures(doc, shingle, count, end - begin)
             some = np.flatnonzero(np.diff(starts) > 0)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands[some].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin).take(pa.array(some)), flat], ["key", "bands"])
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[some].view(np.int64).ravel()))
+                for x in (band_hashes(signature), sketch(signature))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin).take(pa.array(some)), *lists], ["key", "bands", "sketch"])
             begin = end
 
 
@@ -187,27 +199,33 @@ def merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (node, label) after the edges (a, b) merge classes; a class is named by its least node.
 
     Works on the classes that edges touch only: rounds of least-neighbour labels,
-    each followed by a jump to the label's own label.
+    each followed by a jump to the label's own label. The old labels are deleted.
     """
     left = labels.withColumnsRenamed({"node": "a", "label": "la"})
     right = labels.withColumnsRenamed({"node": "b", "label": "lb"})
     links = edges.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("x"), F.col("lb").alias("y")).distinct()
     links = materialize(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "dup-links")
     if links.isEmpty():
+        discard(links)
         return labels
     roots = links.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("root"))
+    roots = materialize(roots, "dup-roots")
     while True:
-        roots = materialize(roots, "dup-roots")
         up = roots.select(F.col("x").alias("r"), F.col("root").alias("up"))
         jumped = roots.join(up, roots["root"] == up["r"], "left").select("x", F.least("root", F.coalesce("up", "root")).alias("root"))
         near = links.join(jumped.select(F.col("x").alias("y"), F.col("root").alias("n")), "y").groupBy("x").agg(F.min("n").alias("n"))
         new = materialize(jumped.join(near, "x").join(roots.withColumnRenamed("root", "old"), "x").select("x", F.least("root", "n").alias("root"), "old"), "dup-roots")
         changed = not new.where("root <> old").isEmpty()
-        roots = new.select("x", "root")
+        discard(roots)
         if not changed:
             break
+        roots = new.select("x", "root")
+        roots.written_to = new.written_to
+    roots = new.select("x", "root")
     moved = labels.join(roots.withColumnsRenamed({"x": "label", "root": "new"}), "label", "left")
-    return materialize(moved.select("node", F.coalesce("new", "label").alias("label")), "dup-labels")
+    out = materialize(moved.select("node", F.coalesce("new", "label").alias("label")), "dup-labels")
+    discard(links, new, labels)
+    return out
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -217,43 +235,147 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(found, "dup-texts")
 
 
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, words) to a row for each shingle: node, shingle, and its part of the text's shingles."""
+    for batch in batches:
+        words, offsets = _flat(batch.column(1))
+        nodes = np.asarray(batch.column(0))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK, side="right")) - 1)
+            starts = offsets[begin : end + 1]
+            doc, shingle, count = shingles(words[starts[0] : starts[-1]], starts - starts[0])
+            total = np.bincount(doc, count, end - begin)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[begin:end][doc]), pa.array(shingle.view(np.int64)), pa.array(count / total[doc])], ["node", "shingle", "part"])
+            begin = end
+
+
+def rare_prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node, n, gap): the rarest shingles of each text (node, text), while the part before them may go unshared.
+
+    If parts s and r of two texts are not shared, their similarity is at most
+    1 / (1 + s / (1 - s) + r / (1 - r)). In the order of rarity, all before the first
+    common shingle is unshared, so similar texts have a common shingle whose gaps,
+    before / (1 - before), add up to at most 1 / threshold - 1. Shingles of a single text are
+    unshared from the start: a text with too many has no partner, and most end there.
+    """
+    def weighed(rows: DataFrame) -> DataFrame:
+        return rows.select("node", word_hashes(F.col("text")).alias("words")).mapInArrow(_weigh, "node long, shingle long, part double")
+
+    spare = 1 - threshold + 1e-9
+    counts = materialize(weighed(texts).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("part").alias("part")), "dup-rarity")
+    alone = counts.where("n = 1").groupBy("node").agg(F.sum("part").alias("alone"))
+    rest = texts.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0.0))).where(F.col("alone") <= spare)
+    rest = materialize(rest, "dup-open-texts")
+    shared = weighed(rest).join(counts.where("n > 1").select("shingle", "n"), "shingle").join(rest.select("node", "alone"), "node")
+    earlier = Window.partitionBy("node").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("alone") + F.coalesce(F.sum("part").over(earlier), F.lit(0.0))
+    prefix = shared.withColumn("before", before).where(F.col("before") <= spare)
+    return prefix.select(F.col("shingle").alias("bucket"), "node", "n", (F.col("before") / (1 - F.col("before"))).alias("gap"))
+
+
+def crowded(each: DataFrame) -> DataFrame:
+    """Of rows (bucket, node, gap) those whose bucket has others, with ``rank``: how many in all share the node's buckets."""
+    some = materialize(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "dup-buckets")
+    members = materialize(each.join(some, "bucket"), "dup-members")
+    rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
+    out = materialize(members.drop("n").join(rank, "node"), "dup-ranked")
+    discard(some, members)
+    return out
+
+
+def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their labels, of buckets that hold several classes."""
+    now = members.join(labels, "node")
+    several = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return materialize(now.join(several, "bucket"), "dup-mixed")
+
+
+def too_different(threshold: float) -> Column:
+    """Whether two sketches (k0 .., pivot_k0 ..) agree so rarely that their texts can't be similar.
+
+    The share of equal components estimates the similarity; the bound lies five standard
+    deviations below the threshold, which a similar pair misses three times in ten million.
+    """
+    nibbles = F.lit(0x1111111111111111)
+    equal = F.lit(0)
+    for i in range(WORDS):
+        x = F.col(f"k{i}").bitwiseXOR(F.col(f"pivot_k{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        equal = equal + (16 - F.bit_count(x.bitwiseAND(nibbles)))
+    # Equal by chance, one in sixteen, counts too.
+    p = threshold + (1 - threshold) / 16
+    return equal < int(SIZE * p - 5 * (SIZE * p * (1 - p)) ** 0.5)
+
+
+def link(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, sketches: DataFrame | None = None) -> DataFrame:
+    """labels after members (bucket, node, gap, rank) have met their buckets' pivots.
+
+    A pivot is the member with most company, so that the original of many copies
+    comes first. Without ``sketches`` there is one round; with them (node, prefix, k0 ..) each
+    round has eight times the pivots a bucket, and a pivot leaves when it has met all
+    others of other classes, so at the end every pair is compared, in one class, or known
+    to be too different.
+    """
+    pivots_per_bucket, step, used = 1, 0, ()
+    most = 1 / threshold - 1 + 1e-6
+    while True:
+        now = mixed(members, labels)
+        discard(*used)
+        if now.isEmpty():
+            break
+        salt = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(pivots_per_bucket))
+        first = F.max(F.struct("rank", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), F.col("gap").alias("pivot_gap"))).alias("p")
+        pivots = materialize(now.groupBy("bucket", salt.alias("salt")).agg(first).select("bucket", "p.*").drop("rank"), "dup-pivots")
+        may = (F.col("label") != F.col("pivot_label")) & (F.col("gap") + F.col("pivot_gap") <= most)
+        if sketches is None:
+            near, hubs = now, pivots
+        else:
+            # Words that can't be null keep the compiled condition short enough for the JVM to optimise.
+            word = lambda i: F.coalesce(f"k{i}", F.lit(0).cast("long"))
+            near = now.join(sketches, "node").select(*now.columns, "prefix", *[word(i).alias(f"k{i}") for i in range(WORDS)])
+            hubs = pivots.join(sketches.withColumnRenamed("node", "pivot"), "pivot").select(*pivots.columns, F.col("prefix").alias("pivot_prefix"), *[word(i).alias(f"pivot_k{i}") for i in range(WORDS)])
+            # A pair meets once, in the bucket of its rarest common shingle.
+            may = may & ~too_different(threshold) & (F.get(F.array_intersect("prefix", "pivot_prefix"), F.lit(0)) == near["bucket"])
+        met = near.join(hubs, (near["bucket"] == hubs["bucket"]) & may).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+        met = materialize(met.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))), "dup-pairs")
+        # Who shares most buckets is likeliest the same: one comparison each settles most classes ...
+        labels = _merged(met.where("i = 1").select("a", "b"), labels, texts, threshold)
+        # ... and only pairs still in two classes need one more.
+        labels = _merged(met.where("i > 1").select("a", "b"), labels, texts, threshold)
+        discard(met)
+        if sketches is None:
+            discard(now, pivots)
+            break
+        members = now.select("bucket", "node", "gap", "rank").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+        step, pivots_per_bucket, used = step + 1, pivots_per_bucket * 8, (now, pivots)
+    return labels
+
+
 def node_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """key, label: the class of each distinct text with words."""
     keyed = docs.where("text IS NOT NULL").select(text_key(F.col("text")).alias("key"), word_hashes(F.col("text")).alias("words"))
-    signed = materialize(keyed.mapInArrow(_sign, "key binary, bands array<long>"), "dup-signed")
-    nodes = signed.groupBy("key").agg(F.first("bands").alias("bands"))
+    signed = materialize(keyed.mapInArrow(_sign, "key binary, bands array<long>, sketch array<long>"), "dup-signed")
+    nodes = signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # Numbers are fixed once written.
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
-    each = nodes.select("node", F.explode("bands").alias("band"))
-    crowded = materialize(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "dup-bands")
-    members = materialize(each.join(crowded, "band"), "dup-members")
+    members = crowded(nodes.select("node", F.explode("bands").alias("bucket"), F.lit(0.0).alias("gap")))
     labels = materialize(members.select("node").distinct().withColumn("label", F.col("node")), "dup-labels")
     texts = _texts_of(docs, labels.join(nodes, "node").select("node", "key"))
-    done, pivots_per_bucket, step = None, 1, 0
-    while True:
-        now = members.join(labels, "node")
-        if step:
-            mixed = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-            now = now.join(mixed, "band")
-        now = materialize(now, "dup-members")
-        if now.isEmpty():
-            break
-        salt = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(pivots_per_bucket))
-        pivots = materialize(now.groupBy("band", salt.alias("salt")).agg(F.min("node").alias("pivot")).select("band", "pivot"), "dup-pivots")
-        met = now.join(pivots, "band").where("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-        met = met.groupBy("a", "b").agg(F.count("*").alias("n"))
-        if done is not None:
-            met = met.join(done, ["a", "b"], "left_anti")
-        met = materialize(met, "dup-pairs")
-        # Who shares most bands is likeliest the same: one comparison each settles most classes ...
-        best = met.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("i = 1").select("a", "b")
-        labels = merge(labels, _found(_open(best, labels), texts, threshold))
-        # ... and only pairs still in two classes need one more.
-        labels = merge(labels, _found(_open(met.join(best, ["a", "b"], "left_anti"), labels), texts, threshold))
-        pairs = met.select("a", "b")
-        done = pairs if done is None else done.unionByName(pairs)
-        members = now.select("band", "node").join(pivots.withColumnRenamed("pivot", "node"), ["band", "node"], "left_anti")
-        step, pivots_per_bucket = step + 1, pivots_per_bucket * 8
+    labels = link(members, labels, texts, threshold)
+    # Candidates that met no common pivot, such as texts that share a passage, are told
+    # apart by their rarest shingles, exactly and without meeting each other.
+    left = mixed(members, labels)
+    rest = materialize(texts.join(left.select("node").distinct(), "node"), "dup-rest")
+    discard(left, members)
+    prefixes = materialize(rare_prefixes(rest, threshold), "dup-prefixes")
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("n", "bucket"))), lambda x: x["bucket"])
+    own = prefixes.groupBy("node").agg(rarest.alias("prefix"))
+    sketches = nodes.select("node", *[F.get("sketch", F.lit(i)).alias(f"k{i}") for i in range(WORDS)]).join(own, "node")
+    rare = crowded(prefixes.drop("n"))
+    labels = link(rare, labels, texts, threshold, materialize(sketches, "dup-sketches"))
+    discard(rest, prefixes, rare, texts)
     return nodes.select("node", "key").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
 
 
@@ -263,8 +385,13 @@ def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
 
 
-def _found(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    return materialize(verify(materialize(pairs, "dup-open"), texts, threshold), "dup-edges")
+def _merged(pairs: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """labels after those of the pairs that are not in one class yet are verified."""
+    todo = materialize(_open(pairs, labels), "dup-open")
+    edges = materialize(verify(todo, texts, threshold), "dup-edges")
+    out = merge(labels, edges)
+    discard(todo, edges)
+    return out
 
 
 def order_of(doc_id: Column, text: Column) -> Column:
