@@ -339,15 +339,16 @@ def link(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: flo
             # A pair meets once, in the bucket of its rarest common shingle.
             may = may & ~too_different(threshold) & (F.get(F.array_intersect("prefix", "pivot_prefix"), F.lit(0)) == near["bucket"])
         met = near.join(hubs, (near["bucket"] == hubs["bucket"]) & may).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-        met = materialize(met.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))), "dup-pairs")
-        # Who shares most buckets is likeliest the same: one comparison each settles most classes ...
-        labels = _merged(met.where("i = 1").select("a", "b"), labels, texts, threshold)
-        # ... and only pairs still in two classes need one more.
-        labels = _merged(met.where("i > 1").select("a", "b"), labels, texts, threshold)
-        discard(met)
         if sketches is None:
-            discard(now, pivots)
+            met = materialize(met.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))), "dup-pairs")
+            # Who shares most buckets is likeliest the same: one comparison each settles most classes ...
+            before, labels = labels, _merged(met.where("i = 1").select("a", "b"), labels, texts, threshold)
+            # ... and only pairs still in two classes need one more.
+            rest = met.where("i > 1").select("a", "b")
+            labels = _merged(rest if labels is before else _open(rest, labels), labels, texts, threshold)
+            discard(met, now, pivots)
             break
+        labels = _merged(met.select("a", "b"), labels, texts, threshold)
         members = now.select("bucket", "node", "gap", "rank").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
         step, pivots_per_bucket, used = step + 1, pivots_per_bucket * 8, (now, pivots)
     return labels
@@ -386,8 +387,8 @@ def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _merged(pairs: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """labels after those of the pairs that are not in one class yet are verified."""
-    todo = materialize(_open(pairs, labels), "dup-open")
+    """labels after the pairs are verified."""
+    todo = materialize(pairs, "dup-open")
     edges = materialize(verify(todo, texts, threshold), "dup-edges")
     out = merge(labels, edges)
     discard(todo, edges)
