@@ -402,16 +402,19 @@ def order_of(doc_id: Column, text: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, key, ord, class_id, class_ord, n_class: one row for each document.
+    """doc_id, key, ord, class_id, class_ord, class_key, n_class: one row for each document.
 
-    A document is its class's representative where ``ord`` is ``class_ord``.
+    A document is its class's representative where ``ord`` is ``class_ord``. Classes can have
+    the same least document id; ``class_key``, the least text of that id, tells them apart. It
+    is null for texts without words.
     """
     classes = materialize(node_classes(docs, threshold), "dup-classes")
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), order_of(F.col("doc_id"), F.col("text")).alias("ord"))
     rows = materialize(rows, "dup-rows")
     # Rows, then texts, then classes: each minimum shrinks its input before it is shuffled.
     by_text = rows.groupBy("key").agg(F.min("ord").alias("o"), F.min("doc_id").alias("d"), F.count("*").alias("n")).join(classes, "key")
-    by_class = by_text.groupBy("label").agg(F.min("o").alias("class_ord"), F.min("d").alias("class_id"), F.sum("n").alias("n_class"))
+    by_class = by_text.groupBy("label").agg(F.min(F.struct("o", "key")).alias("m"), F.min("d").alias("class_id"), F.sum("n").alias("n_class"))
+    by_class = by_class.select("label", F.col("m.o").alias("class_ord"), F.col("m.key").alias("class_key"), "class_id", "n_class")
     of_text = materialize(by_text.select("key", "label").join(by_class, "label").drop("label"), "dup-of-text")
     out = rows.join(of_text, "key", "left")
     alone = F.col("class_ord").isNull()
@@ -419,17 +422,18 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         "doc_id", "key", "ord",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_ord", "ord").alias("class_ord"),
+        "class_key",
         F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"),
     )
 
 
 def representatives(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One document of each class, the one with the least id, with all its columns."""
-    found = near_duplicates(docs, threshold).where("ord = class_ord").select(F.col("key").alias("__key"), F.col("ord").alias("__ord"), F.col("class_ord").alias("__class")).distinct()
-    # Equal rows of one class: the least text stays.
-    one = found.groupBy("__class", "__ord").agg(F.min("__key").alias("__key")).select("__ord", "__key")
+    """One document of each class, the one with the least id, with all its columns; all texts without words."""
+    # Of several texts of one class under its least id the least stays.
+    one = near_duplicates(docs, threshold).where("ord = class_ord AND key = class_key").select(F.col("key").alias("__key"), F.col("ord").alias("__ord")).distinct()
     own = docs.withColumns({"__ord": order_of(F.col("doc_id"), F.col("text")), "__key": text_key(F.col("text"))})
-    return own.join(one, ["__ord", "__key"]).dropDuplicates(["__ord", "__key"]).select(*docs.columns)
+    kept = own.join(one, ["__ord", "__key"]).dropDuplicates(["__ord", "__key"]).select(*docs.columns)
+    return kept.unionByName(docs.where(F.size(word_hashes(F.col("text"))) == 0))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,18 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dup.representatives(docs(spark, [(1, None), (2, "")])).count() == 2
 
 
+def test_different_texts_under_one_id_stay(spark):
+    rng = random.Random(12)
+    texts = [babble(rng, 60) for _ in range(9)]
+    near = texts[0] + " more"
+    rows = [(7, t) for t in texts] + [(7, near), (7, texts[1]), (8, texts[2]), (9, near), (7, None), (7, "--"), (7, "--")]
+    kept = near_dup.representatives(docs(spark, rows).repartition(3)).collect()
+    assert {r["doc_id"] for r in kept} == {7}
+    assert sum(r["text"] in (texts[0], near) for r in kept) == 1
+    assert sorted(r["text"] for r in kept if r["text"] in texts[1:]) == sorted(texts[1:])
+    assert Counter(r["text"] for r in kept if r["text"] in (None, "--")) == {None: 1, "--": 2}
+
+
 # ------------------------------------------------------------------ op10
 
 
