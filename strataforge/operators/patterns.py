@@ -33,6 +33,9 @@ VERBS = "get|post|put|patch|delete"
 UPPER = "GET|POST|PUT|PATCH|DELETE"
 TITLE = "Get|Post|Put|Patch|Delete"
 
+#: Characters before and after the start of a database match that its columns are read from.
+LEAD, WINDOW = 10, 500
+
 # fixed values: what is recognised, by language, and the text recorded for it
 RULES = (
     Rule(JS, "API_ENDPOINT", rf"{B}(?:app|router|server|fastify|hono)\.({VERBS})\s*\(\s*{Q}", "{1:u} {2}"),
@@ -155,19 +158,33 @@ def next_route(path: Column) -> Column:
     return F.when(inner != "", F.regexp_replace(inner, r"\[\[?\.\.\.[^\]]+\]\]?", "*"))
 
 
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def _matches(text: str, rule: Rule, number: int) -> Column:
-    """Matches as structs: value, line within the text, order."""
+    """Matches as structs: value, line within the text, order, and for database rules the code from 10 characters before to 500 after the start."""
     import re
 
     n = re.compile(re.sub(r"\(\?[is]+\)|\(\?m\)", "", rule.pattern)).groups
     cols = [F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(min(g, n))).alias(f"g{g}") for g in (0, 1, 2)]
-    # Lines come from the text before each match: split at matches, count line breaks so far.
-    breaks = F.transform(F.split(F.col(text), rule.pattern, -1), lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit(""))))
-    found = F.arrays_zip(*cols, F.transform(cols[0], lambda m: F.length(m) - F.length(F.replace(m, F.lit("\n"), F.lit("")))).alias("nl"))
-    line = lambda i: F.aggregate(F.slice(breaks, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)
-    return F.transform(found, lambda m, i: F.struct(
-        F.lit(rule.kind).alias("pattern_type"), _value(m, rule).alias("pattern_value"), (line(i) + 1).cast("int").alias("line_number"), (F.lit(number * 100_000) + i).cast("long").alias("ord")
-    ))
+    # Places come from the text around the matches: split there, add up the pieces and matches before each.
+    pieces = F.transform(F.split(F.col(text), rule.pattern, -1), lambda s: F.struct(F.length(s).alias("n"), _breaks(s).alias("nl")))
+    found = F.arrays_zip(*cols, F.transform(cols[0], lambda m: F.struct(F.length(m).alias("n"), _breaks(m).alias("nl"))).alias("own"), pieces.alias("piece"))
+    before = lambda i, x: F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, m: a + m["piece"][x] + m["own"][x])
+    database = rule.kind.startswith("DATABASE_")
+
+    def one(m: Column, i: Column) -> Column:
+        offset = before(i, "n") + m["piece"]["n"]
+        lead = F.least(offset, F.lit(LEAD))
+        code = F.struct(lead.alias("lead"), F.substring(F.col(text), offset - lead + 1, lead + WINDOW).alias("text"))
+        return F.struct(
+            F.lit(rule.kind).alias("pattern_type"), _value(m, rule).alias("pattern_value"), (before(i, "nl") + m["piece"]["nl"] + 1).cast("int").alias("line_number"),
+            (F.lit(number * 100_000) + i).cast("long").alias("ord"), (code if database else F.lit(None).cast("struct<lead:int,text:string>")).alias("code"),
+        )
+
+    # The last piece follows the last match.
+    return F.transform(F.slice(found, F.lit(1), F.size(cols[0])), one)
 
 
 def detect(bodies: DataFrame, key: str = "unit_id", text: str = "body", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -179,16 +196,17 @@ def detect(bodies: DataFrame, key: str = "unit_id", text: str = "body", rules: t
     for language in EVERY:
         own = [_matches(text, r, i) for i, r in enumerate(rules) if language in r.languages]
         if own:
-            rows = bodies.where(F.col("language") == language).select(key, "file_path", text, F.explode(F.concat(*own)).alias("x"))
-            by_language.append(rows.select(key, "file_path", text, "x.*"))
+            rows = bodies.where(F.col("language") == language).select(key, "file_path", F.explode(F.concat(*own)).alias("x"))
+            by_language.append(rows.select(key, "file_path", "x.*"))
     rows = by_language[0]
     for more in by_language[1:]:
         rows = rows.unionByName(more)
     bare = F.col("pattern_value").isin(*UPPER.split("|")) & (F.col("pattern_type") == "API_ENDPOINT") & next_route(F.col("file_path")).isNotNull()
     rows = rows.withColumn("pattern_value", F.when(bare, F.concat_ws(" ", "pattern_value", next_route(F.col("file_path")))).otherwise(F.col("pattern_value")))
-    first = rows.groupBy(key, "pattern_type", "pattern_value").agg(F.min(F.struct("ord", "line_number", text)).alias("m"))
-    around = F.substring(F.array_join(F.slice(F.split(F.col(f"m.{text}"), "\n", -1), F.col("m.line_number"), F.lit(12)), "\n"), 1, 500)
-    access = F.when(F.col("pattern_value").startswith("prisma."), prisma_columns(around)).otherwise(sql_columns(around))
+    first = rows.groupBy(key, "pattern_type", "pattern_value").agg(F.min(F.struct("ord", "line_number", "code")).alias("m"))
+    code = F.col("m.code.text")
+    # A statement starts at its match; the lead would show the end of the one before.
+    access = F.when(F.col("pattern_value").startswith("prisma."), prisma_columns(code)).otherwise(sql_columns(F.substring(code, F.col("m.code.lead") + 1, F.lit(WINDOW))))
     access = F.when(F.col("pattern_type").isin("DATABASE_READ", "DATABASE_WRITE"), access)
     return first.select(key, "pattern_type", "pattern_value", F.col("m.line_number").alias("line_number"), F.col("m.ord").alias("ord"), access.alias("column_access"))
 

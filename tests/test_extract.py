@@ -78,6 +78,23 @@ def test_patterns(spark):
     assert rows["prisma.user.update"]["column_access"].asDict() == {"read": ["id"], "write": ["name"]}
 
 
+DATABASE_RULES = tuple(r for r in patterns.RULES if r.kind.startswith("DATABASE") and "typescript" in r.languages)
+
+
+def test_columns_are_read_around_the_match(spark):
+    keys = [f"k{i}" for i in range(20)]
+    block = "prisma.user.create({\n data: {\n" + "".join(f"  {k}: {k[1:]},\n" for k in keys) + " }\n})"
+    late = "x" * 700 + "; q('SELECT a FROM t'); q('SELECT b, c FROM u'); q('UPDATE v SET d = 1 WHERE e=1;UPDATE w SET f = 2 WHERE g = 1')"
+    lines_apart = "q('INSERT INTO\n\n p (h) VALUES (1)'); q('INSERT INTO r (i) VALUES (1)')"
+    rows = {r["pattern_value"]: r for r in patterns.detect(body(spark, "\n".join([block, late, "x" * 600, lines_apart])), rules=DATABASE_RULES).collect()}
+    got = {k: (r["column_access"]["read"], r["column_access"]["write"]) for k, r in rows.items()}
+    assert got == {
+        "prisma.user.create": (None, keys), "SELECT FROM t": (["a"], None), "SELECT FROM u": (["b", "c"], None), "UPDATE v": (["e"], ["d"]), "UPDATE w": (["g"], ["f"]),
+        "INSERT INTO p": (None, ["h"]), "INSERT INTO r": (None, ["i"]),
+    }
+    assert [rows[k]["line_number"] for k in ("prisma.user.create", "SELECT FROM u", "INSERT INTO p", "INSERT INTO r")] == [1, 25, 27, 29]
+
+
 @pytest.mark.parametrize(("path", "route"), [("app/api/users/route.ts", "/api/users"), ("src/app/api/x/[...all]/route.js", "/api/x/*"), ("lib/route.ts", None)])
 def test_routes(spark, path, route):
     assert spark.range(1).select(patterns.next_route(F.lit(path))).first()[0] == route
