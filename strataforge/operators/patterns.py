@@ -7,12 +7,14 @@ where a unit has the same type and value again.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import stable_id
+from ..schemas import ACCESS, stable_id
 from .lines import B, E, sql_columns
 
 
@@ -136,8 +138,6 @@ RULES = (
 
 def _value(match: Column, rule: Rule) -> Column:
     """The rule's template filled in from a struct of groups g1 and g2."""
-    import re
-
     parts = []
     for literal, group, form, default in re.findall(r"([^{}]*)(?:\{(\d)(?::(u|list))?(?:\|([^}]*))?\})?", rule.value):
         if literal:
@@ -164,8 +164,6 @@ def _breaks(text: Column) -> Column:
 
 def _matches(text: str, rule: Rule, number: int) -> Column:
     """Matches as structs: value, line within the text, order, and for database rules the code from 10 characters before to 500 after the start."""
-    import re
-
     n = re.compile(re.sub(r"\(\?[is]+\)|\(\?m\)", "", rule.pattern)).groups
     cols = [F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(min(g, n))).alias(f"g{g}") for g in (0, 1, 2)]
     # Places come from the text around the matches: split there, add up the pieces and matches before each.
@@ -206,24 +204,121 @@ def detect(bodies: DataFrame, key: str = "unit_id", text: str = "body", rules: t
     first = rows.groupBy(key, "pattern_type", "pattern_value").agg(F.min(F.struct("ord", "line_number", "code")).alias("m"))
     code = F.col("m.code.text")
     # A statement starts at its match; the lead would show the end of the one before.
-    access = F.when(F.col("pattern_value").startswith("prisma."), prisma_columns(code)).otherwise(sql_columns(F.substring(code, F.col("m.code.lead") + 1, F.lit(WINDOW))))
+    access = F.when(F.col("pattern_value").startswith("prisma."), prisma_columns(F.when(F.col("pattern_value").startswith("prisma."), F.col("m.code")))).otherwise(sql_columns(F.substring(code, F.col("m.code.lead") + 1, F.lit(WINDOW))))
     access = F.when(F.col("pattern_type").isin("DATABASE_READ", "DATABASE_WRITE"), access)
     return first.select(key, "pattern_type", "pattern_value", F.col("m.line_number").alias("line_number"), F.col("m.ord").alias("ord"), access.alias("column_access"))
 
 
+_PRISMA = re.compile(r"\.(\w+)\.(find(?:Many|(?:First|Unique)(?:OrThrow)?)|count|aggregate|create(?:Many)?|update(?:Many)?|delete(?:Many)?|upsert)\s*\(", re.A)
+_KEY = re.compile(r"[a-zA-Z_$][a-zA-Z0-9_$]*")
+_AFTER_KEY = re.compile(r"\s*(:|\s*[,}\n]|\Z)")
+_OPEN, _CLOSE, _QUOTES = "{([", "})]", "\"'`"
+
+
+def _past_string(code: str, i: int) -> int:
+    """The place after the string that starts at i; ${} in a template counts as part of it."""
+    quote, i = code[i], i + 1
+    while i < len(code):
+        if code[i] == "\\":
+            i += 2
+        elif code[i] == quote:
+            return i + 1
+        elif quote == "`" and code.startswith("${", i):
+            i, depth = i + 2, 1
+            while i < len(code) and depth:
+                depth += (code[i] == "{") - (code[i] == "}")
+                i += 1
+        else:
+            i += 1
+    return i
+
+
+def _inside(code: str, start: int, pair: str) -> str | None:
+    """What stands between the first bracket from start on, within 200 characters, and its partner."""
+    begin = code.find(pair[0], start, start + 200)
+    if begin < 0:
+        return None
+    i, depth = begin + 1, 1
+    while i < len(code):
+        if code[i] in _QUOTES:
+            i = _past_string(code, i)
+            continue
+        depth += (code[i] == pair[0]) - (code[i] == pair[1])
+        if not depth:
+            return code[begin + 1 : i]
+        i += 1
+    return None
+
+
+def _past_value(code: str, i: int) -> int:
+    """The place of the comma that ends the value at i, or the end."""
+    depth = 0
+    while i < len(code) and not (code[i] == "," and depth == 0):
+        if code[i] in _QUOTES:
+            i = _past_string(code, i)
+            continue
+        depth += (code[i] in _OPEN) - (code[i] in _CLOSE)
+        i += 1
+    return i
+
+
+def _top_keys(body: str) -> list[str]:
+    """The keys of an object literal's body, without those of objects in it and without spreads."""
+    keys, i = [], 0
+    while i < len(body):
+        if body[i] in _QUOTES:
+            i = _past_string(body, i)
+        elif body[i] in _OPEN or body.startswith("...", i):
+            i = _past_value(body, i)
+        elif key := _KEY.match(body, i):
+            i = key.end()
+            if after := _AFTER_KEY.match(body, i):
+                keys.append(key.group())
+                i = _past_value(body, after.end()) if after.group(1) == ":" else i
+            else:
+                i += 1
+        else:
+            i += 1
+    return [k for k in keys if k not in ("true", "false", "null", "undefined")]
+
+
+def _keys_of(literal: str, name: str) -> list[str]:
+    """Top-level keys of the object, or of the first in a list, that stands at the property ``name``."""
+    found = re.search(rf"(?:^|[,{{\s]){name}\s*:", literal)
+    value = _inside(literal, found.end(), "{}") if found else None
+    return [] if value is None else _top_keys(value)
+
+
+def prisma_access(code: str, lead: int) -> dict[str, list[str] | None] | None:
+    """E14 of the Prisma call that starts at ``lead``, by the rules of its method; None where they give nothing."""
+    call = _PRISMA.match(code, lead)
+    if call is None:
+        return None
+    method, star = call.group(2), ["*"]
+    reads = method.startswith(("find", "count", "aggregate"))
+    argument = (_inside(code, call.end() - 1, "()") or "").strip()
+    if not argument.startswith("{"):
+        return {"read": star, "write": None} if reads else {"read": None, "write": star}
+    keys = lambda name: _keys_of(argument, name)
+    if reads:
+        select = keys("select")
+        return {"read": list(dict.fromkeys(select + keys("where"))) if select else star, "write": None}
+    where = None if method.startswith("create") else keys("where") or None
+    if method.startswith("delete"):
+        return where and {"read": where, "write": None}
+    write = keys("create") + keys("update") if method == "upsert" else keys("data")
+    return {"read": where, "write": list(dict.fromkeys(write)) or star}
+
+
 def prisma_columns(code: Column) -> Column:
-    """E14 for Prisma calls: keys of select and where are read, of data, create and update written."""
-    def keys(*names: str) -> Column:
-        blocks = F.regexp_extract_all(code, F.lit(rf"(?s){B}(?:{'|'.join(names)})\s*:\s*\{{([^{{}}]*)\}}"), F.lit(1))
-        return F.array_distinct(F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*(?:[:,]|\s*\z)"), F.lit(1)))))
-
-    read, write = keys("select", "where"), keys("data", "create", "update")
-    writes = code.rlike(r"\.(create|createMany|update|updateMany|upsert)\s*\(")
-    some = lambda a: F.when(F.size(a) > 0, a)
-    star = F.array(F.lit("*"))
-    return F.struct(
-        F.when(writes, some(read)).otherwise(F.coalesce(some(read), star)).alias("read"), F.when(writes, F.coalesce(some(write), star)).alias("write")
-    )
+    """E14 for Prisma calls, from structs of ``text`` and ``lead``; null for null."""
+    @F.arrow_udf(ACCESS)
+    def access(codes: pa.Array) -> pa.Array:
+        found = [x and prisma_access(x["text"], x["lead"]) for x in codes.to_pylist()]
+        lists = pa.list_(pa.string())
+        return pa.array(found, pa.struct([("read", lists), ("write", lists)]))
+
+    return access(code)
 
 
 def unit_patterns(bodies: DataFrame, units: DataFrame) -> DataFrame:

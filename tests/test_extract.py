@@ -95,6 +95,29 @@ def test_columns_are_read_around_the_match(spark):
     assert [rows[k]["line_number"] for k in ("prisma.user.create", "SELECT FROM u", "INSERT INTO p", "INSERT INTO r")] == [1, 25, 27, 29]
 
 
+@pytest.mark.parametrize(("call", "read", "write"), [
+    ("create({ data: { name: x, profile: { create: { bio: y } } } })", None, ["name", "profile"]),
+    ("update({ where: { email: e, OR: [{ a: 1 }] }, data: { ...rest, n: `}${f({ q })}`, s: ')', t } })", ["email", "OR"], ["n", "s", "t"]),
+    ("createMany({ data: [{ a: 1, b: 2 }, { c: 3 }] })", None, ["a", "b"]),
+    ("upsert({ where: { id }, create: { a, b }, update: { b, c: true } })", ["id"], ["a", "b", "c"]),
+    ("findMany({ where: { a: 1 } })", ["*"], None),
+    ("findFirst({ select: { a: true, b: { select: { c: true } } }, where: { d: 1 } })", ["a", "b", "d"], None),
+    ("deleteMany({ where: { id: 1 } })", ["id"], None),
+    ("deleteMany()", None, ["*"]),
+    ("create(input)", None, ["*"]),
+    ("count()", ["*"], None),
+    ("create({ data: { a: '" + "x" * 500 + "' } })", None, ["*"]),
+])
+def test_prisma_columns_by_method(call, read, write):
+    assert patterns.prisma_access(f"db.{'user.'}{call}"[:502], 2) == {"read": read, "write": write}
+
+
+def test_prisma_columns_of_the_matched_call(spark):
+    text = "prisma.user.create({ data: { name: x, profile: { create: { bio: y } } } }); prisma.post.delete({ where: { id: 1 } }); prisma.tag.delete({})"
+    rows = {r["pattern_value"]: r["column_access"] for r in patterns.detect(body(spark, text), rules=DATABASE_RULES).collect()}
+    assert rows == {"prisma.user.create": (None, ["name", "profile"]), "prisma.post.delete": (["id"], None), "prisma.tag.delete": None}
+
+
 @pytest.mark.parametrize(("path", "route"), [("app/api/users/route.ts", "/api/users"), ("src/app/api/x/[...all]/route.js", "/api/x/*"), ("lib/route.ts", None)])
 def test_routes(spark, path, route):
     assert spark.range(1).select(patterns.next_route(F.lit(path))).first()[0] == route
