@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -252,30 +253,71 @@ def resolve_paths(paths: DataFrame, files: DataFrame) -> DataFrame:
     return there.groupBy("path").agg(F.min_by("file_path", "rank").alias("file_path"))
 
 
-def call_chain(calls: DataFrame, start: str, depth: int = 3, callers: bool = False) -> list[tuple[str, int]]:
-    """Units reached from ``start`` in depth-first order, each once, at most ``depth`` (1 to 10) calls away.
+class ChainCall(NamedTuple):
+    """A call in a chain: the unit reached, or for an unresolved callee only its name and file."""
 
-    The neighbourhood is bounded by a distributed closure first; the walk itself, whose
-    order decides which branch a shared unit belongs to, runs on those few edges.
+    unit_id: str | None
+    name: str | None
+    file_path: str | None
+    depth: int
+
+
+def trace_calls(calls: DataFrame, start: str, depth: int = 3, callers: bool = False, units: DataFrame | None = None) -> list[ChainCall]:
+    """What is reached from ``start`` in depth-first order, each once, at most ``depth`` (1 to 10) calls away.
+
+    Unresolved callees are leaves that go by their names. Callers are found by unit id and, with
+    ``units`` (id, name), by name, those by id first. The neighbourhood is bounded by a distributed
+    closure first; the walk itself, whose order decides which branch a shared unit belongs to,
+    runs on those few edges.
     """
     depth = max(1, min(10, depth))
-    edge = calls.where("callee_unit_id IS NOT NULL")
-    a, b = ("callee_unit_id", "caller_unit_id") if callers else ("caller_unit_id", "callee_unit_id")
-    edges = edge.select(F.col(a).alias("src"), F.col(b).alias("dst"), "seq")
     spark: SparkSession = calls.sparkSession
-    near = closure(edges.select("src", "dst").distinct(), spark.createDataFrame([(start,)], "start string"), depth)
-    inside = near.select(F.col("node").alias("src")).union(spark.createDataFrame([(start,)], "src string")).distinct()
-    after: dict[str, list[str]] = {}
-    for r in edges.join(inside, "src", "left_semi").orderBy("seq", "dst").toLocalIterator():
-        after.setdefault(r["src"], []).append(r["dst"])
+    for column in ("callee_name", "callee_file_path"):
+        if column not in calls.columns:
+            calls = calls.withColumn(column, F.lit(None).cast("string"))
+    # Units, and keys of what is called: a name stands for all its calls, so units and calls of one name aren't multiplied.
+    by_id, by_name = (lambda c: F.concat(F.lit("i"), c)), (lambda c: F.concat(F.lit("n"), c))
+    unit = lambda c: F.concat(F.lit("u"), c)
+    resolved = calls.where("callee_unit_id IS NOT NULL")
+    none = F.lit(None).cast("string")
+    if callers:
+        steps = resolved.select(by_id(F.col("callee_unit_id")).alias("src"), unit(F.col("caller_unit_id")).alias("dst"), none.alias("name"), none.alias("file"), "seq")
+        keys = resolved.select(unit(F.col("callee_unit_id")).alias("src"), by_id(F.col("callee_unit_id")).alias("dst"))
+        if units is not None:
+            named = units.where("name IS NOT NULL").select(unit(F.col("id")).alias("src"), by_name(F.col("name")).alias("dst"))
+            called = calls.where("callee_name IS NOT NULL").select(by_name(F.col("callee_name")).alias("src"), unit(F.col("caller_unit_id")).alias("dst"), none.alias("name"), none.alias("file"), "seq")
+            steps, keys = steps.unionByName(called), keys.unionByName(named)
+        keys = keys.distinct()
+    else:
+        callee = F.coalesce(unit(F.col("callee_unit_id")), by_name(F.col("callee_name")))
+        steps = calls.select(unit(F.col("caller_unit_id")).alias("src"), callee.alias("dst"), F.col("callee_name").alias("name"), F.col("callee_file_path").alias("file"), "seq")
+        keys = None
+    steps = steps.where("dst IS NOT NULL")
+    edges = steps.select("src", "dst") if keys is None else steps.select("src", "dst").unionByName(keys)
+    first = spark.createDataFrame([("u" + start,)], "start string")
+    near = closure(edges.distinct(), first, depth if keys is None else 2 * depth)
+    inside = settle(near.select(F.col("node").alias("src")).union(first.select(F.col("start").alias("src"))).distinct(), "chain")
+    after: dict[str, list[tuple]] = {}
+    for r in steps.join(inside, "src", "left_semi").orderBy("seq", "dst").toLocalIterator():
+        after.setdefault(r["src"], []).append((r["dst"], r["name"], r["file"]))
+    keys_of: dict[str, list[str]] = {}
+    for r in keys.join(inside, "src", "left_semi").orderBy("dst").toLocalIterator() if keys is not None else ():
+        keys_of.setdefault(r["src"], []).append(r["dst"])
+    # As in the system answered here, an unresolved name and a unit id share the record of what was visited.
     out, visited = [], {start}
 
     def visit(node: str, at: int) -> None:
-        for x in after.get(node, ()) if at < depth else ():
-            if x not in visited:
-                visited.add(x)
-                out.append((x, at + 1))
+        sources = [node] if keys is None else keys_of.get(node, ())
+        for x, name, file in [step for s in sources for step in after.get(s, ())] if at < depth else ():
+            if x[1:] not in visited:
+                visited.add(x[1:])
+                out.append(ChainCall(x[1:] if x[0] == "u" else None, name, file, at + 1))
                 visit(x, at + 1)
 
-    visit(start, 0)
+    visit("u" + start, 0)
     return out
+
+
+def call_chain(calls: DataFrame, start: str, depth: int = 3, callers: bool = False, units: DataFrame | None = None) -> list[tuple[str, int]]:
+    """D26 as (unit id, or the name of an unresolved callee, and depth)."""
+    return [(x.name if x.unit_id is None else x.unit_id, x.depth) for x in trace_calls(calls, start, depth, callers, units)]

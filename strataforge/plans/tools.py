@@ -197,11 +197,14 @@ def change_impact(c: Catalog, file_path=None, unit_id=None, function_name=None,
 
 
 def call_chain(c: Catalog, unit_id=None, function_name=None, direction: str = "callees", depth: int = 3) -> Result:
-    """Q11."""
+    """Q11: the units reached; the leaves whose call is not resolved are the part ``unresolved``, in one numbering."""
     start = _unit(c, unit_id, function_name)
-    walked = graph.call_chain(c["function_calls"], start["id"], depth, direction == "callers")
-    order = c.spark.createDataFrame([(x, d, i) for i, (x, d) in enumerate(walked)], "id string, depth int, position int")
-    return Result(order.join(c.units_flat.select("id", "name", "file_path", "line_start"), "id", "left").orderBy("position"))
+    walked = graph.trace_calls(c["function_calls"], start["id"], depth, direction == "callers", c.units_flat.select("id", "name"))
+    order = c.spark.createDataFrame([(x.unit_id, x.name, x.file_path, x.depth, i) for i, x in enumerate(walked)], "id string, callee_name string, callee_file_path string, depth int, position int")
+    leaves = order.where("id IS NULL").select("depth", "position", F.col("callee_name").alias("name"), F.col("callee_file_path").alias("file_path"))
+    reached = order.where("id IS NOT NULL").select("id", "depth", "position")
+    rows = reached.join(c.units_flat.select("id", "name", "file_path", "line_start"), "id", "left").orderBy("position")
+    return Result(rows, parts={"unresolved": leaves.orderBy("position")})
 
 
 def event_flow(c: Catalog, unit_id=None, event_name=None, direction=None, framework=None) -> Result:

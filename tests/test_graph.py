@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strataforge.catalog import Catalog
 from strataforge.operators import graph
+from strataforge.plans import tools
 
 
 def edges(spark, pairs):
@@ -69,6 +71,23 @@ def test_call_chain_visits_depth_first_once(spark):
     assert graph.call_chain(c, "d", 9, callers=True) == [("c", 1), ("b", 2), ("a", 3)]
 
 
+def test_call_chain_has_unresolved_calls(spark):
+    rows = [("a", "b", "fb", 1), ("a", None, "log", 2), ("b", None, "log", 3), ("b", None, "ext", 4), ("d", None, "fa", 5), ("e", "d", "fd", 6), ("f", None, "fd", 7)]
+    c = spark.createDataFrame(rows, "caller_unit_id string, callee_unit_id string, callee_name string, seq long")
+    units = spark.createDataFrame([(x, "f" + x) for x in "abdef"], "id string, name string")
+    assert graph.call_chain(c, "a", 3, units=units) == [("b", 1), ("log", 2), ("ext", 2)]
+    assert graph.call_chain(c, "a", 1, units=units) == [("b", 1), ("log", 1)]
+    assert graph.call_chain(c, "a", 3, callers=True, units=units) == [("d", 1), ("e", 2), ("f", 2)]
+    assert graph.call_chain(c, "a", 1, callers=True, units=units) == [("d", 1)]
+    assert [tuple(x) for x in graph.trace_calls(c, "b", 1, units=units)] == [(None, "log", None, 1), (None, "ext", None, 1)]
+    catalog = Catalog(spark, {"code_units": units.selectExpr("id", "name", "'x.ts' AS file_path", "1 AS line_start", "1L AS seq"), "function_calls": c})
+    found = tools.call(catalog, "trace_call_chain", unit_id="a")
+    assert [(r["name"], r["position"]) for r in found.rows.collect()] == [("fb", 0)]
+    assert [(r["name"], r["depth"], r["position"]) for r in found.parts["unresolved"].collect()] == [("log", 2, 1), ("ext", 2, 2)]
+    found = tools.call(catalog, "trace_call_chain", function_name="fa", direction="callers")
+    assert [(r["name"], r["depth"]) for r in found.rows.collect()] == [("fd", 1), ("fe", 2), ("ff", 2)]
+
+
 def test_order_of_rows_does_not_matter(spark):
     pairs = [("a", "b"), ("b", "a"), ("c", "d")]
     one = graph.components(edges(spark, pairs).coalesce(1)).orderBy("node").collect()
