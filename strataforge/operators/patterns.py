@@ -169,20 +169,22 @@ def _matches(text: str, rule: Rule, number: int) -> Column:
     # Places come from the text around the matches: split there, add up the pieces and matches before each.
     pieces = F.transform(F.split(F.col(text), rule.pattern, -1), lambda s: F.struct(F.length(s).alias("n"), _breaks(s).alias("nl")))
     found = F.arrays_zip(*cols, F.transform(cols[0], lambda m: F.struct(F.length(m).alias("n"), _breaks(m).alias("nl"))).alias("own"), pieces.alias("piece"))
-    before = lambda i, x: F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, m: a + m["piece"][x] + m["own"][x])
+    before = lambda every, i, x: F.aggregate(F.slice(every, F.lit(1), i), F.lit(0), lambda a, m: a + m["piece"][x] + m["own"][x])
     database = rule.kind.startswith("DATABASE_")
 
-    def one(m: Column, i: Column) -> Column:
-        offset = before(i, "n") + m["piece"]["n"]
+    def window(offset: Column) -> Column:
         lead = F.least(offset, F.lit(LEAD))
-        code = F.struct(lead.alias("lead"), F.substring(F.col(text), offset - lead + 1, lead + WINDOW).alias("text"))
+        return F.struct(lead.alias("lead"), F.substring(F.col(text), offset - lead + 1, lead + WINDOW).alias("text"))
+
+    def one(every: Column, m: Column, i: Column) -> Column:
+        code = F.transform(F.array(before(every, i, "n") + m["piece"]["n"]), window)[0]
         return F.struct(
-            F.lit(rule.kind).alias("pattern_type"), _value(m, rule).alias("pattern_value"), (before(i, "nl") + m["piece"]["nl"] + 1).cast("int").alias("line_number"),
+            F.lit(rule.kind).alias("pattern_type"), _value(m, rule).alias("pattern_value"), (before(every, i, "nl") + m["piece"]["nl"] + 1).cast("int").alias("line_number"),
             (F.lit(number * 100_000) + i).cast("long").alias("ord"), (code if database else F.lit(None).cast("struct<lead:int,text:string>")).alias("code"),
         )
 
-    # The last piece follows the last match.
-    return F.transform(F.slice(found, F.lit(1), F.size(cols[0])), one)
+    # The array of one has the expressions evaluated once a text; the last piece follows the last match.
+    return F.flatten(F.transform(F.array(found), lambda every: F.transform(F.slice(every, F.lit(1), F.size(every) - 1), lambda m, i: one(every, m, i))))
 
 
 def detect(bodies: DataFrame, key: str = "unit_id", text: str = "body", rules: tuple[Rule, ...] = RULES) -> DataFrame:
