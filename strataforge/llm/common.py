@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import sys
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables written by the operator that runs, if it tidies up.
+_WRITTEN: ContextVar[list | None] = ContextVar("written", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
+    """The folder all executors share, as the session names it."""
     conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="strataforge-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
+    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # One process on one machine: the warehouse is as durable as anything there.
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/.strataforge"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +48,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if (written := _WRITTEN.get()) is not None:
+        written.append(out)
     return out
 
 
@@ -52,6 +61,25 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is materialized: all other tables that it wrote are deleted when it returns."""
+
+    @wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        outer = _WRITTEN.set([])
+        out = None
+        try:
+            out = operator(*args, **options)
+            return out
+        finally:
+            discard(*[t for t in _WRITTEN.get() if t is not out])
+            _WRITTEN.reset(outer)
+            if out is not None and (written := _WRITTEN.get()) is not None:
+                written.append(out)
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value`` with ``value`` evaluated once, inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -70,12 +98,14 @@ def with_clash_free(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def ship_by_value() -> None:
-    """Send this subpackage's functions to Python workers whole, so that executors need no copy of it."""
-    import sys
+def sent(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast that workers open without a copy of this subpackage; open it once a task."""
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(box.value)
 
-    from pyspark import cloudpickle
 
+def ship_by_value() -> None:
+    """Send this subpackage's functions to Python workers whole, so that executors need no copy of it."""
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
