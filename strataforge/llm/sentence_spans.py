@@ -6,16 +6,19 @@ a passage of one or two long sentences counts as well. Runs meet by hash over
 the whole table; of equal runs the first, by document then position, stays, and
 the sentences covered by any other are removed.
 
-Runs travel as two 64-bit hashes and a document's order, once for each document.
+Runs travel as two 64-bit hashes and a document's place, once for each document.
 A run's first document is a minimum, so hot runs shrink before the shuffle, and
-only runs of several documents are joined back.
+only runs of several documents are joined back. A place is the document's id
+followed by 62 bits of a hash of its text, in one number, so texts that
+differ are documents of their own even where they share an id.
 
 Defined results: sentences end at ``.``, ``!`` or ``?`` before white space, or at line
 ends; they are compared lower-cased with white space collapsed; pieces without a
 word belong to the sentence before them. Null and empty texts have no sentences.
-Rows that share a ``doc_id`` count as one document. Null ids come after all
-others, in the order of a hash of their text, so equal texts without id count as
-one. Very long texts are taken whole. Other columns are ignored.
+Rows equal in ``doc_id`` and text count as one document; different texts under one
+id are different documents, in the order of a hash of their text, as are texts with a
+null id, which come after all others. Runs of fewer than ``MIN_RUN_WORDS`` words are never
+removed. Very long texts are taken whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,10 +69,11 @@ def runs(pieces: list[str]) -> list[tuple[str, int, int]]:
     return found
 
 
-def order_of(doc_id: Column, text: Column) -> Column:
-    """A document's place: its id, or for none a number above all usual ids."""
-    spread = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
-    return F.coalesce(doc_id.cast("long"), F.lit(1 << 62) + spread)
+def place_of(doc_id: Column, text: Column) -> Column:
+    """Where a document stands: by id, none last, then by its text's hash."""
+    own = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    first = F.coalesce(doc_id.cast("long"), F.lit(1 << 62) + own)
+    return (first.cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + own).cast("decimal(38,0)")
 
 
 SPANS = "n_sentences int, h1 array<long>, h2 array<long>, at array<int>, n array<int>, again array<int>"
@@ -104,18 +108,18 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, n_sentences and the sorted numbers of the sentences to remove."""
+    """doc_id, place, n_sentences and the sorted numbers of the sentences to remove."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spans = docs.select("text", "doc_id", order_of(F.col("doc_id"), F.col("text")).alias("ord")).mapInArrow(_hash, f"doc_id {id_type}, ord long, {SPANS}")
+    spans = docs.select("text", "doc_id", place_of(F.col("doc_id"), F.col("text")).alias("place")).mapInArrow(_hash, f"doc_id {id_type}, place decimal(38,0), {SPANS}")
     spans = materialize(spans, "spans")
-    each = spans.select("ord", F.explode(F.arrays_zip("h1", "h2", "at", "n")).alias("r")).select("ord", "r.*")
-    firsts = each.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("h1", "h2", "first")
+    each = spans.select("place", F.explode(F.arrays_zip("h1", "h2", "at", "n")).alias("r")).select("place", "r.*")
+    firsts = each.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("h1", "h2", "first")
     firsts = materialize(firsts, "span-firsts")
-    later = each.join(firsts, ["h1", "h2"]).where("ord <> first").select("ord", "at", "n")
-    covered = later.groupBy("ord").agg(F.collect_set(F.struct("at", "n")).alias("c"))
-    covered = covered.select("ord", F.flatten(F.transform("c", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))).alias("covered"))
+    later = each.join(firsts, ["h1", "h2"]).where("place <> first").select("place", "at", "n")
+    covered = later.groupBy("place").agg(F.collect_set(F.struct("at", "n")).alias("c"))
+    covered = covered.select("place", F.flatten(F.transform("c", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))).alias("covered"))
     removed = F.array_sort(F.array_distinct(F.concat("again", F.coalesce("covered", F.array().cast("array<int>")))))
-    return spans.select("doc_id", "ord", "n_sentences", "again").join(covered, "ord", "left").select("doc_id", "ord", "n_sentences", F.filter(removed, lambda i: i < F.col("n_sentences")).alias("removed"))
+    return spans.select("doc_id", "place", "n_sentences", "again").join(covered, "place", "left").select("doc_id", "place", "n_sentences", removed.alias("removed"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +133,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their text cut; other columns as they are."""
-    marks = repeated_sentences(docs).groupBy("ord").agg(F.first("removed").alias("__removed"))
+    # Rows of one place are equal in text, and so in what is removed.
+    marks = repeated_sentences(docs).where(F.size("removed") > 0).select(F.col("place").alias("__place"), F.col("removed").alias("__removed")).dropDuplicates(["__place"])
     names = [c for c in docs.columns if c != "text"]
-    with_marks = docs.withColumn("__ord", order_of(F.col("doc_id"), F.col("text"))).join(marks.withColumnRenamed("ord", "__ord"), "__ord", "left")
+    with_marks = docs.withColumn("__place", place_of(F.col("doc_id"), F.col("text"))).join(marks, "__place", "left")
     types = "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     out = with_marks.select("text", "__removed", *[F.col(c).alias(f"k{i}") for i, c in enumerate(names)]).mapInArrow(_cut, f"text string{types}")
     return out.select(*["text" if c == "text" else F.col(f"k{names.index(c)}").alias(c) for c in docs.columns])

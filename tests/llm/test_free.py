@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strataforge.llm import decontaminate, language_id, near_dup, sentence_spans, toxicity
@@ -290,6 +291,27 @@ def test_spans_match_brute_force(spark):
         assert clean[i] == ("".join(p for k, p in enumerate(sentence_spans.sentences(t)) if k not in want[i]) if want.get(i) else t)
 
 
+def test_texts_that_share_an_id_keep_their_own_sentences(spark):
+    rng = random.Random(16)
+    say = lambda n: [babble(rng, 12, 10**6) + ". " for _ in range(n)]
+    first, own, other, shared = say(4), say(3), say(3), say(3)
+    rows = [(1, "".join(first)), (2, "".join(first)), (2, "".join(own)), (2, "".join(own + shared)), (2, "".join(shared + other)), (2, "".join(own)), (None, "".join(first)), (None, "".join(other))]
+    # documents in order: by id, then by the hash of their text
+    place = lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), 42) & ((1 << 62) - 1))
+    seen, want = set(), {}
+    for r in sorted(set(rows), key=place):
+        pieces, gone = sentence_spans.sentences(r[1]), set()
+        for i in range(len(pieces) - 2):
+            run = tuple(p.strip() for p in pieces[i : i + 3])
+            if run in seen:
+                gone.update(range(i, i + 3))
+            seen.add(run)
+        want[r] = "".join(p for k, p in enumerate(pieces) if k not in gone)
+    got = Counter((r["doc_id"], r["text"]) for r in sentence_spans.remove_repeats(docs(spark, rows).repartition(4)).collect())
+    assert got == Counter((r[0], want[r]) for r in rows)
+    assert want[(2, "".join(first))] == "" and sum(s in "".join(t for _, t in got) for s in own + shared + other) == 9
+
+
 def test_sentences_join_to_the_text():
     for t in ("A b. C!  D?\n\nE", "  lead. x", "...", "a.b c", "x\n\n\ny. ", "日本。", "end."):
         assert "".join(sentence_spans.sentences(t)) == t
