@@ -11,8 +11,8 @@ lanes of 60 bits, so a long conversation can be cut into runs of ``RUN_TURNS``
 turn numbers whose sums are added up: no task needs a whole conversation, and
 none is collected except in pieces of at most ``RUN_TURNS`` turns.
 
-Defined results: turns are ordered by (turn, role, text), nulls first; null role
-and text count as empty; repeated rows are turns of their own; rows with a null
+Defined results: turns are ordered by (turn, role, text); those without a number come
+first, by a hash of role and text; null role and text count as empty; repeated rows are turns of their own; rows with a null
 ``conv_id`` belong to no conversation and are left out; an empty table gives no
 rows. A conversation of many turns is rendered in parts, numbered by ``part``,
 whose texts join to the whole. Other columns are ignored.
@@ -34,6 +34,12 @@ def _lane(first: int) -> Column:
     return F.conv(F.substring("digest", first, 15), 16, 10).cast("decimal(20,0)")
 
 
+def _spread() -> Column:
+    """Deals turns without a number to 4,096 runs."""
+    whole = F.md5(F.concat_ws("|", F.md5(F.coalesce("role", F.lit(""))), F.md5(F.coalesce("text", F.lit("")))))
+    return F.conv(F.substring(whole, 1, 3), 16, 10).cast("long")
+
+
 def turn_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, run, pos (from 1) and the prefix hash (h1, h2) at every turn."""
     t = turns.where("conv_id IS NOT NULL").select(
@@ -41,7 +47,7 @@ def turn_hashes(turns: DataFrame) -> DataFrame:
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.floor(F.col("turn") / RUN_TURNS), F.lit(-(1 << 62))).cast("long").alias("run"),
+        F.coalesce(F.floor(F.col("turn") / RUN_TURNS), F.lit(-(1 << 62)) + _spread()).cast("long").alias("run"),
     )
     run = ["conv_id", "run"]
     within = Window.partitionBy(*run).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
@@ -49,7 +55,8 @@ def turn_hashes(turns: DataFrame) -> DataFrame:
     offsets = t.groupBy(*run).agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
     t = t.withColumn("i", F.row_number().over(within)).join(offsets.select(*run, "offset"), run)
     t = t.withColumn("pos", F.col("i") + F.col("offset"))
-    t = t.withColumn("digest", F.md5(F.concat_ws("\x1f", F.col("pos").cast("string"), "role", "text")))
+    # Role and text are hashed apart: no text can look like the end of a role.
+    t = t.withColumn("digest", F.md5(F.concat_ws("|", F.col("pos").cast("string"), F.md5("role"), F.md5("text"))))
     t = t.select(*run, "turn", "role", "text", "pos", _lane(1).alias("a"), _lane(16).alias("b"))
     t = materialize(t, "chat-turns")
     sums = t.groupBy(*run).agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
@@ -93,11 +100,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "op8_chat": rf"""
     WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                                         CASE WHEN turn IS NULL THEN substr(md5(md5(coalesce(role, '')) || '|' || md5(coalesce(text, ''))), 1, 3) END, coalesce(role, ''), coalesce(text, '')) AS pos
                FROM conversations WHERE conv_id IS NOT NULL),
-    c AS (SELECT conv_id, list(role || chr(31) || text ORDER BY pos) AS turns, len(turns) AS n FROM t GROUP BY conv_id),
+    c AS (SELECT conv_id, list(md5(role) || md5(text) ORDER BY pos) AS turns, len(turns) AS n FROM t GROUP BY conv_id),
     u AS (SELECT turns, n, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns, n),
-    p AS (SELECT DISTINCT turns[1:k] AS turns FROM c, range(1, 10000) r(k) WHERE k < n),
+    p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM c)),
     kept AS (SELECT u.* FROM u ANTI JOIN p USING (turns))
     SELECT conv_id, (pos - 1) // {RUN_TURNS} AS part, any_value(n)::BIGINT AS n_turns, any_value(n_copies)::BIGINT AS n_copies,
            string_agg('{ROLE_OPEN}' || role || '{ROLE_CLOSE}' || text || '{END}', '' ORDER BY pos) AS text
