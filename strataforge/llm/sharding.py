@@ -15,7 +15,8 @@ Defined results: bytes are those of the UTF-8 text, none for null. A null
 ``doc_id`` hashes as the word ``null``. Rows that agree on their whole hash
 (repeated ids, null ids) can't be parted by bits: when such a group exceeds the
 limit it gets overflow pages: ``page`` numbers them, and each page fits the
-limit. A single document over the limit is a page of its own (``oversized``).
+limit; their numbers follow from sizes and texts alone. A single document over the
+limit is a page of its own (``oversized``).
 An empty table gives no rows. Other columns of the input may be carried with
 ``keep``; they must not be named like the result's columns.
 """
@@ -31,6 +32,7 @@ from .common import materialize, table
 
 #: Production limit of a shard, in bytes of text.
 SHARD_BYTES = 16 << 20
+SMALL_SHARD_BYTES = 32 << 10
 CELLS_PER_SHARD = 16
 STEP = 8
 #: Bits of the key hash, the leading 15 hexadecimal digits of an MD5.
@@ -71,6 +73,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
         *dict.fromkeys((key, *keep)),
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
         key_hash(F.col(key)).alias("key_bits"),
+        F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
     )
     rows = materialize(rows, "shard-rows")  # later passes read a few bytes a row, not the texts
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
@@ -93,34 +96,41 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
         rest = materialize(with_cell.join(split, "cell", "left_semi").drop("cell"), "shard-rest")
         low, high = high + 1, min(KEY_BITS, high + STEP)
     bits = F.substring(F.lpad(F.bin("key_bits"), KEY_BITS, "0"), F.lit(1), F.col("depth").cast("int"))
-    return done.withColumn("shard_bits", bits).drop("key_bits")
+    return done.withColumn("shard_bits", bits).drop("key_bits", "text_hash")
 
 
 def _pages(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """Overflow pages for rows of equal hashes.
+    """Overflow pages for rows of equal hashes, from texts and sizes alone.
 
     A page takes documents of one size class (up to limit / 1, / 2, / 4 ...), so a
-    page's count bounds its bytes and no running sum over the group is needed;
-    numbers come from row ids and block counts, both spread over tasks.
+    page's count bounds its bytes. Rows of a class are numbered in the order of their text's
+    hash; the numbers are sums of counts, by the hash's first digits, then by hash, then by
+    the task that read the rows, so no task counts a whole group. Rows of equal
+    text are told apart by the last only, so pages don't depend on how rows were dealt.
     """
-    rows = materialize(rows, "shard-same-key")
     size = F.greatest(F.col("n_bytes"), F.lit(1))
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double")))))).cast("long")
-    # Block: what one task read; a page never spans two blocks.
-    block = rows.withColumns({"per_page": per_page, "block": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
-    block = materialize(block, "shard-blocks")
-    chunk = F.floor(F.pmod(F.col("at"), F.lit(1 << 33)) / 4096).cast("long")
-    block = block.withColumn("chunk", chunk)
-    counts = block.groupBy("key_bits", "per_page", "block", "chunk").agg(F.count("*").alias("n"))
-    pages = counts.withColumn("pages", F.ceil(F.col("n") / F.col("per_page")).cast("long"))
-    before = Window.partitionBy("key_bits").orderBy("per_page", "block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    first = pages.withColumn("first", F.coalesce(F.sum("pages").over(before), F.lit(0)))
-    within = Window.partitionBy("key_bits", "per_page", "block", "chunk").orderBy("at")
-    numbered = block.withColumn("i", F.row_number().over(within) - 1).join(first.select("key_bits", "per_page", "block", "chunk", "first"), ["key_bits", "per_page", "block", "chunk"])
-    return numbered.select(
-        *[c for c in rows.columns],
+    rows = rows.withColumns({"per_page": per_page, "digits": F.substring("text_hash", 1, 4), "task": F.spark_partition_id()})
+    rows = materialize(rows, "shard-same-key")
+    levels = (["key_bits", "per_page", "digits"], ["key_bits", "per_page", "digits", "text_hash"], ["key_bits", "per_page", "digits", "text_hash", "task"])
+    before, offsets = Window.unboundedPreceding, []
+    for i, by in enumerate(levels):
+        # The first level is numbered within a class, each further one within the level above.
+        above = by[:2] if i == 0 else levels[i - 1]
+        counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+        running = F.sum("n").over(Window.partitionBy(*above).orderBy(by[-1]).rowsBetween(before, -1))
+        offsets.append((by, counts.withColumn(f"o{i}", F.coalesce(running, F.lit(0).cast("long"))).drop("n")))
+    classes = rows.groupBy("key_bits", "per_page").agg(F.ceil(F.count("*") / F.first("per_page")).cast("long").alias("pages"))
+    first = F.sum("pages").over(Window.partitionBy("key_bits").orderBy("per_page").rowsBetween(before, -1))
+    classes = classes.withColumn("first", F.coalesce(first, F.lit(0).cast("long"))).drop("pages")
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(*levels[-1]).orderBy("n_bytes")) - 1)
+    for by, o in offsets:
+        numbered = numbered.join(o, by)
+    at = F.col("i") + F.col("o0") + F.col("o1") + F.col("o2")
+    return numbered.join(classes, ["key_bits", "per_page"]).select(
+        *[c for c in rows.columns if c not in ("per_page", "digits", "task")],
         F.lit(KEY_BITS).alias("depth"),
-        (F.col("first") + F.floor(F.col("i") / F.col("per_page"))).cast("long").alias("page"),
+        (F.col("first") + F.floor(at / F.col("per_page"))).cast("long").alias("page"),
         (F.col("n_bytes") > limit).alias("oversized"),
     )
 
@@ -129,18 +139,25 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-SQL = {
-    "op1_sharding": f"""
+def op1_sharding_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a limit so small that buckets split, and some documents exceed it."""
+    return assign_shards(table(spark, sf_dir, "documents"), limit=SMALL_SHARD_BYTES)
+
+
+def _sql(limit: int) -> str:
+    return f"""
     WITH RECURSIVE r AS (
       SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
              ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
     b AS (SELECT 0 AS depth, 0::BIGINT AS prefix, sum(n_bytes) AS bytes FROM r
           UNION ALL
-          SELECT b.depth + 1, c.p, (SELECT sum(n_bytes) FROM r WHERE r.h >> (59 - b.depth) = c.p)
-          FROM b, LATERAL (SELECT unnest([b.prefix * 2, b.prefix * 2 + 1]) AS p) c
-          WHERE b.bytes > {SHARD_BYTES} AND b.depth < 60)
-    SELECT r.doc_id, r.n_bytes, b.depth::INT AS depth, 0::BIGINT AS page, false AS oversized,
+          SELECT b.depth + 1, r.h >> (59 - b.depth), sum(r.n_bytes)
+          FROM b JOIN r ON r.h >> (60 - b.depth) = b.prefix
+          WHERE b.bytes > {limit} AND b.depth < 60 GROUP BY 1, 2)
+    SELECT r.doc_id, r.n_bytes, b.depth::INT AS depth, 0::BIGINT AS page, r.n_bytes > {limit} AS oversized,
            substr(lpad(bin(r.h), 60, '0'), 1, b.depth) AS shard_bits
-    FROM r JOIN b ON r.h >> (60 - b.depth) = b.prefix AND b.bytes <= {SHARD_BYTES}"""
-}
-QUERIES = {"op1_sharding": op1_sharding}
+    FROM r JOIN b ON r.h >> (60 - b.depth) = b.prefix AND (b.bytes <= {limit} OR b.depth = 60)"""
+
+
+SQL = {"op1_sharding": _sql(SHARD_BYTES), "op1_sharding_split": _sql(SMALL_SHARD_BYTES)}
+QUERIES = {"op1_sharding": op1_sharding, "op1_sharding_split": op1_sharding_split}

@@ -52,6 +52,14 @@ def test_shards_of_equal_keys_get_pages(spark):
     assert [r["oversized"] for r in got if r["doc_id"] == 8] == [True]
 
 
+def test_pages_do_not_depend_on_how_rows_are_dealt(spark):
+    rng = random.Random(2)
+    rows = [(7, "x" * rng.randrange(300), "en", "s") for _ in range(400)] + [(7, "same" * 9, "en", "s")] * 200 + [(i, "y" * 90, "en", "s") for i in range(50)]
+    d = docs(spark, rows)
+    got = [Counter(map(tuple, sharding.assign_shards(x, limit=1000).collect())) for x in (d.coalesce(1), d.repartition(7), d.orderBy("text"))]
+    assert got[0] == got[1] == got[2] and len({k[3] for k in got[0]}) > 20
+
+
 def test_shards_of_awkward_tables(spark):
     assert sharding.assign_shards(docs(spark, [])).collect() == []
     d = docs(spark, AWKWARD).withColumn("shard_bits", F.lit(1)).withColumn("depth", F.lit(1))
@@ -237,5 +245,11 @@ def test_chat_matches_brute_force(spark, monkeypatch, run):
     assert 100 in got and not {101, 102, 103} & set(got)
 
 
+def test_separators_in_roles_and_texts(spark):
+    rows = [(1, 0, "a", "b\x1fc"), (2, 0, "a\x1fb", "c"), (3, 0, "a|b", "c"), (4, 0, "a", "b|c"), (5, 0, "a", "b"), (5, 1, "x" * 300_000, "y" * 300_000)]
+    got = {r["conv_id"]: r["text"] for r in chat.render(*chat.maximal(convs(spark, rows))).collect()}
+    assert got == brute_chat(rows) and len(got) == 5
+
+
 def test_chat_of_nothing(spark):
     assert chat.render(*chat.maximal(convs(spark, []))).collect() == []
