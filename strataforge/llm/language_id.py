@@ -11,8 +11,11 @@ p_l = f_l ** HASHES, so hits h of n stand for (h - n p_l) / (1 - p_l). The
 highest corrected count decides.
 
 Training reads text and lang only, of documents whose crc32(doc_id) mod 5 isn't 0,
-and of these a hashed sample of about ``TRAIN_DOCS``, the bound on what is learned
-from. Every document is predicted from its whole text.
+and of these a hashed sample of about ``TRAIN_DOCS``, the same part of it for each
+language: the bound on what is learned from. The filter has ``SLOTS_PER_GRAM`` slots
+for each n-gram up to ``MAX_SLOTS``, the bound on its broadcast; a fuller one has
+more false positives, which the correction takes into account. Every document is
+predicted from its whole text.
 
 Defined results: ``und`` with score 0 for null texts and texts without letters;
 ties go to the first language in order; a null ``doc_id`` is not held out and not
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, materialize, sent, table
 
 SIZES = (3, 4)
 #: About so many labelled documents are learned from.
@@ -44,7 +47,7 @@ MIN_PART = 0.4
 HASHES = 3
 SLOTS_PER_GRAM = 8
 MAX_SLOTS = 1 << 22
-#: Characters handled at once in a task; longer texts are taken in overlapping pieces.
+#: Characters handled at once in a task; longer texts are taken in parts.
 CHUNK_CHARS = 1 << 19
 
 held_out_sql = "coalesce(crc32(cast(doc_id AS string)) % 5 = 0, false)"
@@ -68,43 +71,66 @@ def _points(text: str) -> np.ndarray:
     return np.concatenate([[np.uint32(32)], at, [np.uint32(32)]]) if letter.any() else at[:0]
 
 
-def _grams(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams within one owner, and their owners."""
+def _grams(points: np.ndarray, owner: np.ndarray, starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams within one owner that begin at the first ``starts`` points, and their owners."""
     hashes, owners = [], []
     for n in SIZES:
-        if len(points) < n:
+        m = min(len(points) - n + 1, len(points) if starts is None else starts)
+        if m <= 0:
             continue
-        h = np.full(len(points) - n + 1, n, np.uint64)
+        h = np.full(m, n, np.uint64)
         for i in range(n):
-            h = (h ^ points[i : len(points) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ points[i : m + i]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
-        inside = owner[: len(h)] == owner[n - 1 :]
+        inside = owner[:m] == owner[n - 1 : m + n - 1]
         # the space between two words belongs to n-grams of one word only at their ends
         for i in range(1, n - 1):
-            inside &= points[i : len(h) + i] != 32
+            inside &= points[i : m + i] != 32
         hashes.append(h[inside])
-        owners.append(owner[: len(h)][inside])
+        owners.append(owner[:m][inside])
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(points, row of each) of a few texts at a time; a long one in pieces that overlap."""
+def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(n-grams, row of each, whether that is all of the rows) of a few texts at a time, or of a part of a long one.
+
+    A part holds the n-grams that begin in it, so each is there once and none is cut.
+    """
     parts, owners, size = [], [], 0
     for row in range(len(texts)):
-        text = texts[row].as_py() or ""
-        for begin in range(0, len(text), CHUNK_CHARS):
-            p = _points(text[begin : begin + CHUNK_CHARS + max(SIZES) - 1])
-            if len(p):
-                parts.append(p)
-                owners.append(np.full(len(p), row))
-                size += len(p)
+        p = _points(texts[row].as_py() or "")
+        if len(p) > CHUNK_CHARS:
+            for begin in range(0, len(p), CHUNK_CHARS):
+                part = p[begin : begin + CHUNK_CHARS + max(SIZES) - 1]
+                yield *_grams(part, np.full(len(part), row), CHUNK_CHARS), False
+        elif len(p):
+            parts.append(p)
+            owners.append(np.full(len(p), row))
+            size += len(p)
             if size >= CHUNK_CHARS:
-                yield np.concatenate(parts), np.concatenate(owners)
+                yield *_grams(np.concatenate(parts), np.concatenate(owners)), True
                 parts, owners, size = [], [], 0
     if size:
-        yield np.concatenate(parts), np.concatenate(owners)
+        yield *_grams(np.concatenate(parts), np.concatenate(owners)), True
+
+
+def _distinct(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, row of each), each n-gram of a text once."""
+    long: dict[int, np.ndarray] = {}
+    for h, o, whole in _pieces(texts):
+        by = np.lexsort((h, o))
+        h, o = h[by], o[by]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+        h, o = h[new], o[new]
+        if whole:
+            yield h, o
+        elif len(o):
+            long[o[0]] = np.union1d(long.get(o[0], h), h)
+    for row, h in long.items():
+        yield h, np.full(len(h), row)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +140,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(set(langs))
         code = {x: i for i, x in enumerate(names)}
         lang = np.array([code[x] for x in langs], np.int64)
-        found: list[tuple] = []
-        for points, owner in _pieces(batch.column(0)):
-            h, o = _grams(points, owner)
-            by = np.lexsort((h, o))
-            h, o = h[by], o[by]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-            found.append((lang[o[new]], h[new]))
+        found = [(lang[o], h) for h, o in _distinct(batch.column(0))]
         for i, name in enumerate(names):
             mine = [h[x == i] for x, h in found]
             grams, docs = np.unique(np.concatenate(mine), return_counts=True) if mine else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -184,10 +203,13 @@ def learnable() -> Column:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Filter | None:
     """The filter of ``docs`` (doc_id, text, lang) that may be learned from."""
     rows = docs.where(learnable()).select("doc_id", "text", "lang")
-    n = rows.count()
-    if n > train_docs:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(train_docs / n * (1 << 30)))
+    # Each language gets its part of the sample, so that rare ones are learned too.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    part = [x for k, n in sizes.items() if n * len(sizes) > train_docs for x in (F.lit(k), F.lit(int(train_docs / len(sizes) / n * (1 << 30))))]
+    if part:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.coalesce(F.create_map(*part)[F.col("lang")], F.lit(1 << 30)))
     counted = rows.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    counted = materialize(counted.where(f"gram IS NULL OR docs >= {MIN_DOCS}"), "lang-grams")
     total = counted.where("gram IS NULL").select("lang", F.col("docs").alias("n_docs"))
     langs = {r[0]: r[1] for r in total.collect()}
     if not langs:
@@ -207,6 +229,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Filter | None:
         grams.append(r["gram"])
         masks.append(mask)
     by = np.argsort(np.array(grams, np.int64))
+    discard(counted)
     return Filter(names, np.array(grams, np.int64)[by].view(np.uint64), np.array(masks, np.uint64).reshape(len(grams), -1)[by])
 
 
@@ -218,14 +241,12 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Filter | None, first: int
         langs, score = ["und"] * n, np.zeros(n)
         if model is not None and n:
             hits = np.zeros((n, len(model.langs)))
-            for points, owner in _pieces(batch.column(0)):
-                s, h = model.hits(*_grams(points, owner), n)
-                # a text of letters too few for an n-gram still has letters
-                seen += np.maximum(s, np.bincount(owner, minlength=n) > 0)
+            for grams, owner, _ in _pieces(batch.column(0)):
+                s, h = model.hits(grams, owner, n)
+                seen += s
                 hits += h
             best, score = model.decide(seen, hits)
             langs = [x if s else "und" for x, s in zip(best, seen, strict=True)]
-            score = np.where(seen > 0, score, 0.0)
         yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(langs), pa.array(score)], [*batch.schema.names[first:], "lang_pred", "score"])
 
 
@@ -233,9 +254,9 @@ def predict(docs: DataFrame, model: Filter | None, keep: tuple[str, ...] = ("doc
     """``keep`` columns, and the language and score under ``names``."""
     others = [c for c in keep if c != "text"]
     types = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(others))
-    shared, first = docs.sparkSession.sparkContext.broadcast(model), 0 if "text" in keep else 1
+    shared, first = sent(docs.sparkSession, model), 0 if "text" in keep else 1
     out = docs.select("text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(others)]).mapInArrow(
-        lambda b: _predict(b, shared.value, first), f"{'' if first else 'text string, '}{types}lang_pred string, score double"
+        lambda b: _predict(b, shared(), first), f"{'' if first else 'text string, '}{types}lang_pred string, score double"
     )
     kept = [F.col("text") if c == "text" else F.col(f"k{others.index(c)}").alias(c) for c in keep]
     return out.select(*kept, F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
