@@ -9,8 +9,11 @@ document's ends (position and length filter) discards what can't fit, and the
 words are then compared one by one. Rarity is counted over all documents.
 
 The documents are never shuffled: the benchmark's index goes to them in blocks of
-at most ``BLOCK_WORDS`` item words, the size bound of each broadcast. One block is
-the usual case; a larger benchmark takes one pass over the documents for each.
+at most ``BLOCK_WORDS`` item words, the size bound of each broadcast and of what
+the driver holds; of an item longer than that each block gets a part, and parts overlap
+by a window less one word. One block is the usual case and judges documents in
+one pass; of a larger benchmark each block marks words and items, and the marks of all
+meet by text.
 
 Defined results: null and empty texts have no words, so no hits; a null item text
 has no windows, and a null ``item_id`` marks words but is not listed; rows that
@@ -23,15 +26,15 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, materialize, table, text_key
+from .common import SHINGLE_WORDS, materialize, sent, table, text_key
 
 WINDOW = 10
 #: Item words in one broadcast index.
@@ -213,31 +216,34 @@ def _mark(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list]:
-    """Items in blocks of bounded size, each read once."""
+    """Items, or parts of long ones, in blocks of bounded size, each read once."""
     block, size = [], 0
     rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string"), F.col("text").cast("binary")).distinct()
+    most = max(WINDOW, block_words)
     for item_id, text in rows.toLocalIterator():
-        n = len(words_of(bytes(text)))
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        if n:
-            block.append((item_id, bytes(text)))
-            size += n
-    yield block
+        words = words_of(bytes(text))
+        for at in range(0, max(1, len(words) - WINDOW + 1), most - WINDOW + 1):
+            part = words[at : at + most]
+            if block and size + len(part) > block_words:
+                yield block
+                block, size = [], 0
+            if part:
+                block.append((item_id, b" ".join(part)))
+                size += len(part)
+    if block:
+        yield block
 
 
 def _broadcast_index(docs: DataFrame, items: list):
     """The block's index, ordered by the rarity of its shingles in all documents."""
     spark, index = docs.sparkSession, Index(items)
-    plain = spark.sparkContext.broadcast(index)
-    rows = docs.select(F.lit(0).alias("row"), "text").mapInArrow(lambda b: _count(b, plain.value), "size int, shingle int, n long")
+    plain = sent(spark, index)
+    rows = docs.select(F.lit(0).alias("row"), "text").mapInArrow(lambda b: _count(b, plain()), "size int, shingle int, n long")
     counts = {s: np.zeros(len(keys), np.int64) for s, keys in index.shingles.items()}
     for size, shingle, n in rows.groupBy("size", "shingle").agg(F.sum("n")).collect() if index.groups else []:
         counts[size][shingle] = n
-    plain.unpersist()
     index.order(counts)
-    return spark.sparkContext.broadcast(index)
+    return sent(spark, index)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS, prefix: str = "") -> DataFrame:
@@ -249,14 +255,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
     others = [c for c in keep if c != "text"]
     names = [f"k{i}" for i in range(len(others))]
     renamed = [F.col(c).alias(n) for c, n in zip(others, names, strict=True)]
-    found = list(blocks(benchmark, block_words))
-    if len(found) == 1:
-        index = _broadcast_index(docs, found[0])
+    found = blocks(benchmark, block_words)
+    block, more = next(found, []), next(found, None)
+    if more is None:
+        index = _broadcast_index(docs, block)
         types = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(others, names, strict=True))
         first = 1 if "text" in keep else 2
-        out = docs.select(F.lit(0).alias("row"), "text", *renamed).mapInArrow(lambda b: _judge(b, index.value, first), f"{'text string, ' if first == 1 else ''}{types}{RESULT}")
+        out = docs.select(F.lit(0).alias("row"), "text", *renamed).mapInArrow(lambda b: _judge(b, index(), first), f"{'text string, ' if first == 1 else ''}{types}{RESULT}")
     else:
-        out = _merge(docs, renamed, names, found)
+        out = _merge(docs, renamed, names, chain([block, more], found))
     kept = [F.col("text") if c == "text" else F.col(names[others.index(c)]).alias(c) for c in keep]
     return out.select(*kept, *[F.col(c.split()[0]).alias(prefix + c.split()[0]) for c in RESULT.split(", ")])
 
@@ -266,12 +273,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return find_contamination(docs, benchmark, tuple(docs.columns), prefix="__").where("NOT __contaminated").select(*docs.columns)
 
 
-def _merge(docs: DataFrame, renamed: list[Column], names: list[str], found: list) -> DataFrame:
+def _merge(docs: DataFrame, renamed: list[Column], names: list[str], found: Iterable[list]) -> DataFrame:
     """Several blocks: each marks the texts it hits; the marks meet at the text's key."""
     marks = None
     for block in found:
         index = _broadcast_index(docs, block)
-        part = docs.select(text_key(F.col("text")).alias("key"), "text").mapInArrow(lambda b, i=index: _mark(b, i.value), "key binary, at array<int>, items array<string>")
+        part = docs.select(text_key(F.col("text")).alias("key"), "text").mapInArrow(lambda b, i=index: _mark(b, i()), "key binary, at array<int>, items array<string>")
         part = materialize(part.groupBy("key").agg(F.first("at").alias("at"), F.first("items").alias("items")), "leak-block")
         marks = part if marks is None else marks.unionByName(part)
     marks = marks.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
