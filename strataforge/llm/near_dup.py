@@ -9,13 +9,14 @@ agree in a component with the probability Jaccard similarity of the documents.
 
 Signatures are cut into bands; documents that share a band are candidates. They
 are verified exactly, from their texts. Equal texts are one node from the start.
-No bucket emits all its pairs. A band's members meet its pivot,
-and links found merge classes, so a group of copies costs about one comparison
-each. Members of bands that still hold several classes, such as texts with a
-passage in common, go through an exact filter: similar texts share one of their
-rarest shingles, so these become their buckets, with pivots again, until every
-pair is compared, in one class, or five standard deviations below the threshold by
-its signatures. So no candidate link is lost.
+A band's members meet its pivot, and links found merge classes, so a group of
+copies costs about one comparison each. Members of bands that still hold several
+classes, such as texts with a passage in common, go through an exact filter:
+similar texts share one of their rarest shingles, so these become their buckets.
+There each class sends pivots that meet the members of other classes, until every
+pair is compared, in one class, or told to be different by exact bounds: by the rare shingles
+that only one has, and by parity bits of all shingles. So no candidate link is lost,
+and members of one class never meet.
 
 Defined results: texts without words (null, empty) are each a class of their own;
 ``class_id`` is the least doc_id of the class, null if none has an id; repeated
@@ -27,21 +28,26 @@ an empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, discard, materialize, table, text_key
+from .common import SHINGLE_WORDS, SIMILARITY, discard, materialize, table, text_key, tidy
 
 #: 56 bands of 8 components: a pair at 0.8 is missed three times in a hundred thousand.
 BANDS, ROWS = 56, 8
 SIZE = BANDS * ROWS
-WORDS = SIZE // 16
-#: Shingles handled at once in a task, and members a task compares with one pivot.
+#: Words handled at once in a task.
 CHUNK = 1 << 18
-HUB = 512
+#: Rarest shingles that travel with a row, to tell where a pair meets first.
+HEAD = 24
+#: 64-bit words of a text's parity bits, a power of two.
+PARITY_WORDS = 16
+#: Pivots of a bucket in the first round.
+FIRST_PIVOTS = 4
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -121,12 +127,6 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return h
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each component, sixteen to a word."""
-    bits = (mix(signature) >> np.uint64(60)).reshape(len(signature), WORDS, 16)
-    return np.bitwise_or.reduce(bits << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
-
-
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two sorted (shingle, count) pairs: the sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -158,100 +158,107 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, shingle, count = shingles(words[starts[0] : starts[-1]], starts - starts[0])
             signature = signatures(doc, shingle, count, end - begin)
             some = np.flatnonzero(np.diff(starts) > 0)
-            lists = [
-                pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[some].view(np.int64).ravel()))
-                for x in (band_hashes(signature), sketch(signature))
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin).take(pa.array(some)), *lists], ["key", "bands", "sketch"])
+            bands = pa.array(band_hashes(signature)[some].view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), bands)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin).take(pa.array(some)), lists], ["key", "bands"])
+            begin = end
+
+
+def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, words) to how many shingles the text has, its distinct ones in order, and, if any repeats, how often each occurs.
+
+    ``parity`` has for each of a number of bits whether an odd number of the shingles falls on it.
+    """
+    for batch in batches:
+        words, offsets = _flat(batch.column(1))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK, side="right")) - 1)
+            starts = offsets[begin : end + 1]
+            doc, shingle, count = shingles(words[starts[0] : starts[-1]], starts - starts[0])
+            bounds = pa.array(np.searchsorted(doc, np.arange(end - begin + 1)).astype(np.int32))
+            total = np.bincount(doc, count, end - begin).astype(np.int64)
+            # Counts are left out where all are one.
+            repeats = (total > np.bincount(doc, minlength=end - begin))[doc]
+            kept = pa.array(np.searchsorted(doc[repeats], np.arange(end - begin + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(shingle.view(np.int64))), pa.ListArray.from_arrays(kept, pa.array(count[repeats].astype(np.int32)))]
+            parity = np.zeros((end - begin, PARITY_WORDS), np.uint64)
+            bit = mix(shingle) >> np.uint64(64 - PARITY_WORDS.bit_length() - 5)
+            np.bitwise_xor.at(parity, (doc, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+            width = pa.array(np.arange(end - begin + 1, dtype=np.int32) * PARITY_WORDS)
+            lists.append(pa.ListArray.from_arrays(width, pa.array(parity.view(np.int64).ravel())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(total), *lists], ["node", "total", "shingles", "counts", "parity"])
             begin = end
 
 
+def shingles_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, total, shingles, counts, parity of the texts of nodes (node, key), each text once."""
+    keyed = docs.where("text IS NOT NULL").select(text_key(F.col("text")).alias("key"), "text")
+    # Tasks keep one copy of a text before they send it on.
+    one = keyed.join(nodes, "key").groupBy("node").agg(F.first("text").alias("text"))
+    return one.select("node", word_hashes(F.col("text")).alias("words")).mapInArrow(_shingle, "node long, total long, shingles array<long>, counts array<int>, parity array<long>")
+
+
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, salt, member or null, words) in order; a hub's own row comes before its members'."""
-    at, own = None, None
+    """Of rows (la, lb, shingles and counts of both) the links (x, y) between classes, both ways."""
     for batch in batches:
-        words, offsets = _flat(batch.column(3))
-        hubs, salts, members = (batch.column(i).to_pylist() for i in range(3))
-        out = []
+        sides = [(np.asarray(c.values).view(np.uint64) if i % 2 == 0 else np.asarray(c.values), np.asarray(c.offsets)) for i, c in enumerate(batch.columns[2:])]
+        similar = np.zeros(batch.num_rows, bool)
         for i in range(batch.num_rows):
-            w = words[offsets[i] : offsets[i + 1]]
-            _, h, n = shingles(w, np.array([0, len(w)]))
-            if members[i] is None:
-                at, own = (hubs[i], salts[i]), (h, n)
-            elif at == (hubs[i], salts[i]) and probability_jaccard((h, n), own) >= threshold:
-                out.append((members[i], hubs[i]))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            x, nx, y, ny = (values[at[i] : at[i + 1]] for values, at in sides)
+            nx, ny = (n if len(n) else np.ones(len(s), np.int64) for s, n in ((x, nx), (y, ny)))
+            similar[i] = probability_jaccard((x, nx), (y, ny)) >= threshold
+        a, b = (np.asarray(batch.column(i))[similar] for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a]))], ["x", "y"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) those whose texts (node, text) are similar. Hubs b are dealt to several tasks by size."""
-    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB).cast("long").alias("salts"))
-    hubs = materialize(hubs, "dup-hubs")
-    member = pairs.join(hubs, "b").select("b", F.pmod(F.xxhash64("a"), "salts").alias("salt"), F.col("a"))
-    member = member.join(texts.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "text")
-    hub = hubs.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
-    rows = hub.unionByName(member).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return rows.select("b", "salt", "a", word_hashes(F.col("text")).alias("words")).mapInArrow(lambda x: _compare(x, threshold), "a long, b long")
+    """Links (x, y) between the classes of pairs (a, b, la, lb) whose texts (node, shingles, counts) are similar.
+
+    Both texts stand in a pair's row before it is compared, so a node with many partners is
+    spread by the join and needs no task of its own.
+    """
+    pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("shingles").alias("x"), F.col("counts").alias("nx")), "a")
+    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.col("counts").alias("ny")), "b")
+    return pairs.select("la", "lb", "x", "nx", "y", "ny").mapInArrow(lambda rows: _compare(rows, threshold), "x long, y long").distinct()
 
 
-def merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (node, label) after the edges (a, b) merge classes; a class is named by its least node.
+def components(links: DataFrame) -> DataFrame:
+    """(x, root): the least node that links (x, y), given both ways, reach.
 
-    Works on the classes that edges touch only: rounds of least-neighbour labels,
-    each followed by a jump to the label's own label. The old labels are deleted.
+    Rounds of least-neighbour roots, each followed by a jump to the root's own root.
     """
-    left = labels.withColumnsRenamed({"node": "a", "label": "la"})
-    right = labels.withColumnsRenamed({"node": "b", "label": "lb"})
-    links = edges.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("x"), F.col("lb").alias("y")).distinct()
-    links = materialize(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "dup-links")
-    if links.isEmpty():
-        discard(links)
-        return labels
-    roots = links.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("root"))
-    roots = materialize(roots, "dup-roots")
+    roots = materialize(links.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("root")), "dup-roots")
     while True:
         up = roots.select(F.col("x").alias("r"), F.col("root").alias("up"))
-        jumped = roots.join(up, roots["root"] == up["r"], "left").select("x", F.least("root", F.coalesce("up", "root")).alias("root"))
-        near = links.join(jumped.select(F.col("x").alias("y"), F.col("root").alias("n")), "y").groupBy("x").agg(F.min("n").alias("n"))
-        new = materialize(jumped.join(near, "x").join(roots.withColumnRenamed("root", "old"), "x").select("x", F.least("root", "n").alias("root"), "old"), "dup-roots")
-        changed = not new.where("root <> old").isEmpty()
+        # A root is a linked node, so each has a root of its own.
+        jumped = roots.join(up, roots["root"] == up["r"]).select("x", "up", F.col("root").alias("old"))
+        near = links.join(roots.withColumnsRenamed({"x": "y", "root": "n"}), "y").groupBy("x").agg(F.min("n").alias("n"))
+        seen = Observation()
+        new = jumped.join(near, "x").select("x", F.least("up", "n").alias("root"), "old")
+        new = materialize(new.observe(seen, F.count(F.when(F.col("root") != F.col("old"), 1)).alias("moved")).drop("old"), "dup-roots")
         discard(roots)
-        if not changed:
-            break
-        roots = new.select("x", "root")
-        roots.written_to = new.written_to
-    roots = new.select("x", "root")
-    moved = labels.join(roots.withColumnsRenamed({"x": "label", "root": "new"}), "label", "left")
-    out = materialize(moved.select("node", F.coalesce("new", "label").alias("label")), "dup-labels")
-    discard(links, new, labels)
-    return out
+        roots = new
+        if not seen.get["moved"]:
+            return roots
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text: one copy of the text of each node (node, key)."""
-    keyed = docs.where("text IS NOT NULL").select(text_key(F.col("text")).alias("key"), "text")
-    found = keyed.join(nodes, "key").groupBy("node").agg(F.first("text").alias("text"))
-    return materialize(found, "dup-texts")
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, rank, label) after links (x, y) between labels, which are deleted like the old labels."""
+    roots = components(links)
+    out = materialize(labels.join(roots.withColumnRenamed("x", "label"), "label", "left").select("node", "rank", F.coalesce("root", "label").alias("label")), "dup-labels")
+    discard(links, labels, roots)
+    return out
 
 
-def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, words) to a row for each shingle: node, shingle, and its part of the text's shingles."""
-    for batch in batches:
-        words, offsets = _flat(batch.column(1))
-        nodes = np.asarray(batch.column(0))
-        begin = 0
-        while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK, side="right")) - 1)
-            starts = offsets[begin : end + 1]
-            doc, shingle, count = shingles(words[starts[0] : starts[-1]], starts - starts[0])
-            total = np.bincount(doc, count, end - begin)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[begin:end][doc]), pa.array(shingle.view(np.int64)), pa.array(count / total[doc])], ["node", "shingle", "part"])
-            begin = end
+def several(members: DataFrame) -> DataFrame:
+    """Of members (bucket, label, ..) those whose bucket holds more than one class."""
+    buckets = materialize(members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "dup-several")
+    return members.join(buckets, "bucket")
 
 
 def rare_prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, node, n, gap): the rarest shingles of each text (node, text), while the part before them may go unshared.
+    """node, prefix: the rarest shingles (bucket, gap) of each text (node, total, shingles, counts), while the part before them may go unshared.
 
     If parts s and r of two texts are not shared, their similarity is at most
     1 / (1 + s / (1 - s) + r / (1 - r)). In the order of rarity, all before the first
@@ -259,139 +266,98 @@ def rare_prefixes(texts: DataFrame, threshold: float) -> DataFrame:
     before / (1 - before), add up to at most 1 / threshold - 1. Shingles of a single text are
     unshared from the start: a text with too many has no partner, and most end there.
     """
-    def weighed(rows: DataFrame) -> DataFrame:
-        return rows.select("node", word_hashes(F.col("text")).alias("words")).mapInArrow(_weigh, "node long, shingle long, part double")
-
-    spare = 1 - threshold + 1e-9
-    counts = materialize(weighed(texts).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("part").alias("part")), "dup-rarity")
-    alone = counts.where("n = 1").groupBy("node").agg(F.sum("part").alias("alone"))
-    rest = texts.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0.0))).where(F.col("alone") <= spare)
-    rest = materialize(rest, "dup-open-texts")
-    shared = weighed(rest).join(counts.where("n > 1").select("shingle", "n"), "shingle").join(rest.select("node", "alone"), "node")
-    earlier = Window.partitionBy("node").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("alone") + F.coalesce(F.sum("part").over(earlier), F.lit(0.0))
-    prefix = shared.withColumn("before", before).where(F.col("before") <= spare)
-    return prefix.select(F.col("shingle").alias("bucket"), "node", "n", (F.col("before") / (1 - F.col("before"))).alias("gap"))
-
-
-def crowded(each: DataFrame) -> DataFrame:
-    """Of rows (bucket, node, gap) those whose bucket has others, with ``rank``: how many in all share the node's buckets."""
-    some = materialize(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "dup-buckets")
-    members = materialize(each.join(some, "bucket"), "dup-members")
-    rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
-    out = materialize(members.drop("n").join(rank, "node"), "dup-ranked")
-    discard(some, members)
-    return out
-
-
-def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their labels, of buckets that hold several classes."""
-    now = members.join(labels, "node")
-    several = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    return materialize(now.join(several, "bucket"), "dup-mixed")
+    each = texts.select("node", "total", F.explode(F.arrays_zip("shingles", "counts")).alias("s"))
+    each = each.select("node", F.col("s.shingles").alias("bucket"), (F.coalesce("s.counts", F.lit(1)) / F.col("total")).alias("part"))
+    counts = materialize(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "dup-rarity")
+    own = Window.partitionBy("node")
+    earlier = F.sum("part").over(own.orderBy("n", "bucket").rowsBetween(Window.unboundedPreceding, -1))
+    shared = each.join(counts, "bucket").withColumn("before", 1 - F.sum("part").over(own) + F.coalesce(earlier, F.lit(0.0)))
+    prefix = shared.where(F.col("before") <= 1 - threshold + 1e-9)
+    row = F.struct("n", "bucket", (F.col("before") / (1 - F.col("before"))).alias("gap"))
+    prefix = prefix.groupBy("node").agg(F.sort_array(F.collect_list(row)).alias("prefix"))
+    return prefix.select("node", F.transform("prefix", lambda x: F.struct(x["bucket"], x["gap"])).alias("prefix"))
+
+
+def may_be_similar(threshold: float) -> Column:
+    """Whether the texts of (total, n, parity) and (total_b, n_b, parity_b) can reach the threshold.
+
+    Each bit that differs stands for at least one shingle that only one of the two has, and the
+    numbers of distinct shingles, n and n_b, tell on which sides. So parts s and r at least
+    are not shared, and the bound of ``rare_prefixes`` holds: no similar pair is lost.
+    """
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(PARITY_WORDS)])
+    extra = F.col("n") - F.col("n_b")
+    s, r = (F.greatest(x, F.lit(0)) / (2.0 * F.col(t)) for x, t in ((differ + extra, "total"), (differ - extra, "total_b")))
+    return s * (1 - r) + r * (1 - s) <= (1 / threshold - 1 + 1e-6) * (1 - s) * (1 - r) + 1e-9
 
 
-def too_different(threshold: float) -> Column:
-    """Whether two sketches (k0 .., pivot_k0 ..) agree so rarely that their texts can't be similar.
+def settle(prefixes: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """labels after every pair with a common rare shingle is compared or in one class.
 
-    The share of equal components estimates the similarity; the bound lies five standard
-    deviations below the threshold, which a similar pair misses three times in ten million.
-    """
-    nibbles = F.lit(0x1111111111111111)
-    equal = F.lit(0)
-    for i in range(WORDS):
-        x = F.col(f"k{i}").bitwiseXOR(F.col(f"pivot_k{i}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        equal = equal + (16 - F.bit_count(x.bitwiseAND(nibbles)))
-    # Equal by chance, one in sixteen, counts too.
-    p = threshold + (1 - threshold) / 16
-    return equal < int(SIZE * p - 5 * (SIZE * p * (1 - p)) ** 0.5)
-
-
-def link(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, sketches: DataFrame | None = None) -> DataFrame:
-    """labels after members (bucket, node, gap, rank) have met their buckets' pivots.
-
-    A pivot is the member with most company, so that the original of many copies
-    comes first. Without ``sketches`` there is one round; with them (node, prefix, k0 ..) each
-    round has eight times the pivots a bucket, and a pivot leaves when it has met all
-    others of other classes, so at the end every pair is compared, in one class, or known
-    to be too different.
+    Buckets have pivots that meet all members of other classes: a few in the first round,
+    which merges most, then some of each class. A pivot has then met all others
+    and leaves the bucket; what is left goes round again, with the classes as merged and
+    sixty-four times the pivots of a class, until no bucket holds two classes. Members of
+    one class never meet, so near copies of one text, once merged, cost no more.
     """
-    pivots_per_bucket, step, used = 1, 0, ()
-    most = 1 / threshold - 1 + 1e-6
-    while True:
-        now = mixed(members, labels)
-        discard(*used)
-        if now.isEmpty():
-            break
-        salt = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(pivots_per_bucket))
-        first = F.max(F.struct("rank", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), F.col("gap").alias("pivot_gap"))).alias("p")
-        pivots = materialize(now.groupBy("bucket", salt.alias("salt")).agg(first).select("bucket", "p.*").drop("rank"), "dup-pivots")
-        may = (F.col("label") != F.col("pivot_label")) & (F.col("gap") + F.col("pivot_gap") <= most)
-        if sketches is None:
-            near, hubs = now, pivots
-        else:
-            # Words that can't be null keep the compiled condition short enough for the JVM to optimise.
-            word = lambda i: F.coalesce(f"k{i}", F.lit(0).cast("long"))
-            near = now.join(sketches, "node").select(*now.columns, "prefix", *[word(i).alias(f"k{i}") for i in range(WORDS)])
-            hubs = pivots.join(sketches.withColumnRenamed("node", "pivot"), "pivot").select(*pivots.columns, F.col("prefix").alias("pivot_prefix"), *[word(i).alias(f"pivot_k{i}") for i in range(WORDS)])
-            # A pair meets once, in the bucket of its rarest common shingle.
-            may = may & ~too_different(threshold) & (F.get(F.array_intersect("prefix", "pivot_prefix"), F.lit(0)) == near["bucket"])
-        met = near.join(hubs, (near["bucket"] == hubs["bucket"]) & may).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-        if sketches is None:
-            met = materialize(met.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))), "dup-pairs")
-            # Who shares most buckets is likeliest the same: one comparison each settles most classes ...
-            before, labels = labels, _merged(met.where("i = 1").select("a", "b"), labels, texts, threshold)
-            # ... and only pairs still in two classes need one more.
-            rest = met.where("i > 1").select("a", "b")
-            labels = _merged(rest if labels is before else _open(rest, labels), labels, texts, threshold)
-            discard(met, now, pivots)
-            break
-        labels = _merged(met.select("a", "b"), labels, texts, threshold)
-        members = now.select("bucket", "node", "gap", "rank").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        step, pivots_per_bucket, used = step + 1, pivots_per_bucket * 8, (now, pivots)
+    bucket = F.explode(F.transform("prefix", lambda x: F.struct(x["bucket"].alias("bucket"), x["gap"].alias("gap"))))
+    rows = prefixes.select("node", F.transform(F.slice("prefix", 1, HEAD), lambda x: x["bucket"]).alias("head"), bucket.alias("p")).select("node", "head", "p.*")
+    facts = texts.select("node", "total", F.size("shingles").alias("n"), "parity")
+    rows = materialize(several(rows.join(labels, "node")).join(facts, "node"), "dup-members")
+    own = ["gap", "head", "total", "n", "parity"]
+    pivots_per_class, most = 0, 1 / threshold - 1 + 1e-6
+    while not rows.isEmpty():
+        by = [F.col("label").alias("class"), F.pmod(F.xxhash64("node"), F.lit(pivots_per_class)).alias("salt")] if pivots_per_class else [F.pmod(F.xxhash64("label"), F.lit(FIRST_PIVOTS)).alias("salt")]
+        # By rank, so that a node's buckets agree on their pivots.
+        first = F.max(F.struct("rank", "node", "label", *own)).alias("p")
+        pivots = rows.groupBy("bucket", *by).agg(first)
+        pivots = materialize(pivots.select("bucket", F.col("p.label").alias("lb"), F.col("p.node").alias("b"), *[F.col(f"p.{c}").alias(f"{c}_b") for c in own]), "dup-pivots")
+        # A pair meets in the bucket of its rarest common shingle: if the heads have one that is it.
+        rarest = F.get(F.array_intersect("head", "head_b"), F.lit(0))
+        meet = (F.col("label") != F.col("lb")) & (F.col("gap") + F.col("gap_b") <= most) & F.coalesce(rarest == pivots["bucket"], F.lit(True)) & may_be_similar(threshold)
+        met = rows.join(pivots, (rows["bucket"] == pivots["bucket"]) & meet).select(F.col("node").alias("a"), "b", F.col("label").alias("la"), "lb")
+        swap = F.col("a") < F.col("b")
+        pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+        met = met.select(pick("b", "a").alias("a"), pick("a", "b").alias("b"), pick("lb", "la").alias("la"), pick("la", "lb").alias("lb")).distinct()
+        links = materialize(verify(met, texts, threshold), "dup-links")
+        linked = not links.isEmpty()
+        labels = merge(labels, links) if linked else labels
+        left = rows.join(pivots.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti")
+        left = materialize(several(left.drop("label", "rank").join(labels, "node") if linked else left), "dup-members")
+        discard(rows, pivots)
+        rows, pivots_per_class = left, pivots_per_class * 64 or 64
+    discard(rows)
     return labels
 
 
+@tidy
 def node_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """key, label: the class of each distinct text with words."""
     keyed = docs.where("text IS NOT NULL").select(text_key(F.col("text")).alias("key"), word_hashes(F.col("text")).alias("words"))
-    signed = materialize(keyed.mapInArrow(_sign, "key binary, bands array<long>, sketch array<long>"), "dup-signed")
-    nodes = signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    signed = keyed.mapInArrow(_sign, "key binary, bands array<long>").groupBy("key").agg(F.first("bands").alias("bands"))
     # Numbers are fixed once written.
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
-    members = crowded(nodes.select("node", F.explode("bands").alias("bucket"), F.lit(0.0).alias("gap")))
-    labels = materialize(members.select("node").distinct().withColumn("label", F.col("node")), "dup-labels")
-    texts = _texts_of(docs, labels.join(nodes, "node").select("node", "key"))
-    labels = link(members, labels, texts, threshold)
+    nodes = materialize(signed.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
+    each = nodes.select("node", F.explode("bands").alias("bucket"))
+    some = materialize(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "dup-buckets")
+    # A node's rank is how many in all share its buckets.
+    crowd = each.join(some, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("buckets"), F.sum("n").alias("rank"))
+    crowd = materialize(crowd, "dup-crowd")
+    texts = materialize(shingles_of(docs, nodes.select("node", "key").join(crowd.select("node"), "node")), "dup-texts")
+    discard(some)
+    # A bucket's pivot is the member with most company, so that the original of many copies comes first.
+    members = crowd.select("node", "rank", F.explode("buckets").alias("bucket"))
+    pivots = materialize(members.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("p")).select("bucket", F.col("p.node").alias("b")), "dup-pivots")
+    pairs = members.join(pivots, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct().select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
+    links = materialize(verify(pairs, texts, threshold), "dup-links")
+    labels = merge(crowd.select("node", "rank", F.col("node").alias("label")), links)
+    discard(pivots)
     # Candidates that met no common pivot, such as texts that share a passage, are told
-    # apart by their rarest shingles, exactly and without meeting each other.
-    left = mixed(members, labels)
-    rest = materialize(texts.join(left.select("node").distinct(), "node"), "dup-rest")
-    discard(left, members)
+    # apart by their rarest shingles, exactly.
+    open_nodes = several(members.drop("rank").join(labels, "node")).select("node").distinct()
+    rest = materialize(texts.join(open_nodes, "node"), "dup-rest")
     prefixes = materialize(rare_prefixes(rest, threshold), "dup-prefixes")
-    rarest = F.transform(F.array_sort(F.collect_list(F.struct("n", "bucket"))), lambda x: x["bucket"])
-    own = prefixes.groupBy("node").agg(rarest.alias("prefix"))
-    sketches = nodes.select("node", *[F.get("sketch", F.lit(i)).alias(f"k{i}") for i in range(WORDS)]).join(own, "node")
-    rare = crowded(prefixes.drop("n"))
-    labels = link(rare, labels, texts, threshold, materialize(sketches, "dup-sketches"))
-    discard(rest, prefixes, rare, texts)
-    return nodes.select("node", "key").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
-
-
-def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that are not in one class yet."""
-    la, lb = labels.withColumnsRenamed({"node": "a", "label": "la"}), labels.withColumnsRenamed({"node": "b", "label": "lb"})
-    return pairs.join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
-
-
-def _merged(pairs: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """labels after the pairs are verified."""
-    todo = materialize(pairs, "dup-open")
-    edges = materialize(verify(todo, texts, threshold), "dup-edges")
-    out = merge(labels, edges)
-    discard(todo, edges)
+    labels = settle(prefixes, labels, texts, threshold)
+    out = materialize(nodes.select("node", "key").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label")), "dup-classes")
     return out
 
 
@@ -401,44 +367,57 @@ def order_of(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(1 << 62) + spread)
 
 
+def _tie(docs: DataFrame) -> Column:
+    """Tells rows of one id and text apart by their other columns."""
+    plain = [F.col(f.name) for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, key, ord, class_id, class_ord, class_key, n_class: one row for each document.
+    """doc_id, key, ord, tie, class_id, n_class and representative: one row for each document.
 
-    A document is its class's representative where ``ord`` is ``class_ord``. Classes can have
-    the same least document id; ``class_key``, the least text of that id, tells them apart. It
-    is null for texts without words.
+    Texts without words have null instead of ``representative``.
     """
-    classes = materialize(node_classes(docs, threshold), "dup-classes")
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), order_of(F.col("doc_id"), F.col("text")).alias("ord"))
+    return _near_duplicates(docs, threshold)
+
+
+@tidy
+def _near_duplicates(docs: DataFrame, threshold: float) -> DataFrame:
+    classes = node_classes(docs, threshold)
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), order_of(F.col("doc_id"), F.col("text")).alias("ord"), _tie(docs).alias("tie"))
     rows = materialize(rows, "dup-rows")
     # Rows, then texts, then classes: each minimum shrinks its input before it is shuffled.
-    by_text = rows.groupBy("key").agg(F.min("ord").alias("o"), F.min("doc_id").alias("d"), F.count("*").alias("n")).join(classes, "key")
-    by_class = by_text.groupBy("label").agg(F.min(F.struct("o", "key")).alias("m"), F.min("d").alias("class_id"), F.sum("n").alias("n_class"))
-    by_class = by_class.select("label", F.col("m.o").alias("class_ord"), F.col("m.key").alias("class_key"), "class_id", "n_class")
-    of_text = materialize(by_text.select("key", "label").join(by_class, "label").drop("label"), "dup-of-text")
-    out = rows.join(of_text, "key", "left")
-    alone = F.col("class_ord").isNull()
-    return out.select(
-        "doc_id", "key", "ord",
+    by_text = rows.groupBy("key").agg(F.min(F.struct("ord", "tie")).alias("m"), F.min("doc_id").alias("d"), F.count("*").alias("n")).join(classes, "key")
+    by_text = materialize(by_text, "dup-by-text")
+    by_class = by_text.groupBy("label").agg(F.min(F.struct("m.ord", "key", "m.tie")).alias("m"), F.min("d").alias("class_id"), F.sum("n").alias("n_class"))
+    of_text = by_text.select("key", "label").join(materialize(by_class, "dup-by-class"), "label").drop("label")
+    out = rows.join(materialize(of_text, "dup-of-text"), "key", "left")
+    alone = F.col("m").isNull()
+    return materialize(out.select(
+        "doc_id", "key", "ord", "tie",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_ord", "ord").alias("class_ord"),
-        "class_key",
         F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"),
-    )
+        (F.struct("ord", "key", "tie") == F.col("m")).alias("representative"),
+    ), "dup-documents")
+
+
+@tidy
+def _kept(docs: DataFrame, threshold: float) -> DataFrame:
+    found = _near_duplicates(docs, threshold).where("representative")
+    return materialize(found.select(F.col("key").alias("__key"), F.col("ord").alias("__ord"), F.col("tie").alias("__tie")).distinct(), "dup-kept")
 
 
 def representatives(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One document of each class, the one with the least id, with all its columns; all texts without words."""
-    # Of several texts of one class under its least id the least stays.
-    one = near_duplicates(docs, threshold).where("ord = class_ord AND key = class_key").select(F.col("key").alias("__key"), F.col("ord").alias("__ord")).distinct()
-    own = docs.withColumns({"__ord": order_of(F.col("doc_id"), F.col("text")), "__key": text_key(F.col("text"))})
-    kept = own.join(one, ["__ord", "__key"]).dropDuplicates(["__ord", "__key"]).select(*docs.columns)
+    at = ["__ord", "__key", "__tie"]
+    own = docs.withColumns({"__ord": order_of(F.col("doc_id"), F.col("text")), "__key": text_key(F.col("text")), "__tie": _tie(docs)})
+    kept = own.join(_kept(docs, threshold), at).dropDuplicates(at).select(*docs.columns)
     return kept.unionByName(docs.where(F.size(word_hashes(F.col("text"))) == 0))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "n_class", (F.col("ord") == F.col("class_ord")).alias("is_representative"))
+    return found.select("doc_id", "class_id", "n_class", F.coalesce("representative", F.lit(True)).alias("is_representative"))
 
 
 SQL: dict[str, str] = {}
