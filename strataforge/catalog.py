@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import graph, lines, patterns, ranking, resolve, units
+from .operators import graph, imports, lines, patterns, ranking, resolve, units
 from .schemas import TABLES, UNIT_CHILDREN, UPSERT_KEYS
 from .sources.files import is_env_example, is_schema_file, last_by, should_process
 
@@ -32,6 +32,16 @@ class Catalog:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def migrate(self) -> Catalog:
+        """The tables that ``root`` lacks are made, empty; run again it does nothing.
+
+        Columns that an older table lacks are read as null, so they need no step of their own.
+        """
+        for name, schema in TABLES.items():
+            if not self._exists(f"{self.root}/{name}"):
+                self.spark.createDataFrame([], T.StructType.fromDDL(schema)).write.parquet(f"{self.root}/{name}")
+        return Catalog(self.spark, root=self.root)
+
     @cached_property
     def units_top(self) -> DataFrame:
         """Units without a parent: what most queries see."""
@@ -77,6 +87,10 @@ class Catalog:
         kept["pattern_template_followers"] = followers.join(live, "template_id", "left_semi").select(followers.columns)
         return kept
 
+    def drop_files(self, paths: DataFrame) -> dict[str, DataFrame]:
+        """All tables after the units of the files in ``paths`` (file_path) are removed, with all that hangs on them."""
+        return self.drop_units(self["code_units"].join(paths, "file_path", "left_semi").select("id"))
+
     def record_run(self, result: DataFrame) -> DataFrame:
         """Run results with this one appended; its id is one more than the last."""
         last = self["analysis_results"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
@@ -90,13 +104,13 @@ def analyse(files: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str,
     """§3.1: every table of the catalog from files (file_path, content, seq, sha256, language)."""
     spark = files.sparkSession
     code = files.where(should_process(F.col("file_path"), include, exclude, skip_tests))
-    found = graph.settle(units.code_units(code), "units")
-    bodies = graph.settle(lines.unit_bodies(found, code), "bodies")
+    whole = graph.settle(units.units_with_bodies(code), "units")
+    found, bodies = whole.drop("body"), units.bodies_of(whole)
     tables = {"files": files, "code_units": found, "code_unit_patterns": graph.settle(patterns.unit_patterns(bodies, found), "patterns")}
     tables["module_patterns"] = patterns.module_patterns(code, found)
-    imports = lines.js_imports(code.where(F.col("language").isin(*units.JS_FILES))).unionByName(lines.other_imports(code.where(~F.col("language").isin(*units.JS_FILES))))
-    imports = imports.withColumn("id", F.sha2(F.concat_ws("|", "source_file", "target_file"), 256)).select("id", "source_file", "target_file", "import_type", "imported_names", F.col("seq").cast("long").alias("seq"))
-    tables["file_dependencies"] = graph.settle(last_by(imports, UPSERT_KEYS["file_dependencies"]), "imports")
+    told = lines.js_imports(code.where(F.col("language").isin(*units.JS_FILES))).unionByName(imports.other_imports(code))
+    told = told.withColumn("id", F.sha2(F.concat_ws("|", "source_file", "target_file"), 256)).select("id", "source_file", "target_file", "import_type", "imported_names", F.col("seq").cast("long").alias("seq"))
+    tables["file_dependencies"] = graph.settle(last_by(told, UPSERT_KEYS["file_dependencies"]), "imports")
     tables |= lines.deep_rows(bodies)
     resolved = resolve.resolve_calls(tables["function_calls"], found).select("id", F.col("callee_unit_id").alias("u"), F.col("callee_file_path").alias("f"))
     calls = tables["function_calls"].join(resolved, "id").withColumns({"callee_unit_id": F.col("u"), "callee_file_path": F.col("f")}).drop("u", "f")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog
-from .operators import graph, lines, patterns, ranking, resolve, units
+from .operators import graph, imports, lines, patterns, ranking, resolve, units
 from .plans import reports, tools
 from .schemas import TABLES
 from .sources import files as sources
@@ -77,9 +77,9 @@ def corpus_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def corpus_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files, found = corpus_units(spark, sf_dir)
-    found = graph.settle(found, "units")
-    return files, found, lines.unit_bodies(found, files)
+    files = corpus(spark, sf_dir)
+    whole = graph.settle(units.units_with_bodies(files), "units")
+    return files, whole.drop("body"), units.bodies_of(whole)
 
 
 def named(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -117,13 +117,13 @@ def e_imports(spark, sf_dir):
     return d.select("source_file", "target_file", "import_type", F.array_join("imported_names", ",").alias("names"))
 
 
-@query("""SELECT concat('p', k) AS source_file, CASE k % 2 WHEN 0 THEN concat('lib/m', k) ELSE concat('pkg.m', k) END AS target_file, CASE k % 2 WHEN 0 THEN 'NAMED' ELSE 'MODULE' END AS import_type
+@query("""SELECT concat('p', k) AS source_file, CASE k % 2 WHEN 0 THEN concat('lib/m', k) ELSE concat('pkg.m', k) END AS target_file, 'NAMED' AS import_type
   FROM (SELECT p_partkey AS k FROM part)""")
 def e_imports_python(spark, sf_dir):
     p = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     text = F.expr(r"if(k % 2 = 0, concat('from .m', k, ' import x\n'), concat('x = 1\nimport pkg.m', k, '\n'))")
     rows = p.select(F.expr("concat('lib/p', k)").alias("file_path"), text.alias("content"), F.lit("python").alias("language"))
-    return lines.other_imports(rows).select(F.regexp_replace("source_file", "lib/", "").alias("source_file"), "target_file", "import_type")
+    return imports.other_imports(rows).select(F.regexp_replace("source_file", "lib/", "").alias("source_file"), "target_file", "import_type")
 
 
 @query(f"""SELECT {PATH} AS file_path, concat('f', k) AS name, 'FUNCTION' AS unit_type, 3 AS line_start, 9 AS line_end, '(a: string, b: number)' AS signature, k % 2 = 0 AS is_async, true AS is_exported FROM {C}
@@ -352,9 +352,12 @@ def d_scc(spark, sf_dir):
     return graph.strong_components(supplier_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {SUPP}, s AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT component, count(*) AS length, count(*) + 1 AS path_size FROM s GROUP BY component")
+@query(f"""WITH RECURSIVE {SUPP}, s AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+  w AS (SELECT component, component AS "at", component::VARCHAR AS path, 1 AS n FROM (SELECT DISTINCT component FROM s)
+    UNION ALL SELECT w.component, e.dst, w.path || '>' || e.dst, w.n + 1 FROM w JOIN e ON e.src = w."at" WHERE w.n = 1 OR w."at" <> w.component)
+  SELECT component, (n - 1)::BIGINT AS length, path FROM w WHERE n > 1 AND w."at" = component""")
 def d_cycles(spark, sf_dir):
-    return graph.cycles(supplier_edges(spark, sf_dir)).select("component", "length", F.size("path").cast("long").alias("path_size"))
+    return graph.cycles(supplier_edges(spark, sf_dir)).select("component", "length", F.array_join("path", ">").alias("path"))
 
 
 def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,7 +487,7 @@ def q03_search(spark, sf_dir):
     return tools.search(catalog(spark, sf_dir), "AN").rows.select("id", "name")
 
 
-@query(f"WITH u AS {U_SQL}, p AS {P_SQL} SELECT id, name FROM u WHERE id IN (SELECT code_unit_id FROM p WHERE lower(pattern_value) LIKE '%post /1%' OR lower(pattern_type) LIKE '%post /1%') ORDER BY seq LIMIT 50")
+@query(f"WITH u AS {U_SQL}, p AS {P_SQL} SELECT id, name FROM u WHERE id IN (SELECT code_unit_id FROM p WHERE lower(pattern_value) LIKE '%post /1%') ORDER BY seq LIMIT 50")
 def q03_search_patterns(spark, sf_dir):
     return tools.search(catalog(spark, sf_dir), "post /1", "pattern", 50).rows.select("id", "name")
 
@@ -601,10 +604,24 @@ def q16_matches(spark, sf_dir):
     return m.join(c["pattern_templates"].select("id", F.array_join("pattern_types", "|").alias("combo")), "id").select("combo", "score")
 
 
-@query(f"""WITH {COMBO}, h AS (SELECT DISTINCT pattern_type FROM p JOIN u ON u.id = p.code_unit_id WHERE file_path = 'Brand#3') SELECT u.file_path, arg_min(u.name, u.seq) AS unit_name FROM u
-  WHERE u.file_path <> 'Brand#3' AND u.id IN (SELECT code_unit_id FROM p WHERE pattern_type IN (FROM h)) GROUP BY u.file_path ORDER BY min(u.seq) LIMIT 5""")
+def fresh_file(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Tables with templates, and a file that only its text tells of."""
+    c = template_catalog(spark, sf_dir)
+    text = "export async function load(id: string) {\n  const all = await axios.get('/all');\n  return process.env.KEY;\n}\nexport const late = () => fetch(base);\n"
+    c.tables["files"] = sources.with_file_columns(spark.createDataFrame([("src/new.ts", text)], "file_path string, content string"))
+    return c
+
+
+@query(f"""WITH {COMBO} SELECT u.file_path, arg_min(u.name, u.seq) AS unit_name FROM u WHERE u.id IN (SELECT code_unit_id FROM p WHERE pattern_type IN ('API_CALL', 'ENV_VARIABLE')) GROUP BY u.file_path ORDER BY min(u.seq) LIMIT 5""")
 def q17_similar_files(spark, sf_dir):
-    return tools.validate_file(template_catalog(spark, sf_dir), "Brand#3").parts["similar_files"]
+    return tools.validate_file(fresh_file(spark, sf_dir), "src/new.ts").parts["similar_files"]
+
+
+@query("""SELECT * FROM (VALUES ('load', 'API_CALL', 'GET /all'), ('load', 'ENV_VARIABLE', 'KEY'), ('late', 'API_CALL', 'base')) t(unit, pattern_type, pattern_value)""")
+def q17_patterns(spark, sf_dir):
+    found = tools.validate_file(fresh_file(spark, sf_dir), "src/new.ts")
+    units_ = found.rows.select(F.col("id").alias("code_unit_id"), F.col("name").alias("unit"))
+    return found.parts["patterns"].join(units_, "code_unit_id").select("unit", "pattern_type", "pattern_value")
 
 
 @query(f"""WITH c AS {CALL_SQL}, u AS {U_SQL}, x AS (SELECT name FROM u WHERE id = '3') SELECT DISTINCT c.id, c.callee_name FROM c WHERE c.callee_name = (FROM x)""")

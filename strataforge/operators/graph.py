@@ -6,7 +6,7 @@ import uuid
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A component of more files is split by directory.
@@ -15,21 +15,36 @@ MAX_ENTRY_POINTS = 3
 LEADING_DIRS = ("src", "lib", "app", "packages")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # One process on one machine: the warehouse is as durable as anything there.
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/.strataforge"
+
+
 def settle(df: DataFrame, name: str = "graph") -> DataFrame:
     """Write an intermediate of an iteration to the shared checkpoint folder and read it back.
 
     Lineage ends there, so plans stay short and a lost executor costs a re-read.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataforge-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, so that rounds don't fill the folder."""
+    for df in tables:
+        if path := getattr(df, "settled_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def edges_of(dependencies: DataFrame, reverse: bool = False) -> DataFrame:
@@ -69,75 +84,90 @@ def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, w
     return seen.where("depth > 0")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the undirected graph; the component is its least node.
+def least_reaching(edges: DataFrame, nodes: DataFrame, label: str = "label", mark: Column | None = None) -> DataFrame:
+    """(node, label): the least mark of a node from which a node (node) is reached along the edges (src, dst), or its own.
 
-    Each round takes the least label of a node and its neighbours, then jumps to that
-    label's own label, so long chains halve; rows move by hash of the node only.
+    A node's mark is itself, or an expression of it. Each round takes the least label of a node
+    and those before it, then jumps to that label's own label: what reaches the label reaches
+    the node. So a label comes from about twice as far each round, if the order of marks has
+    nothing to do with the way.
     """
+    own = F.col("node") if mark is None else mark
+    labels = settle(nodes.select("node", own.alias("label")), "labels")
+    while True:
+        behind = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("l")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("l").alias("l"))
+        stepped = labels.join(behind, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
+        jump = labels.select(own.alias("label"), F.col("label").alias("up"))
+        seen = Observation()
+        new = stepped.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
+        new = settle(new.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("moved")).drop("old"), "labels")
+        forget(labels)
+        labels = new
+        if not seen.get["moved"]:
+            return labels.withColumnRenamed("label", label)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the undirected graph; the component is its least node."""
     both = edges.where("src <> dst").select("src", "dst")
     both = settle(both.union(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "components-edges")
-    labels = settle(nodes_of(edges).withColumn("label", F.col("node")), "components")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("l")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("l").alias("l"))
-        stepped = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = settle(stepped.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "components")
-        labels = new.select("node", "label")
-        if new.where("old <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    out = least_reaching(both, nodes_of(edges), "component")
+    forget(both)
+    return out
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left after nodes without in- or out-edges are dropped again and again."""
+    """Edges left after nodes without in- or out-edges are dropped, as long as that drops a tenth of them."""
     core = settle(edges, "core")
-    n = core.count()
-    while n:
+    n = dropped = core.count()
+    while n and 10 * dropped >= n:
         ends = core.select(F.col("dst").alias("src")).distinct()
         begins = core.select(F.col("src").alias("dst")).distinct()
-        core = settle(core.join(ends, "src", "left_semi").join(begins, "dst", "left_semi").select("src", "dst"), "core")
-        n, before = core.count(), n
-        if n == before:
-            break
+        new = settle(core.join(ends, "src", "left_semi").join(begins, "dst", "left_semi").select("src", "dst"), "core")
+        forget(core)
+        core, before, n = new, n, new.count()
+        dropped = before - n
     return core
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on cycles; the component is its least node.
 
-    Forward-backward colouring: every node takes the least node that reaches it as its
-    colour; going backward from a colour's root within the colour marks that root's
-    component. Components found leave the graph, the rest is trimmed and coloured again.
+    Nodes of a component agree on the least node that reaches them, their colour, and on the
+    least node ahead of them. Edges whose ends don't agree are cut, until none is cut: then
+    the least node of what hangs together is colour and goal of all of it, so it reaches all
+    and all reach it. Least is by a hash, so that long ways in the nodes' own order take few rounds.
     """
-    left, found = cyclic_core(edges), None
-    while not left.isEmpty():
-        colour = settle(nodes_of(left).withColumn("colour", F.col("node")), "scc")
-        while True:
-            into = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c"))
-            new = settle(colour.join(into, "node", "left").select("node", F.col("colour").alias("old"), F.least("colour", F.coalesce("c", "colour")).alias("colour")), "scc")
-            colour = new.select("node", "colour")
-            if new.where("old <> colour").isEmpty():
-                break
-        inside = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd")
-        inside = settle(inside.select("src", "dst", F.col("cs").alias("colour")), "scc-edges")
-        member = settle(colour.where("node = colour"), "scc-members")
-        frontier = member
-        while not frontier.isEmpty():
-            back = inside.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            frontier = settle(back.join(member, ["node", "colour"], "left_anti"), "scc-members")
-            member = settle(member.unionByName(frontier), "scc-members")
-        part = member.select("node", F.col("colour").alias("component"))
-        found = part if found is None else found.unionByName(part)
-        gone = member.select("node")
-        rest = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        left = cyclic_core(rest.select("src", "dst"))
+    mark = F.struct(F.xxhash64("node").alias("h"), "node")
+    left = cyclic_core(edges.where("src <> dst").select("src", "dst").distinct())
+    n, found = left.count(), None
+    while n:
+        colour = least_reaching(left, nodes_of(left), "colour", mark)
+        inside = left.join(colour.withColumnRenamed("node", "src"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("colour = c2")
+        back = settle(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-edges")
+        ahead = least_reaching(back, colour.select("node"), "ahead", mark)
+        kept = back.join(ahead.withColumnRenamed("node", "src"), "src").join(ahead.select(F.col("node").alias("dst"), F.col("ahead").alias("a2")), "dst").where("ahead = a2")
+        kept = settle(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-left")
+        forget(left, back, ahead)
+        left, before, n = kept, n, kept.count()
+        if n == before:
+            least = colour.groupBy("colour").agg(F.min("node").alias("component"))
+            found = colour.join(least, "colour").select("node", "component")
+            break
+        forget(colour)
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
     if found is None:
-        return nodes_of(edges).select("node", F.col("node").alias("component")).limit(0)
-    found = settle(found, "scc-found")
-    size = found.groupBy("component").agg(F.count("*").alias("n"))
-    loops = edges.where("src = dst").select(F.col("src").alias("component")).distinct()
-    kept = size.where("n > 1").select("component").union(size.where("n = 1").select("component").join(loops, "component", "left_semi"))
-    return found.join(kept.distinct(), "component").select("node", "component")
+        return loops.withColumn("component", F.col("node"))
+    alone = loops.join(found, "node", "left_anti").withColumn("component", F.col("node"))
+    return settle(found.unionByName(alone), "scc-found")
+
+
+def on_cycle(edges: DataFrame, node) -> DataFrame:
+    """One row (cycles): 1 if the node lies on a cycle. Only what it reaches is looked at."""
+    start = edges.sparkSession.createDataFrame([(node,)], f"start {edges.schema['src'].dataType.simpleString()}")
+    ahead = closure(edges, start).select("node").union(start)
+    back = edges.where(F.col("dst") == F.lit(node)).join(ahead, F.col("src") == F.col("node"), "left_semi")
+    return back.agg(F.least(F.count("*"), F.lit(1)).alias("cycles"))
 
 
 def _walk(rows: pd.DataFrame) -> pd.DataFrame:
@@ -158,7 +188,8 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """One representative path for each cyclic component, shortest first.
 
-    Components are small next to the graph: their cores only, grouped by component.
+    A path's order decides its next step, so a component is walked by one task, which
+    holds the edges inside it and nothing else.
     """
     parts = strong_components(edges)
     inner = edges.join(parts.withColumnRenamed("node", "src"), "src").join(parts.withColumnsRenamed({"node": "dst", "component": "c2"}), "dst").where("component = c2")

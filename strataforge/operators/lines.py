@@ -220,34 +220,6 @@ def js_imports(files: DataFrame) -> DataFrame:
     return first
 
 
-# fixed values: import statements of the other languages; group 1 is the target
-IMPORTS = {
-    "python": ((r"(?m)^\s*from\s+([.A-Za-z0-9_]+)\s+import\s", "NAMED"), (r"(?m)^\s*import\s+([A-Za-z0-9_.]+)", "MODULE")),
-    "go": ((r"(?m)^\s*import\s+(?:[A-Za-z0-9_.]+\s+)?\"([^\"]+)\"", "MODULE"), (r"(?m)^\s+(?:[A-Za-z0-9_.]+\s+)?\"([^\"\s]+)\"\s*$", "MODULE")),
-    "java": ((r"(?m)^\s*import\s+(?:static\s+)?([A-Za-z0-9_.]+(?:\.\*)?)\s*;", "NAMED"),),
-    "rust": ((r"(?m)^\s*(?:pub\s+)?use\s+([A-Za-z0-9_:]+[A-Za-z0-9_])", "USE"), (r"(?m)^\s*(?:pub\s+)?mod\s+([A-Za-z0-9_]+)\s*;", "MODULE")),
-    "csharp": ((r"(?m)^\s*using\s+(?:static\s+)?([A-Za-z0-9_.]+)\s*;", "USING"),),
-}
-
-
-def _typed(paths: Column, kind: str) -> Column:
-    return F.transform(paths, lambda x: F.struct(x.alias("path"), F.lit(kind).alias("type")))
-
-
-def other_imports(files: DataFrame) -> DataFrame:
-    """Imports of Python, Go, Java, Rust and C# in the spelling of the language; Python's relative ones as paths."""
-    found = F.array().cast("array<struct<path:string,type:string>>")
-    for language, forms in IMPORTS.items():
-        hits = F.concat(*[_typed(F.regexp_extract_all("content", F.lit(p), F.lit(1)), kind) for p, kind in forms])
-        found = F.when(F.col("language") == language, hits).otherwise(found)
-    each = files.select(F.col("file_path").alias("source_file"), F.posexplode(found).alias("seq", "x")).select("source_file", "seq", "x.path", "x.type")
-    dots = F.length(F.regexp_extract("path", r"\A(\.*)", 1))
-    up = F.concat(F.repeat(F.lit("../"), dots - 1), F.replace(F.expr("substring(path, length(regexp_extract(path, '^([.]*)', 1)) + 1)"), F.lit("."), F.lit("/")))
-    target = F.when(dots > 0, join_path(F.col("source_file"), up)).otherwise(F.col("path"))
-    rows = each.withColumn("target_file", target).where("target_file <> ''")
-    return rows.groupBy("source_file", "target_file", F.col("type").alias("import_type")).agg(F.min("seq").cast("long").alias("seq")).withColumn("imported_names", F.array().cast("array<string>"))
-
-
 def sql_columns(sql: Column) -> Column:
     """E14 for SQL text: struct(read, write) of column names; ``*`` where they can't be told; null for other text."""
     last = lambda c: F.trim(F.element_at(F.split(F.trim(c), r"\."), -1))

@@ -30,7 +30,10 @@ class Rule(NamedTuple):
 JS = ("javascript", "typescript")
 EVERY = ("javascript", "typescript", "python", "go", "java", "rust", "csharp")
 Q = r"['\"`]([^'\"`]+)['\"`]"
+P = r"['\"]([^'\"]+)['\"]"
 D = r"\"([^\"]+)\""
+W = r"[A-Za-z0-9_]+"
+NAME = r"[A-Z_][A-Z0-9_]*"
 VERBS = "get|post|put|patch|delete"
 UPPER = "GET|POST|PUT|PATCH|DELETE"
 TITLE = "Get|Post|Put|Patch|Delete"
@@ -41,99 +44,112 @@ LEAD, WINDOW = 10, 500
 # fixed values: what is recognised, by language, and the text recorded for it
 RULES = (
     Rule(JS, "API_ENDPOINT", rf"{B}(?:app|router|server|fastify|hono)\.({VERBS})\s*\(\s*{Q}", "{1:u} {2}"),
-    Rule(JS, "API_ENDPOINT", rf"export\s+(?:async\s+)?function\s+({UPPER}){E}", "{1}"),
-    Rule(JS, "API_ENDPOINT", rf"@({TITLE})\s*\(\s*(?:['\"]([^'\"]*)['\"])?", "{1:u} {2|/}"),
-    Rule(JS, "API_CALL", rf"{B}fetch\s*\(\s*['\"`]?([^'\"`,)]+)", "{1}"),
-    Rule(JS, "API_CALL", rf"{B}axios\.({VERBS}|request)\s*\(\s*['\"`]?([^'\"`,)]+)", "{1:u} {2}"),
+    Rule(JS, "API_ENDPOINT", rf"export\s+(?:async\s+)?function\s+({UPPER})\s*\(", "{1}"),
+    Rule(JS, "API_ENDPOINT", rf"@({TITLE})\s*\(\s*(?:['\"`]([^'\"`]*)['\"`])?\s*\)", "{1:u} {2|/}"),
+    Rule(JS, "API_CALL", rf"{B}fetch\s*\(\s*['\"`]?([^\s'\"`,)]+)", "{1}"),
+    Rule(JS, "API_CALL", rf"axios\.({VERBS}|request)\s*\(\s*['\"`]?([^\s'\"`,)]+)", "{1:u} {2}"),
     Rule(JS, "API_CALL", rf"{B}http\.({VERBS})\s*\(\s*{Q}", "{1:u} {2}"),
-    Rule(JS, "DATABASE_READ", r"\.([A-Za-z0-9_]+)\.(find(?:Many|First|Unique)(?:OrThrow)?)\s*\(", "prisma.{1}.{2}"),
-    Rule(JS, "DATABASE_READ", r"\.([A-Za-z0-9_]+)\.(count|aggregate)\s*\(", "prisma.{1}.{2}"),
-    Rule(JS, "DATABASE_READ", r"Repository[^;\n]*\.find(?:One|ById|Many)?\s*\(", "TypeORM find"),
-    Rule(JS, "DATABASE_READ", r"\.find(?:One|ById)?\s*\(\s*\{", "Mongoose find"),
-    Rule(JS, "DATABASE_WRITE", r"\.([A-Za-z0-9_]+)\.(create|createMany|update|updateMany|delete|deleteMany|upsert)\s*\(", "prisma.{1}.{2}"),
-    Rule(JS, "DATABASE_WRITE", r"Repository[^;\n]*\.save\s*\(", "TypeORM save"),
+    Rule(JS, "DATABASE_READ", rf"{B}{W}\.({W})\.find(?:First|Many|Unique)", "prisma.{1}.find*"),
+    Rule(JS, "DATABASE_READ", rf"{B}{W}\.({W})\.count\s*\(", "prisma.{1}.count"),
+    Rule(JS, "DATABASE_READ", rf"{B}{W}\.({W})\.aggregate\s*\(", "prisma.{1}.aggregate"),
+    Rule(JS, "DATABASE_READ", r"Repository.*\.find(?:ById|Many|One)?\s*\(", "TypeORM find"),
+    Rule(JS, "DATABASE_READ", r"\.find(?:ById|One)?\s*\(\s*\{", "Mongoose find"),
+    Rule(JS, "DATABASE_WRITE", rf"{B}{W}\.({W})\.((?:create|update|delete)(?:Many)?|upsert)", "prisma.{1}.{2}"),
+    Rule(JS, "DATABASE_WRITE", r"Repository.*\.save\s*\(", "TypeORM save"),
     Rule(JS, "DATABASE_WRITE", r"\.save\s*\(\s*\)", "Mongoose save"),
-    Rule(JS, "EXTERNAL_SERVICE", r"new\s+(?:AWS\.)?([A-Z][A-Za-z0-9]*Client)\s*\(", "AWS {1}"),
-    Rule(JS, "EXTERNAL_SERVICE", r"sgMail\.(send|sendMultiple)", "sendgrid.{1}"),
-    Rule(JS, "EXTERNAL_SERVICE", r"resend\.(emails|domains)", "resend.{1}"),
-    Rule(JS, "ENV_VARIABLE", r"process\.env\.([A-Za-z0-9_]+)", "{1}"),
-    Rule(JS, "ENV_VARIABLE", r"process\.env\[\s*['\"]([^'\"]+)['\"]", "{1}"),
-    Rule(JS, "ENV_VARIABLE", r"import\.meta\.env\.([A-Za-z0-9_]+)", "{1}"),
-    Rule(JS, "ENV_VARIABLE", r"Deno\.env\.get\(\s*['\"]([^'\"]+)['\"]", "{1}"),
-    Rule(("python",), "API_ENDPOINT", rf"@(?:app|router)\.({VERBS})\s*\(\s*{Q}", "{1:u} {2}"),
-    Rule(("python",), "API_ENDPOINT", rf"@[A-Za-z0-9_]+\.route\s*\(\s*{Q}(?:[^)\n]*methods\s*=\s*\[([^\]]*)\])?", "{2:list|GET} {1}"),
-    Rule(("python",), "API_ENDPOINT", r"@api_view\s*\(\s*\[([^\]]*)\]", "{1:list}"),
-    Rule(("python",), "API_ENDPOINT", rf"{B}(?:re_)?path\s*\(\s*r?['\"]([^'\"]*)['\"]", "ROUTE {1}"),
-    Rule(("python",), "API_ENDPOINT", r"class\s+([A-Za-z0-9_]+View(?:Set)?)\s*\(", "VIEWSET {1}"),
-    Rule(("python",), "API_CALL", rf"{B}(?:requests|httpx)\.({VERBS})\s*\(\s*f?{Q}", "{1:u} {2}"),
-    Rule(("python",), "API_CALL", rf"urllib\.request\.urlopen\s*\(\s*{Q}", "{1}"),
-    Rule(("python",), "DATABASE_READ", rf"{B}([A-Za-z0-9_]+)\.objects\.(filter|get|all|exclude|values|values_list|first|last|count|exists)\s*\(", "{1}.objects.{2}"),
-    Rule(("python",), "DATABASE_READ", r"session\.query\s*\(\s*([A-Za-z0-9_]+)", "session.query({1})"),
-    Rule(("python",), "DATABASE_READ", r"session\.execute\s*\(\s*select\s*\(", "session.execute(select("),
-    Rule(("python",), "DATABASE_WRITE", rf"{B}([A-Za-z0-9_]+)\.objects\.(create|bulk_create|update|delete|get_or_create|update_or_create)\s*\(", "{1}.objects.{2}"),
-    Rule(("python",), "DATABASE_WRITE", r"\.save\s*\(", "model.save()"),
-    Rule(("python",), "DATABASE_WRITE", r"session\.(add|delete|merge|commit|flush|bulk_[a-z_]+)\s*\(", "session.{1}"),
-    Rule(("python",), "EXTERNAL_SERVICE", rf"boto3\.client\s*\(\s*{Q}", "AWS {1}"),
-    Rule(("python",), "ENV_VARIABLE", r"os\.environ\[\s*['\"]([^'\"]+)['\"]", "{1}"),
-    Rule(("python",), "ENV_VARIABLE", r"os\.(?:environ\.get|getenv)\s*\(\s*['\"]([^'\"]+)['\"]", "{1}"),
-    Rule(("go",), "API_ENDPOINT", rf"{B}(?:r|e|g|router|echo|group|api|v1)\.({UPPER})\s*\(\s*{D}", "{1} {2}"),
+    Rule(JS, "EXTERNAL_SERVICE", rf"new\s+(?:AWS\.)?({W}Client)\s*\(", "AWS {1}"),
+    Rule(JS, "EXTERNAL_SERVICE", r"sgMail\.(send)", "sendgrid.{1}"),
+    Rule(JS, "EXTERNAL_SERVICE", r"(?i)resend\.(domains|emails)", "resend.{1}"),
+    Rule(JS, "ENV_VARIABLE", rf"process\.env\.({NAME})", "{1}"),
+    Rule(JS, "ENV_VARIABLE", rf"process\.env\[['\"]({NAME})['\"]\]", "{1}"),
+    Rule(JS, "ENV_VARIABLE", rf"import\.meta\.env\.({NAME})", "{1}"),
+    Rule(JS, "ENV_VARIABLE", rf"Deno\.env\.get\s*\(\s*['\"]({NAME})['\"]\s*\)", "{1}"),
+    Rule(("python",), "API_ENDPOINT", rf"@(?:app|blueprint)\.route\s*\(\s*{P}(?:.*methods\s*=\s*\[([^\]]+)\])?\)", "{2:list|GET} {1}"),
+    Rule(("python",), "API_ENDPOINT", rf"@(?:app|router)\.({VERBS})\s*\(\s*{P}", "{1:u} {2}"),
+    Rule(("python",), "API_ENDPOINT", r"@api_view\s*\(\s*\[([^\]]+)\]\s*\)", "{1:list}"),
+    Rule(("python",), "API_ENDPOINT", rf"(?:re_)?path\s*\(\s*r?{P}", "ROUTE {1}"),
+    Rule(("python",), "API_ENDPOINT", rf"class\s+({W}View(?:Set)?)\s*\(", "VIEWSET {1}"),
+    Rule(("python",), "API_CALL", rf"requests\.({VERBS}|head|options)\s*\(\s*{P}", "{1:u} {2}"),
+    Rule(("python",), "API_CALL", rf"httpx\.({VERBS})\s*\(\s*{P}", "{1:u} {2}"),
+    Rule(("python",), "API_CALL", rf"urllib\.request\.urlopen\s*\(\s*{P}", "{1}"),
+    Rule(("python",), "DATABASE_READ", rf"({W})\.objects\.(aggregate|all|count|exclude|exists|filter|first|get|last|values(?:_list)?)\s*\(", "{1}.objects.{2}"),
+    Rule(("python",), "DATABASE_READ", rf"session\.query\s*\(\s*({W})\s*\)", "session.query({1})"),
+    Rule(("python",), "DATABASE_READ", r"session\.execute\s*\(\s*select\s*\(", "session.execute(select(...))"),
+    Rule(("python",), "DATABASE_WRITE", rf"({W})\.objects\.((?:bulk_)?(?:create|update)|delete|(?:get|update)_or_create)\s*\(", "{1}.objects.{2}"),
+    Rule(("python",), "DATABASE_WRITE", r"\.save\s*\(\s*\)", "model.save()"),
+    Rule(("python",), "DATABASE_WRITE", r"session\.(add|bulk_insert_mappings|bulk_save_objects|commit|delete|flush|merge)\s*\(", "session.{1}"),
+    Rule(("python",), "EXTERNAL_SERVICE", rf"boto3\.client\s*\(\s*['\"]({W})['\"]", "AWS {1}"),
+    Rule(("python",), "ENV_VARIABLE", rf"os\.environ\[['\"]({NAME})['\"]\]", "{1}"),
+    Rule(("python",), "ENV_VARIABLE", rf"os\.environ\.get\s*\(\s*['\"]({NAME})['\"]", "{1}"),
+    Rule(("python",), "ENV_VARIABLE", rf"os\.getenv\s*\(\s*['\"]({NAME})['\"]", "{1}"),
+    Rule(("go",), "API_ENDPOINT", rf"(?:r|router|group|api|v1)\.({UPPER}|HEAD|OPTIONS)\s*\(\s*{D}", "{1} {2}"),
+    Rule(("go",), "API_ENDPOINT", rf"(?:e|echo|g|group)\.({UPPER})\s*\(\s*{D}", "{1} {2}"),
     Rule(("go",), "API_ENDPOINT", rf"{B}(?:app|fiber|r|router|mux)\.({TITLE})\s*\(\s*{D}", "{1:u} {2}"),
     Rule(("go",), "API_ENDPOINT", rf"http\.HandleFunc\s*\(\s*{D}", "HANDLE {1}"),
-    Rule(("go",), "API_ENDPOINT", rf"(?<!http)\.HandleFunc\s*\(\s*\"((?:{UPPER}) [^\"]+)\"", "{1}"),
+    Rule(("go",), "API_ENDPOINT", rf"\.HandleFunc\s*\(\s*\"({UPPER})\s+([^\"]+)\"", "{1} {2}"),
     Rule(("go",), "API_CALL", rf"http\.(Get|Post|Head)\s*\(\s*{D}", "{1:u} {2}"),
-    Rule(("go",), "API_CALL", rf"http\.NewRequest\s*\(\s*{D}\s*,\s*{D}", "{1} {2}"),
-    Rule(("go",), "DATABASE_READ", r"\.(?:Query|QueryRow|QueryContext|QueryRowContext)\s*\(", "sql.Query"),
-    Rule(("go",), "DATABASE_READ", r"\.(?:Find|First|Last|Take)\s*\(\s*&", "GORM query"),
-    Rule(("go",), "DATABASE_READ", r"\.Where\s*\(", "GORM Where"),
-    Rule(("go",), "DATABASE_WRITE", r"\.(?:Exec|ExecContext)\s*\(", "sql.Exec"),
-    Rule(("go",), "DATABASE_WRITE", r"\.(?:Create|Save|Delete|Updates?)\s*\(\s*&", "GORM write"),
-    Rule(("go",), "ENV_VARIABLE", rf"os\.(?:Getenv|LookupEnv)\s*\(\s*{D}", "{1}"),
-    Rule(("java",), "API_ENDPOINT", rf"@({TITLE})Mapping\s*\(\s*(?:(?:value|path)\s*=\s*)?{D}", "{1:u} {2}"),
-    Rule(("java",), "API_ENDPOINT", rf"(?m)@({TITLE})Mapping\s*(?:\(\s*\))?\s*$", "{1:u} /"),
-    Rule(("java",), "API_ENDPOINT", rf"@RequestMapping\s*\(\s*(?:(?:value|path)\s*=\s*)?{D}(?:\s*,\s*method\s*=\s*RequestMethod\.([A-Z]+))?", "{2|GET} {1}"),
-    Rule(("java",), "API_CALL", r"[rR]estTemplate\.([A-Za-z]+)\s*\(", "RestTemplate.{1}"),
-    Rule(("java",), "API_CALL", rf"[wW]ebClient\.({VERBS}|create|builder)\s*\(", "WebClient.{1}"),
-    Rule(("java",), "DATABASE_READ", r"[eE]ntityManager\.(find|createQuery|createNativeQuery|getReference)\s*\(", "EntityManager.{1}"),
-    Rule(("java",), "DATABASE_READ", r"[rR]epository\.(find[A-Za-z]*|get[A-Za-z]*|count[A-Za-z]*|exists[A-Za-z]*)\s*\(", "Repository.{1}"),
-    Rule(("java",), "DATABASE_READ", r"(?i)@Query\s*\(\s*\"SELECT", "@Query SELECT"),
-    Rule(("java",), "DATABASE_WRITE", r"[eE]ntityManager\.(persist|merge|remove|flush)\s*\(", "EntityManager.{1}"),
-    Rule(("java",), "DATABASE_WRITE", r"[rR]epository\.(save[A-Za-z]*|delete[A-Za-z]*|update[A-Za-z]*)\s*\(", "Repository.{1}"),
-    Rule(("java",), "DATABASE_WRITE", r"(?i)@Query\s*\(\s*\"(?:INSERT|UPDATE|DELETE)", "@Query modification"),
-    Rule(("java",), "ENV_VARIABLE", r"@Value\s*\(\s*\"\$\{([^}:\"]+)", "{1}"),
-    Rule(("java",), "ENV_VARIABLE", rf"System\.get(?:env|Property)\s*\(\s*{D}", "{1}"),
-    Rule(("rust",), "API_ENDPOINT", rf"#\[({VERBS})\s*\(\s*{D}", "{1:u} {2}"),
-    Rule(("rust",), "API_ENDPOINT", rf"\.route\s*\(\s*{D}\s*,\s*(?:[A-Za-z0-9_]+::)*({VERBS})\s*\(", "{2:u} {1}"),
+    Rule(("go",), "API_CALL", rf"http\.NewRequest\s*\(\s*\"({W})\"\s*,\s*{D}", "{1} {2}"),
+    Rule(("go",), "DATABASE_READ", rf"{B}db\.Query(?:Row)?(?:Context)?\s*\(", "sql.Query"),
+    Rule(("go",), "DATABASE_READ", rf"{B}db\.(?:Count|Find|First|Last|Pluck|Scan|Take)\s*\(", "GORM query"),
+    Rule(("go",), "DATABASE_READ", rf"{B}db\.Where\s*\(", "GORM Where"),
+    Rule(("go",), "DATABASE_WRITE", rf"{B}db\.Exec(?:Context)?\s*\(", "sql.Exec"),
+    Rule(("go",), "DATABASE_WRITE", rf"{B}db\.(?:Create|Delete|Save|Unscoped|Updates?)\s*\(", "GORM write"),
+    Rule(("go",), "ENV_VARIABLE", rf"os\.Getenv\s*\(\s*\"({NAME})\"\s*\)", "{1}"),
+    Rule(("go",), "ENV_VARIABLE", rf"os\.LookupEnv\s*\(\s*\"({NAME})\"\s*\)", "{1}"),
+    Rule(("java",), "API_ENDPOINT", rf"@({TITLE})Mapping\s*\(\s*(?:value\s*=\s*)?{P}", "{1:u} {2}"),
+    Rule(("java",), "API_ENDPOINT", rf"(?m)@({TITLE})Mapping\s*$", "{1:u} /"),
+    Rule(("java",), "API_ENDPOINT", rf"@RequestMapping\s*\(.*?(?:value|path)\s*=\s*{P}.*?(?:method\s*=\s*RequestMethod\.({W}))?\)", "{2|GET} {1}"),
+    Rule(("java",), "API_CALL", r"restTemplate\.((?:get|post)For(?:Entity|Object)|exchange)\s*\(", "RestTemplate.{1}"),
+    Rule(("java",), "API_CALL", rf"webClient\.({VERBS})\s*\(\)", "WebClient.{1}"),
+    Rule(("java",), "DATABASE_READ", r"entityManager\.(find|create(?:Named|Native)?Query)\s*\(", "EntityManager.{1}"),
+    Rule(("java",), "DATABASE_READ", rf"repository\.(findBy{W}|findAll|getById|getOne|count|exists)\s*\(", "Repository.{1}"),
+    Rule(("java",), "DATABASE_READ", r"(?i)@Query\s*\(\s*[\"']SELECT\s", "@Query SELECT"),
+    Rule(("java",), "DATABASE_WRITE", r"entityManager\.(flush|merge|persist|remove)\s*\(", "EntityManager.{1}"),
+    Rule(("java",), "DATABASE_WRITE", r"repository\.(save(?:All|AndFlush)?|delete(?:All|ById)?)\s*\(", "Repository.{1}"),
+    Rule(("java",), "DATABASE_WRITE", r"(?i)@Query\s*\(\s*[\"'](?:INSERT|UPDATE|DELETE)\s", "@Query modification"),
+    Rule(("java",), "ENV_VARIABLE", r"@Value\s*\(\s*[\"']\$\{([^}]+)\}[\"']\s*\)", "{1}"),
+    Rule(("java",), "ENV_VARIABLE", rf"System\.getenv\s*\(\s*['\"]({NAME})['\"]\s*\)", "{1}"),
+    Rule(("java",), "ENV_VARIABLE", rf"System\.getProperty\s*\(\s*{P}\s*\)", "{1}"),
+    Rule(("rust",), "API_ENDPOINT", rf"#\[({VERBS})\s*\(\s*{D}\s*\)\]", "{1:u} {2}"),
+    Rule(("rust",), "API_ENDPOINT", rf"\.route\s*\(\s*{D}\s*,\s*({VERBS})\s*\(", "{2:u} {1}"),
     Rule(("rust",), "API_ENDPOINT", rf"web::(resource|scope)\s*\(\s*{D}", "{1:u} {2}"),
     Rule(("rust",), "API_CALL", rf"reqwest::({VERBS})\s*\(\s*{D}", "{1:u} {2}"),
-    Rule(("rust",), "DATABASE_READ", r"\.(?:load|get_result|get_results|first)::<|\.(?:load|get_results?)\s*\(\s*&mut", "diesel.query"),
-    Rule(("rust",), "DATABASE_READ", r"sqlx::query(?:_as)?(?:!|::<|\s*\()", "sqlx.query"),
-    Rule(("rust",), "DATABASE_READ", r"client\.query(?:_one|_opt)?\s*\(", "postgres.query"),
-    Rule(("rust",), "DATABASE_WRITE", r"diesel::(?:insert_into|update|delete)\s*\(", "diesel.write"),
-    Rule(("rust",), "DATABASE_WRITE", r"\.execute\s*\(\s*&(?:mut\s+)?(?:pool|conn|tx)", "sqlx.write"),
+    Rule(("rust",), "DATABASE_READ", r"\.(?:filter|first|get_results?|load|select)\s*[(:]", "diesel.query"),
+    Rule(("rust",), "DATABASE_READ", r"sqlx::query(?:_as|_scalar)?[!\s]*[(\[]", "sqlx.query"),
+    Rule(("rust",), "DATABASE_READ", r"client\.query\s*\(", "postgres.query"),
+    Rule(("rust",), "DATABASE_WRITE", r"diesel::(?:delete|insert_into|update)\s*\(", "diesel.write"),
+    Rule(("rust",), "DATABASE_WRITE", r"(?i)sqlx::query.*(?:INSERT|UPDATE|DELETE)", "sqlx.write"),
     Rule(("rust",), "DATABASE_WRITE", r"client\.execute\s*\(", "postgres.execute"),
-    Rule(("rust",), "ENV_VARIABLE", rf"(?:env|dotenv)::var\s*\(\s*{D}", "{1}"),
-    Rule(("csharp",), "API_ENDPOINT", rf"\[Http({TITLE})(?:\s*\(\s*{D}\s*\))?\s*\]", "{1:u} {2}"),
-    Rule(("csharp",), "API_ENDPOINT", rf"\[Route\s*\(\s*{D}", "ROUTE {1}"),
+    Rule(("rust",), "ENV_VARIABLE", rf"env::var\s*\(\s*\"({NAME})\"\s*\)", "{1}"),
+    Rule(("rust",), "ENV_VARIABLE", rf"dotenv::var\s*\(\s*\"({NAME})\"\s*\)", "{1}"),
+    Rule(("csharp",), "API_ENDPOINT", rf"\[Http({TITLE})\s*(?:\(\s*\"([^\"]*)\"\s*\))?\s*\]", "{1:u} {2}"),
+    Rule(("csharp",), "API_ENDPOINT", rf"\[Route\s*\(\s*{D}\s*\)\]", "ROUTE {1}"),
     Rule(("csharp",), "API_ENDPOINT", rf"app\.Map({TITLE})\s*\(\s*{D}", "{1:u} {2}"),
-    Rule(("csharp",), "DATABASE_READ", r"\.(?:FirstOrDefault|First|Single|SingleOrDefault|ToList|Find|Any|Count)(?:Async)?\s*\(", "EF Read"),
+    Rule(("csharp",), "DATABASE_READ", rf"context\.(?:Set<{W}>\s*\(\s*\)|{W})\.(?:Any|Count|Find|(?:First|Single)(?:OrDefault)?|ToArray|ToList)\s*\(", "EF Read"),
     Rule(("csharp",), "DATABASE_READ", r"\.Where\s*\(", "LINQ Where"),
     Rule(("csharp",), "DATABASE_READ", r"\.FromSqlRaw\s*\(", "EF FromSqlRaw"),
-    Rule(("csharp",), "DATABASE_WRITE", r"\.(Add|AddRange|Update|UpdateRange|Remove|RemoveRange)(?:Async)?\s*\(", "EF {1}"),
+    Rule(("csharp",), "DATABASE_WRITE", r"context\.((?:Add|Remove|Update)(?:Range)?)\s*\(", "EF {1}"),
     Rule(("csharp",), "DATABASE_WRITE", r"\.SaveChanges(?:Async)?\s*\(", "EF SaveChanges"),
     Rule(("csharp",), "DATABASE_WRITE", r"\.ExecuteSqlRaw(?:Async)?\s*\(", "EF ExecuteSqlRaw"),
-    Rule(("csharp",), "ENV_VARIABLE", rf"Environment\.GetEnvironmentVariable\s*\(\s*{D}", "{1}"),
-    Rule(("csharp",), "ENV_VARIABLE", rf"[cC]onfiguration\[\s*{D}", "{1}"),
-    Rule(("csharp",), "ENV_VARIABLE", rf"\.GetValue<[^>]+>\s*\(\s*{D}", "{1}"),
-    Rule(("csharp",), "ENV_VARIABLE", rf"\.GetSection\s*\(\s*{D}", "{1}"),
-    Rule(EVERY, "DATABASE_READ", rf"(?i){B}SELECT\s+[^\n]+?\s+FROM\s+([A-Za-z0-9_]+)", "SELECT FROM {1}"),
-    Rule(EVERY, "DATABASE_WRITE", rf"(?i){B}INSERT\s+INTO\s+([A-Za-z0-9_]+)", "INSERT INTO {1}"),
-    Rule(EVERY, "DATABASE_WRITE", rf"(?i){B}UPDATE\s+([A-Za-z0-9_]+)\s+SET", "UPDATE {1}"),
-    Rule(EVERY, "DATABASE_WRITE", rf"(?i){B}DELETE\s+FROM\s+([A-Za-z0-9_]+)", "DELETE FROM {1}"),
-    Rule(EVERY, "EXTERNAL_SERVICE", r"(?i)stripe\.(checkout|customers|subscriptions|invoices|paymentIntents|paymentMethods)", "stripe {1}"),
-    Rule(EVERY, "EXTERNAL_SERVICE", r"(?i)openai\.(chat|completions|embeddings|images|audio)", "openai {1}"),
-    Rule(EVERY, "EXTERNAL_SERVICE", r"(?i)twilio\.(messages|calls|verify)", "twilio {1}"),
-    Rule(EVERY, "EXTERNAL_SERVICE", r"firebase\.([A-Za-z0-9_]+)\s*\(", "firebase {1}"),
+    Rule(("csharp",), "ENV_VARIABLE", rf"Environment\.GetEnvironmentVariable\s*\(\s*\"({NAME})\"\s*\)", "{1}"),
+    Rule(("csharp",), "ENV_VARIABLE", rf"Configuration\s*\[\s*{D}\s*\]", "{1}"),
+    Rule(("csharp",), "ENV_VARIABLE", rf"\.GetValue<[^>]+>\s*\(\s*{D}\s*\)", "{1}"),
+    Rule(("csharp",), "ENV_VARIABLE", rf"\.GetSection\s*\(\s*{D}\s*\)", "{1}"),
 )
+# fixed values: what every language has; the label stands before what is captured
+SHARED = (
+    ("DATABASE_READ", rf"(?i){B}SELECT\s+.+?\s+FROM\s+({W})", "SELECT FROM"),
+    ("DATABASE_WRITE", rf"(?i){B}INSERT\s+INTO\s+({W})", "INSERT INTO"),
+    ("DATABASE_WRITE", rf"(?i){B}UPDATE\s+({W})\s+SET", "UPDATE"),
+    ("DATABASE_WRITE", rf"(?i){B}DELETE\s+FROM\s+({W})", "DELETE FROM"),
+    ("EXTERNAL_SERVICE", r"(?i)stripe\.(checkout|customers|invoices|paymentIntents|paymentMethods|subscriptions)", "stripe"),
+    ("EXTERNAL_SERVICE", r"(?i)openai\.(audio|chat|completions|embeddings|images)", "openai"),
+    ("EXTERNAL_SERVICE", r"(?i)twilio\.(calls|messages|verify)", "twilio"),
+    ("EXTERNAL_SERVICE", rf"firebase\.({W})\s*\(", "firebase"),
+)
+# Four languages record the text of such a match as well.
+RULES += tuple(Rule(("go", "java", "rust", "csharp"), kind, pattern, "{0}") for kind, pattern, _ in SHARED)
+RULES += tuple(Rule(EVERY, kind, pattern, f"{label} {{1}}") for kind, pattern, label in SHARED)
 
 
 def _value(match: Column, rule: Rule) -> Column:
@@ -192,15 +208,16 @@ def detect(bodies: DataFrame, key: str = "unit_id", text: str = "body", rules: t
 
     ``bodies`` has key, text, language and file_path; lines count from the text's first.
     """
-    by_language = []
+    # One pass over the texts: a text's language picks its rules.
+    found = F.array().cast("array<" + bodies.select(F.explode(_matches(text, rules[0], 0)).alias("x")).schema["x"].dataType.simpleString() + ">")
+    groups: dict[tuple[int, ...], list[str]] = {}
     for language in EVERY:
-        own = [_matches(text, r, i) for i, r in enumerate(rules) if language in r.languages]
+        groups.setdefault(tuple(i for i, r in enumerate(rules) if language in r.languages and r.languages != EVERY), []).append(language)
+    for own, languages in groups.items():
         if own:
-            rows = bodies.where(F.col("language") == language).select(key, "file_path", F.explode(F.concat(*own)).alias("x"))
-            by_language.append(rows.select(key, "file_path", "x.*"))
-    rows = by_language[0]
-    for more in by_language[1:]:
-        rows = rows.unionByName(more)
+            found = F.when(F.col("language").isin(*languages), F.concat(*[_matches(text, rules[i], i) for i in own])).otherwise(found)
+    shared = [F.when(F.col("language").isin(*EVERY), F.concat(*[_matches(text, r, i) for i, r in enumerate(rules) if r.languages == EVERY]))] if any(r.languages == EVERY for r in rules) else []
+    rows = bodies.select(key, "file_path", F.explode(F.concat(found, *shared)).alias("x")).select(key, "file_path", "x.*")
     bare = F.col("pattern_value").isin(*UPPER.split("|")) & (F.col("pattern_type") == "API_ENDPOINT") & next_route(F.col("file_path")).isNotNull()
     rows = rows.withColumn("pattern_value", F.when(bare, F.concat_ws(" ", "pattern_value", next_route(F.col("file_path")))).otherwise(F.col("pattern_value")))
     first = rows.groupBy(key, "pattern_type", "pattern_value").agg(F.min(F.struct("ord", "line_number", "code")).alias("m"))
@@ -211,7 +228,7 @@ def detect(bodies: DataFrame, key: str = "unit_id", text: str = "body", rules: t
     return first.select(key, "pattern_type", "pattern_value", F.col("m.line_number").alias("line_number"), F.col("m.ord").alias("ord"), access.alias("column_access"))
 
 
-_PRISMA = re.compile(r"\.(\w+)\.(find(?:Many|(?:First|Unique)(?:OrThrow)?)|count|aggregate|create(?:Many)?|update(?:Many)?|delete(?:Many)?|upsert)\s*\(", re.A)
+_PRISMA = re.compile(r"\w+\.(\w+)\.(find(?:Many|(?:First|Unique)(?:OrThrow)?)|count|aggregate|create(?:Many)?|update(?:Many)?|delete(?:Many)?|upsert)\s*\(", re.A)
 _KEY = re.compile(r"[a-zA-Z_$][a-zA-Z0-9_$]*")
 _AFTER_KEY = re.compile(r"\s*(:|\s*[,}\n]|\Z)")
 _OPEN, _CLOSE, _QUOTES = "{([", "})]", "\"'`"

@@ -12,23 +12,22 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import stable_id
-from .lines import complexity, complexity_score, slice_lines
+from .lines import complexity, complexity_score
 
 #: Lines a block gets whose end can't be found.
 FALLBACK_LINES = 10
 JS_FILES = ("javascript", "typescript")
 
 # fixed values: words that name no function
-RESERVED = frozenset(
+JS_RESERVED = frozenset(
     "if for while switch catch function class new return throw try typeof void delete instanceof in do else case break continue default finally with "
     "debugger yield await super this null true false import export extends implements interface enum abstract lock using foreach sizeof nameof "
-    "checked unchecked fixed synchronized record struct".split()
+    "checked unchecked fixed synchronized record struct undefined NaN Infinity type namespace module declare as from get set constructor".split()
 )
-JS_RESERVED = RESERVED | frozenset("undefined NaN Infinity type namespace module declare as from get set constructor".split())
 
 _SLASH = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 _RUST = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'", re.S)
@@ -55,28 +54,29 @@ class Source:
         return bisect_right(self.starts, at)
 
     def block_end(self, brace: int) -> int:
-        """The line where the block that opens at ``brace`` ends."""
+        """The line where the block that opens at ``brace`` ends; beyond the file's end where it doesn't."""
         at = self.close.get(brace)
-        return self.line(at) if at is not None else min(self.line(brace) + FALLBACK_LINES, len(self.starts))
+        return self.line(at) if at is not None else len(self.starts) + FALLBACK_LINES
+
+    def block_from(self, at: int) -> int:
+        """The same for the first brace from ``at`` on."""
+        return self.block_end(self.code.find("{", at))
 
     def next_brace(self, at: int, stop: str = ";") -> int | None:
         m = re.compile(r"[{" + re.escape(stop) + "]").search(self.code, at)
         return m.start() if m and m.group() == "{" else None
 
     def indented_end(self, line: int) -> int:
-        """The last line more indented than ``line``."""
-        lines, indent, end = self.code.split("\n"), None, line
-        original = self.text.split("\n")
-        for i in range(line - 1, len(lines)):
-            if not original[i].strip():
-                continue
-            depth = len(original[i]) - len(original[i].lstrip())
-            if indent is None:
-                indent = depth
-            elif depth <= indent and i + 1 > line:
-                break
-            end = i + 1
-        return end
+        """The last line, but for blank ones, before the next that is indented no more than ``line``.
+
+        Comments don't end a block. A block without a line takes the one that ends it.
+        """
+        depth = lambda x: len(x) - len(x.lstrip())
+        lines = self.text.split("\n")
+        told = range(line, len(lines))
+        last = next((i for i in told if lines[i].strip() and not lines[i].lstrip().startswith("#") and depth(lines[i]) <= depth(lines[line - 1])), None)
+        inside = [i + 1 for i in (told if last is None else range(line, last)) if lines[i].strip()]
+        return inside[-1] if inside else len(lines) if last is None else line + 1
 
     def cut(self, m: re.Match, group: int) -> str:
         return self.text[m.start(group) : m.end(group)].strip() if m.start(group) >= 0 else ""
@@ -131,110 +131,196 @@ def javascript_units(s: Source) -> Iterator[tuple]:
         yield m[2], "TYPE_ALIAS", s.line(m.start()), s.line(max(m.start(), stop.start() - (stop.group() == "" and 1 or 0))), value[:100] or None, False, bool(m[1]), None
 
 
-_PY_DEF = re.compile(r"^([ \t]*)(async[ \t]+)?def[ \t]+(\w+)[ \t]*\(([^)]*)\)[ \t]*(?:->[ \t]*([^:\n]+))?:", re.M)
-_PY_CLASS = re.compile(r"^([ \t]*)class[ \t]+(\w+)[ \t]*(?:\(([^)]*)\))?[ \t]*:", re.M)
-_PY_LAMBDA = re.compile(r"^(\w+)[ \t]*(?::[^=\n]+)?=[ \t]*lambda[ \t]*([^:\n]*):", re.M)
-_PY_ALL = re.compile(r"__all__\s*=\s*[\[(]([^\])]*)")
+_PY_DEF = re.compile(r"^([ \t]*)(async[ \t]+)?def[ \t]+(\w+)[ \t]*\(([^)]*)\)(?:[ \t]*->[ \t]*([^:\n]+))?[ \t]*:", re.M | re.A)
+_PY_CLASS = re.compile(r"^([ \t]*)class[ \t]+(\w+)(?:\(([^)\n]*)\))?[ \t]*:", re.M | re.A)
+_PY_LAMBDA = re.compile(r"^([ \t]*)(\w+)[ \t]*=[ \t]*lambda[ \t]+([^:\n]*):", re.M | re.A)
+_PY_ALL = re.compile(r"__all__\s*=\s*\[([^\]]*)\]")
 
 
 def python_units(s: Source) -> Iterator[tuple]:
     """E02."""
     listed = _PY_ALL.search(s.text)
-    names = set(re.findall(r"['\"](\w+)['\"]", listed[1])) if listed else None
-    exported = lambda n: n in names if names is not None else not n.startswith("_")
+    names = {x.strip().replace("'", "").replace('"', "") for x in listed[1].split(",")} if listed else None
+    exported = lambda name, indent: name in names if names is not None else not (indent or name.startswith("_"))
     classes = []
     for m in _PY_CLASS.finditer(s.code):
         first = s.line(m.start(2))
-        last = s.indented_end(first)
+        last, bases = s.indented_end(first), s.cut(m, 3)
         classes.append((first, last, len(m[1])))
-        bases = s.cut(m, 3)
-        yield m[2], "CLASS", first, last, f"({bases})" if bases else None, False, exported(m[2]), None
+        yield m[2], "CLASS", first, last, f"({bases})" if bases else None, False, exported(m[2], m[1]), None
     for m in _PY_DEF.finditer(s.code):
         first = s.line(m.start(3))
         inside = any(a < first <= b and len(m[1]) > i for a, b, i in classes)
-        parameters = [x.strip() for x in " ".join(s.cut(m, 4).split()).split(",")]
-        kept = ", ".join(x for i, x in enumerate(parameters) if x and not (inside and i == 0 and re.match(r"(self|cls)\b", x)))
+        top, *more = s.text[m.start(4) : m.end(4)].split("\n")
+        parameters = " ".join([top, *(x.strip() for x in more)]).strip()
+        if inside:
+            parameters = ", ".join(x for x in map(str.strip, parameters.split(",")) if x not in ("self", "cls"))
         returns = s.cut(m, 5)
-        signature = f"({kept}) -> {returns}" if returns else f"({kept})"
-        yield m[3], "METHOD" if inside else "FUNCTION", first, s.indented_end(s.line(m.end() - 1)), signature, bool(m[2]), exported(m[3]) and not inside, None
+        signature = f"({parameters}) -> {returns}" if returns else f"({parameters})"
+        yield m[3], "METHOD" if inside else "FUNCTION", first, s.indented_end(first), signature, bool(m[2]), exported(m[3], m[1]) and not inside, None
     for m in _PY_LAMBDA.finditer(s.code):
-        yield m[1], "FUNCTION", s.line(m.start()), s.line(m.start()), f"({s.cut(m, 2)})", False, exported(m[1]), None
+        line = s.line(m.start(2))
+        yield m[2], "ARROW_FUNCTION", line, line, f"({s.cut(m, 3)})", False, exported(m[2], m[1]), None
+
+
+# fixed values: words that name no unit
+GO_WORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
+JAVA_WORDS = frozenset(
+    "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int "
+    "interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while var "
+    "sealed permits yield".split()
+)
+RUST_WORDS = frozenset(
+    "as break const continue crate else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where "
+    "while async await dyn abstract become box do final macro override priv try typeof unsized virtual yield".split()
+)
+CSHARP_WORDS = frozenset(
+    "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for "
+    "foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed "
+    "short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while var record async await dynamic "
+    "nameof when yield".split()
+)
+CSHARP_ACCESSORS = frozenset("get set init add remove".split())
 
 
-_GO_FUNC = re.compile(r"^func\s+(\([^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\(([^)]*)\)\s*([^{\n]*?)\s*\{", re.M)
-_GO_TYPE = re.compile(r"^type\s+(\w+)(?:\[[^\]]*\])?\s+(struct|interface)\s*\{", re.M)
+class Once:
+    """Whether a key comes for the first time."""
+
+    def __init__(self):
+        self.seen: set[tuple] = set()
+
+    def __call__(self, *key) -> bool:
+        new = key not in self.seen
+        self.seen.add(key)
+        return new
+
+
+_GO_FUNC = re.compile(r"func\s+(?:\(\w+\s+\*?(\w+)\)\s+)?(\w+)\s*\(([^)]*)\)\s*(\([^)]*\)|[^{\n]*)?\s*\{", re.A)
+_GO_TYPE = re.compile(r"\btype\s+(\w+)\s+(struct|interface)\s*\{", re.A)
 
 
 def go_units(s: Source) -> Iterator[tuple]:
     """E03."""
+    first = Once()
     for m in _GO_FUNC.finditer(s.code):
-        returns = s.cut(m, 4)
-        signature = f"({s.cut(m, 3)}) {returns}" if returns else f"({s.cut(m, 3)})"
-        yield m[2], "METHOD" if m[1] else "FUNCTION", s.line(m.start()), s.block_end(m.end() - 1), signature, False, m[2][0].isupper(), None
+        if m[2] not in GO_WORDS and first("func", m[1], m[2]):
+            returns = s.cut(m, 4)
+            signature = f"({s.cut(m, 3)}) {returns}" if returns else f"({s.cut(m, 3)})"
+            yield m[2], "METHOD" if m[1] else "FUNCTION", s.line(m.start()), s.block_from(m.start()), signature, False, m[2][0].isupper(), None
     for m in _GO_TYPE.finditer(s.code):
-        yield m[1], m[2].upper(), s.line(m.start()), s.block_end(m.end() - 1), None, False, m[1][0].isupper(), None
-
-
-_MODIFIERS = r"((?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|async|readonly|default|synchronized|native|unsafe|extern|strictfp|required)\s+)*)"
-_CLASSY = re.compile(rf"(?<![\w.]){_MODIFIERS}(class|interface|enum|record(?:\s+(?:class|struct))?|struct|@interface)\s+(\w+)(?:<[^>{{]*>)?\s*(\([^)]*\))?\s*([^{{;]*?)\s*([{{;])")
-_MEMBER = re.compile(rf"(?<![\w.@]){_MODIFIERS}(?:<[^>(]*>\s*)?((?:[\w.]+(?:<[^;(){{}}]*?>)?(?:\[\])*\??\s+))?(\w+)\s*(?:<[^>(]*>)?\(([^)]*)\)\s*(?:throws\s+[\w., ]+|where\s+[^{{]+|:\s*(?:base|this)\s*\([^)]*\))?\s*(\{{|=>)")
-
-
-def _braced_units(s: Source, java: bool) -> Iterator[tuple]:
-    kinds = {"class": "CLASS", "record": "CLASS", "interface": "INTERFACE", "@interface": "INTERFACE", "enum": "ENUM", "struct": "STRUCT"}
-    spans = []
-    for m in _CLASSY.finditer(s.code):
-        kind = kinds["record" if m[2].startswith("record") else m[2]]
-        last = s.block_end(m.end() - 1) if m[6] == "{" else s.line(m.end())
-        rest = " ".join(f"{s.cut(m, 4)} {s.cut(m, 5)}".split())
-        if m[6] == "{":
-            spans.append((m.start(), s.close.get(m.end() - 1, len(s.code)), m[3]))
-        yield m[3], kind, s.line(m.start(2)), last, rest or None, False, "public" in m[1], None
-    for m in _MEMBER.finditer(s.code):
-        owner = [x for x in spans if x[0] < m.start(3) < x[1]]
-        if m[3] in RESERVED or not owner or (m[2] or "").strip() in RESERVED:
-            continue
-        if not (m[1].strip() or m[2]) and m[3] != owner[-1][2]:
-            continue  # a call, not a declaration
-        last = s.block_end(m.end() - 1) if m[5] == "{" else s.line(s.code.find(";", m.end()))
-        returns = (m[2] or "").strip()
-        yield m[3], "METHOD", s.line(m.start(3)), last, _signature(s.cut(m, 4), returns), "async" in m[1] or returns.startswith(("CompletableFuture", "Task")) and java, "public" in m[1], None
+        if first(m[2], m[1]):
+            yield m[1], m[2].upper(), s.line(m.start()), s.block_from(m.start()), None, False, m[1][0].isupper(), None
 
 
-def java_units(s: Source) -> Iterator[tuple]:
-    """E04."""
-    return _braced_units(s, True)
+# fixed values: by keyword, the unit's type, the words that may stand before it, and what may follow its name
+JAVA_TYPES = (
+    ("class", "CLASS", "public private protected abstract final static sealed strictfp", r"(?:<[^>]*>)?(?:\s+extends\s+[\w.<>,\s]+)?(?:\s+implements\s+[^{]+)?\s*\{"),
+    ("interface", "INTERFACE", "public private protected abstract static sealed strictfp", r"(?:<[^>]*>)?(?:\s+extends\s+[^{]+)?\s*\{"),
+    ("enum", "ENUM", "public private protected static strictfp", r"(?:\s+implements\s+[^{]+)?\s*\{"),
+    ("record", "CLASS", "public private protected static final sealed", r"\s*\([^)]*\)(?:\s+implements\s+[^{]+)?\s*\{"),
+)
+CSHARP_TYPES = (
+    ("class", "CLASS", "public private protected internal static abstract sealed partial new", r"(?:<[^>]*>)?(?:\s*:\s*[^{]+)?\s*\{"),
+    ("record", "CLASS", "public private protected internal static abstract sealed partial", r"(?:<[^>]*>)?(?:\s*\([^)]*\))?(?:\s*:\s*[^{;]+)?\s*[{;]"),
+    ("struct", "STRUCT", "public private protected internal readonly partial ref", r"(?:<[^>]*>)?(?:\s*:\s*[^{]+)?\s*\{"),
+    ("interface", "INTERFACE", "public private protected internal partial", r"(?:<[^>]*>)?(?:\s*:\s*[^{]+)?\s*\{"),
+    ("enum", "ENUM", "public private protected internal", r"(?:\s*:\s*\w+)?\s*\{"),
+)
+JAVA_MODIFIERS = "public private protected static final abstract synchronized native default strictfp"
+CSHARP_MODIFIERS = "public private protected internal static abstract virtual override sealed async extern new readonly unsafe volatile partial"
 
 
-def csharp_units(s: Source) -> Iterator[tuple]:
-    """E06."""
-    return _braced_units(s, False)
+def _before(words: str) -> str:
+    return rf"(?:(?:{'|'.join(words.split())})\s+)*"
+
+
+def _declarations(table: tuple) -> tuple:
+    kinds = {"record": r"record\s+(?:class\s+|struct\s+)?"} if table is CSHARP_TYPES else {}
+    return tuple((word, kind, re.compile(_before(words) + kinds.get(word, word + r"\s+") + r"(\w+)" + rest, re.A)) for word, kind, words, rest in table)
+
+
+_JAVA_TYPES, _CSHARP_TYPES = _declarations(JAVA_TYPES), _declarations(CSHARP_TYPES)
+_JAVA_METHOD = re.compile(
+    rf"(?:@\w+(?:\([^)]*\))?\s*)*{_before(JAVA_MODIFIERS)}(?:<[^>]+>\s+)?(?:([\w.<>,\[\]]+)\s+)?(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[\w.,\s]+)?\s*\{{", re.A
+)
+_CSHARP_METHOD = re.compile(
+    rf"(?:\A|\n)\s*({_before(CSHARP_MODIFIERS)})(?:(\w[\w<>\[\],\s?]*?)\s+)?(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)\s*(?:where\s+\w+\s*:[^{{]*?)?\s*\{{", re.A
+)
+
 
+def _type_units(s: Source, table: tuple, first: Once) -> Iterator[tuple]:
+    for word, kind, pattern in table:
+        for m in pattern.finditer(s.code):
+            if first(word, m[1]):
+                line = s.line(m.start())
+                yield m[1], kind, line, s.block_from(m.start()) if m[0].endswith("{") else line, None, False, "public" in m[0], None
 
-_RS_ITEM = re.compile(r"^[ \t]*(pub(?:\([^)]*\))?\s+)?(struct|enum|trait|union)\s+(\w+)(?:<[^>{;]*>)?[^{;]*?([{;])", re.M)
-_RS_IMPL = re.compile(r"^[ \t]*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:([\w:<>, ]+?)\s+for\s+)?([\w:]+)(?:<[^>{]*>)?[^{;]*\{", re.M)
-_RS_FN = re.compile(r"^[ \t]*((?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern)\s+)*)fn\s+(\w+)\s*(?:<[^>(]*>)?\s*\(([^)]*)\)\s*(?:->\s*([^{;]+?))?\s*(?:where[^{;]*)?([{;])", re.M)
+
+def java_units(s: Source) -> Iterator[tuple]:
+    """Methods belong to the last declared class, interface or record around them; the first of a name counts."""
+    first, owners = Once(), []
+    for u in _type_units(s, _JAVA_TYPES, first):
+        if u[1] != "ENUM":
+            owners.append(u)
+        yield u
+    for m in _JAVA_METHOD.finditer(s.code):
+        line, returns = s.line(m.start()), s.cut(m, 1)
+        around = [u[0] for u in owners if u[2] < line <= u[3]]
+        if m[2] in JAVA_WORDS or not around:
+            continue
+        key = ("constructor", around[-1]) if m[2] == around[-1] and not returns else ("method", around[-1], m[2])
+        if first(*key):
+            yield m[2], "METHOD", line, s.block_from(m.start()), _signature(s.cut(m, 3), returns), False, "public" in m[0], None
+
+
+def csharp_units(s: Source) -> Iterator[tuple]:
+    """Methods belong to the innermost type around them; the first of a name counts."""
+    first, owners = Once(), []
+    for u in _type_units(s, _CSHARP_TYPES, first):
+        if u[1] != "ENUM":
+            owners.append(u)
+        yield u
+    names = {u[0] for u in owners}
+    for m in _CSHARP_METHOD.finditer(s.code):
+        modifiers, returns, name = m[1].strip(), s.cut(m, 2), m[3]
+        # Without modifiers or a type only a constructor is told from a statement.
+        if name in CSHARP_ACCESSORS or name not in names and (name in CSHARP_WORDS or not (modifiers or returns)):
+            continue
+        line = s.line(m.start() + (s.code[m.start()] == "\n"))
+        around = max(((u[2], u[0]) for u in owners if u[2] < line <= u[3]), default=(0, None))[1]
+        if first("method", around, name):
+            yield name, "METHOD", line, s.block_from(m.start()), _signature(s.cut(m, 4), returns), "async" in modifiers, "public" in modifiers, None
+
+
+_RS_IMPL = re.compile(r"\bimpl\s*(?:<[^>]*>\s*)?(\w+)(?:\s+for\s+(\w+))?\s*\{", re.A)
+_RS_FN = re.compile(r"\bfn\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)\s*(?:->\s*([^{]+?))?\s*\{", re.A)
+_RS_TYPES = (
+    ("STRUCT", re.compile(r"\bstruct\s+(\w+)(?:<[^>]*>)?\s*[({;]", re.A)),
+    ("ENUM", re.compile(r"\benum\s+(\w+)(?:<[^>]*>)?\s*\{", re.A)),
+    ("INTERFACE", re.compile(r"\btrait\s+(\w+)(?:<[^>]*>)?\s*(?::[^{]*)?\{", re.A)),
+)
 
 
 def rust_units(s: Source) -> Iterator[tuple]:
-    """E05."""
-    spans = []
-    for m in _RS_IMPL.finditer(s.code):
-        spans.append((m.end() - 1, s.close.get(m.end() - 1, len(s.code))))
-        name = f"{' '.join(m[1].split())} for {m[2]}" if m[1] else m[2]
-        yield name, "IMPL_BLOCK", s.line(s.code.index("impl", m.start())), s.block_end(m.end() - 1), None, False, False, None
-    for m in _RS_ITEM.finditer(s.code):
-        kind = {"struct": "STRUCT", "union": "STRUCT", "enum": "ENUM", "trait": "INTERFACE"}[m[2]]
-        last = s.block_end(m.end() - 1) if m[4] == "{" else s.line(m.end())
-        if m[2] == "trait" and m[4] == "{":
-            spans.append((m.end() - 1, s.close.get(m.end() - 1, len(s.code))))
-        yield m[3], kind, s.line(m.start(2)), last, None, False, bool(m[1]), None
+    """Functions within the lines of an impl block are methods of its type; what stands before on the line tells pub and async."""
+    first = Once()
+    has = lambda m, word: bool(re.search(rf"\b{word}\b", s.code[s.starts[s.line(m.start()) - 1] : m.start()]))
+    blocks = [(m[2] or m[1], f"impl {m[1]} for {m[2]}" if m[2] else f"impl {m[1]}", s.line(m.start()), s.block_from(m.start())) for m in _RS_IMPL.finditer(s.code)]
+    # Blocks for traits come first.
+    blocks.sort(key=lambda x: " for " not in x[1])
+    for _, name, start, end in blocks:
+        yield name, "IMPL_BLOCK", start, end, None, False, False, None
     for m in _RS_FN.finditer(s.code):
-        inside = any(a < m.start(2) < b for a, b in spans)
-        last = s.block_end(m.end() - 1) if m[5] == "{" else s.line(m.end())
-        returns = s.cut(m, 4)
-        signature = f"({s.cut(m, 3)}) -> {returns}" if returns else f"({s.cut(m, 3)})"
-        yield m[2], "METHOD" if inside else "FUNCTION", s.line(m.start(2)), last, signature, "async" in m[1], "pub" in m[1], None
+        start, end, returns = s.line(m.start()), s.block_from(m.start()), s.cut(m, 3)
+        owner = next((t for t, _, a, b in blocks if a <= start and end <= b), None)
+        if m[1] not in RUST_WORDS and first("fn", owner, m[1]):
+            signature = f"({s.cut(m, 2)}) -> {returns}" if returns else f"({s.cut(m, 2)})"
+            yield m[1], "METHOD" if owner else "FUNCTION", start, end, signature, has(m, "async"), has(m, "pub"), None
+    for kind, pattern in _RS_TYPES:
+        for m in pattern.finditer(s.code):
+            if m[1] not in RUST_WORDS and first(kind, m[1]):
+                start = s.line(m.start())
+                yield m[1], kind, start, s.block_from(m.start()) if m[0].endswith("{") else start, None, False, has(m, "pub"), None
 
 
 #: The plug-in point: a language's extractor of units.
@@ -242,49 +328,55 @@ EXTRACTORS: dict[str, Callable[[Source], Iterator[tuple]]] = {
     "javascript": javascript_units, "typescript": javascript_units, "python": python_units, "go": go_units, "java": java_units, "rust": rust_units, "csharp": csharp_units,
 }
 
-UNIT_ROW = "file_path string, language string, name string, unit_type string, line_start int, line_end int, signature string, is_async boolean, is_exported boolean, parent string, ord int"
+UNIT_ROW = "file_path string, language string, name string, unit_type string, line_start int, line_end int, signature string, is_async boolean, is_exported boolean, parent string, ord int, parent_line int, body string"
 
 
 def units_in(text: str, language: str) -> list[tuple]:
-    """Units of one file in order of lines; the first of a type, name and parent counts (overloads in braces are all kept)."""
-    seen, out = set(), []
-    for u in EXTRACTORS[language](Source(text, language)) if language in EXTRACTORS else ():
-        key = (u[1], u[0], u[7]) if language in JS_FILES else (u[1], u[0], u[2])
-        if u[0] in (JS_RESERVED if language in JS_FILES else RESERVED) or key in seen:
-            continue
-        seen.add(key)
-        out.append((*u[:3], max(u[2], u[3]), *u[4:]))
-    return sorted(out, key=lambda u: u[2])
+    """Units of one file in order of lines; in JavaScript and TypeScript the first of a type, name and parent counts."""
+    found = EXTRACTORS[language](Source(text, language)) if language in EXTRACTORS else ()
+    first = Once()
+    if language in JS_FILES:
+        found = (u for u in found if u[0] not in JS_RESERVED and first(u[1], u[0], u[7]))
+    return sorted(((*u[:3], max(u[2], u[3]), *u[4:]) for u in found), key=lambda u: u[2])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units of files with their bodies, and for a method the line of its class: the last of that name above it."""
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.string()]
     for batch in batches:
         rows = []
         for path, language, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            rows += [(path, language, *u, i) for i, u in enumerate(units_in(text or "", language))]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.int32()]
+            lines, classes = (text or "").split("\n"), {}
+            for i, u in enumerate(units_in(text or "", language)):
+                rows.append((path, language, *u, i, classes.get(u[7]), "\n".join(lines[max(u[2], 1) - 1 : u[3]])))
+                if u[1] == "CLASS":
+                    classes[u[0]] = u[2]
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in UNIT_ROW.split(", ")])
 
 
-def code_units(files: DataFrame) -> DataFrame:
-    """The code_units table of files (file_path, content, language), with complexity."""
+def units_with_bodies(files: DataFrame) -> DataFrame:
+    """The code_units table of files (file_path, content, language) and each unit's ``body``, in one pass without a shuffle."""
     rows = files.where("language IS NOT NULL AND content IS NOT NULL").select("file_path", "language", "content").mapInArrow(_units, UNIT_ROW)
-    own = stable_id("file_path", "unit_type", "name", "line_start", "parent")
-    # A method's class stands in the same file: the last one of that name above it.
-    rows = rows.withColumn("id", own)
-    same = Window.partitionBy("file_path").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    classes = F.collect_list(F.when(F.col("unit_type") == "CLASS", F.struct("name", "id"))).over(same)
-    parent = F.element_at(F.filter(classes, lambda c: c["name"] == F.col("parent")), -1)["id"]
-    rows = rows.withColumn("parent_unit_id", F.when(F.col("parent").isNotNull(), parent))
-    body = rows.join(files.select("file_path", "content"), "file_path").withColumn("body", slice_lines(F.col("content"), F.col("line_start"), F.col("line_end")))
-    scored = body.withColumn("complexity", complexity(F.col("body"), F.col("language"), F.col("signature")))
+    parent = stable_id("file_path", F.lit("CLASS"), "parent", "parent_line", F.lit(None))
+    scored = rows.withColumn("complexity", complexity(F.col("body"), F.col("language"), F.col("signature")))
     return scored.select(
-        "id", "file_path", "name", "unit_type", "line_start", "line_end", "parent_unit_id", "signature", "is_async", "is_exported", "language", "complexity",
-        complexity_score(F.col("complexity")).alias("complexity_score"), (F.xxhash64("file_path").bitwiseAND(F.lit(0x7FFFFFFFFFFF)) * 65536 + F.col("ord")).alias("seq"),
+        stable_id("file_path", "unit_type", "name", "line_start", "parent").alias("id"), "file_path", "name", "unit_type", "line_start", "line_end",
+        F.when(F.col("parent_line").isNotNull(), parent).alias("parent_unit_id"), "signature", "is_async", "is_exported", "language", "complexity",
+        complexity_score(F.col("complexity")).alias("complexity_score"), (F.xxhash64("file_path").bitwiseAND(F.lit(0x7FFFFFFFFFFF)) * 65536 + F.col("ord")).alias("seq"), "body",
     )
 
 
+def code_units(files: DataFrame) -> DataFrame:
+    """The code_units table of files (file_path, content, language), with complexity."""
+    return units_with_bodies(files).drop("body")
+
+
+def bodies_of(units: DataFrame) -> DataFrame:
+    """(unit_id, unit_type, language, body) of units that were extracted with their bodies."""
+    return units.select(F.col("id").alias("unit_id"), "unit_type", "language", "body")
+
+
 def _braced(text: str, at: int) -> str | None:
     depth = 0
     for m in re.finditer(r"[{}]", text[at:]):
@@ -312,46 +404,76 @@ def prisma_models(text: str, path: str) -> Iterator[tuple]:
         yield m[1], "prisma", table[1] if table else None, fields
 
 
+_ENTITY = re.compile(r"@Entity\s*\(\s*(?:'([^']*)'|\"([^\"]*)\")?\s*\)\s*\n\s*class\s+(\w+)", re.A)
+_ENTITY_FIELD = re.compile(r"(\w+)\s*[:!?]\s*(\w+[\[\]]*)", re.A)
+_ENTITY_LINK = re.compile(r"@(?:One|Many)To(?:One|Many)\s*\(\s*\(\)\s*=>\s*(\w+)", re.A)
+
+
 def typeorm_models(text: str, path: str) -> Iterator[tuple]:
-    """Entities whose decorator is directly followed by the class."""
-    for m in re.finditer(r"@Entity\s*\(\s*(?:\{[^}]*name\s*:\s*)?(?:['\"]([^'\"]+)['\"])?[^)]*\)\s*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)[^{]*\{", text):
-        block, fields, held = _braced(text, m.end() - 1) or "", [], ""
-        for line in map(str.strip, block.split("\n")):
-            f = re.match(r"(?:(?:public|private|protected|readonly)\s+)*(\w+)\s*([?!])?\s*:\s*([^;=]+)", line) if not line.startswith("@") else None
+    """Entities whose decorator, bare or with a table name, is directly followed by the line of the class.
+
+    A field is the line after its decorators, as ``name: Type``; no other line keeps them.
+    """
+    for m in _ENTITY.finditer(text):
+        block = _braced(text, at) if (at := text.find("{", m.end())) >= 0 else None
+        if block is None:
+            continue
+        fields, held = [], []
+        for line in filter(None, map(str.strip, block.split("\n"))):
             if line.startswith("@"):
-                held += line
-            elif f and held:
-                target = re.search(r"@(?:OneToOne|OneToMany|ManyToOne|ManyToMany)\s*\(\s*(?:\(\s*\w*\s*\)\s*=>\s*)?['\"]?(\w+)", held)
-                required = f[2] != "?" and not re.search(r"nullable\s*:\s*true", held)
-                fields.append((f[1], f[3].strip(), "@PrimaryColumn" in held or "@PrimaryGeneratedColumn" in held, required, bool(re.search(r"unique\s*:\s*true", held)), "default" in held or "@PrimaryGenerated" in held, target[1] if target else None))
-                held = ""
-            elif line:
-                held = ""
-        yield m[2], "typeorm", m[1], fields
+                held.append(line)
+                continue
+            if held and (f := _ENTITY_FIELD.match(line)):
+                said = "\n".join(held)
+                generated, target = "@PrimaryGeneratedColumn" in said, _ENTITY_LINK.findall(said)
+                fields.append((
+                    f[1], f[2], generated or "@PrimaryColumn" in said, not re.search("nullable: ?true", said), bool(re.search("unique: ?true", said)),
+                    generated or bool(re.search(r"default\s*:", said)), target[-1] if target else None,
+                ))
+            held = []
+        yield m[3], "typeorm", m[1] or m[2] or None, fields
+
+
+# fixed values: options of a field, which are no fields
+MONGOOSE_OPTIONS = frozenset("type required unique default ref enum index".split())
+_MONGOOSE = re.compile(r"(?:const|let|var)\s+(\w+)\s*=\s*new\s+(?:mongoose\.)?Schema\s*\(\s*\{", re.A)
 
 
 def mongoose_models(text: str, path: str) -> Iterator[tuple]:
-    """E25."""
-    for m in re.finditer(r"(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*new\s+(?:mongoose\.)?Schema\s*(?:<[^>]*>)?\s*\(\s*\{", text):
-        block, fields = _braced(text, m.end() - 1) or "", []
-        for f in re.finditer(r"(?:^|,|\{)\s*(\w+)\s*:\s*(\{(?:[^{}]|\{[^{}]*\})*\}|\[[^\]]*\]|[\w.]+)", "{" + block):
-            name, value = f[1], f[2]
-            kind = re.search(r"type\s*:\s*\[?\s*([\w.]+)", value) if value.startswith("{") else re.search(r"([\w.]+)", value)
-            target = re.search(r"ref\s*:\s*['\"](\w+)['\"]", value)
-            yes = lambda what, v=value: bool(re.search(rf"{what}\s*:\s*(?:true|\[\s*true)", v))
-            fields.append((name, kind[1].split(".")[-1] if kind else "Mixed", name == "_id", yes("required"), yes("unique"), bool(re.search(r"default\s*:", value)), target[1] if target else None))
-        yield re.sub(r"Schema\Z", "", m[1]), "mongoose", None, fields
+    """Fields given by a type or by an object of options."""
+    for m in _MONGOOSE.finditer(text):
+        block = _braced(text, m.end() - 1)
+        if block is None:
+            continue
+        fields = []
+        for name, value in re.findall(r"(\w+)\s*:\s*(\{[^}]*\}|[A-Z]\w*)", block, re.A):
+            if name in MONGOOSE_OPTIONS:
+                continue
+            kind, target = value, None
+            if value.startswith("{"):
+                said = re.search(r"type\s*:\s*([\w.]+)", value, re.A)
+                kind = said[1].replace("Schema.Types.", "", 1) if said else "Mixed"
+                target = re.search(r"ref\s*:\s*['\"](\w+)['\"]", value, re.A)
+            on = lambda option, v=value: v.startswith("{") and bool(re.search(rf"{option}\s*:\s*true", v))
+            fields.append((name, kind, name == "_id", on("required"), on("unique"), value.startswith("{") and bool(re.search(r"default\s*:", value)), target[1] if target else None))
+        yield m[1].removesuffix("Schema"), "mongoose", None, fields
+
+
+_DRIZZLE = re.compile(r"(?:const|let)\s+(\w+)\s*=\s*(?:pg|mysql|sqlite)Table\s*\(\s*['\"](\w+)['\"]\s*,\s*\{", re.A)
+_DRIZZLE_FIELD = re.compile(r"(\w+)\s*:\s*(\w+)\s*\([^)]*\).*?(?=,\s*\n|\n\s*\})", re.A | re.S)
 
 
 def drizzle_models(text: str, path: str) -> Iterator[tuple]:
-    """E26."""
-    for m in re.finditer(r"(?:const|let)\s+(\w+)\s*=\s*(?:pg|mysql|sqlite)Table\s*\(\s*['\"]([^'\"]+)['\"]\s*,\s*\{", text):
-        block, fields = _braced(text, m.end() - 1) or "", []
-        for f in re.finditer(r"^\s*(\w+)\s*:\s*(\w+)\s*\((.*)$", block, re.M):
-            chain = f[3]
-            target = re.search(r"\.references\s*\(\s*(?:\([^)]*\))\s*(?::\s*\w+\s*)?=>\s*(\w+)", chain)
-            key = ".primaryKey(" in chain
-            fields.append((f[1], f[2], key, key or ".notNull(" in chain, ".unique(" in chain, ".default" in chain or f[2].endswith("serial"), target[1] if target else None))
+    """Fields that end in a comma at the line's end, with the calls chained to their type."""
+    for m in _DRIZZLE.finditer(text):
+        block = _braced(text, m.end() - 1)
+        if block is None:
+            continue
+        fields = []
+        for f in _DRIZZLE_FIELD.finditer(block):
+            calls = lambda name, chain=f[0]: bool(re.search(rf"\.{name}\s*\(", chain))
+            target = re.search(r"\.references\s*\(\s*\(\)\s*=>\s*(\w+)\.", f[0], re.A)
+            fields.append((f[1], f[2], calls("primaryKey"), calls("notNull"), calls("unique"), calls("default"), target[1] if target else None))
         yield m[1], "drizzle", m[2], fields
 
 

@@ -40,18 +40,20 @@ def fit(sections: DataFrame, max_tokens: int, used: int = 0) -> tuple[DataFrame,
     """Sections (content, score, seq) that fit, best first, going on past those that don't.
 
     What is packed depends on all before, so sizes stream in order to the driver, two
-    numbers a section, until not even the smallest fits; returns sections, tokens used, omitted.
+    numbers a section, until not even the smallest fits; sections without a token always
+    do and are not sent. At most ``max_tokens`` are listed. Returns sections, tokens used, omitted.
     """
     sized = sections.select("seq", "score", token_estimate(F.col("content")).alias("tokens"))
-    facts = sized.agg(F.count("*").alias("n"), F.min("tokens").alias("least")).first()
+    facts = sized.agg(F.count_if(F.col("tokens") > 0).alias("n"), F.min(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("least")).first()
     taken = []
-    for r in sized.orderBy(F.desc("score"), "seq").toLocalIterator():
+    for r in sized.where("tokens > 0").orderBy(F.desc("score"), "seq").toLocalIterator():
         if used + facts["least"] > max_tokens:
             break
         if used + r["tokens"] <= max_tokens:
             taken.append((r["seq"],))
             used += r["tokens"]
-    kept = sections.join(F.broadcast(sections.sparkSession.createDataFrame(taken, "seq long")), "seq", "left_semi")
+    listed = sections.sparkSession.createDataFrame(taken, "seq long").withColumn("__taken", F.lit(True))
+    kept = sections.join(F.broadcast(listed), "seq", "left").where((token_estimate(F.col("content")) == 0) | F.col("__taken")).select(sections.columns)
     return kept, used, facts["n"] - len(taken)
 
 
@@ -81,6 +83,20 @@ def _joined(order: str | Column, line: Column, sep: str = "\n") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order if isinstance(order, Column) else F.col(order), line.alias("line")))), lambda x: x["line"]), sep)
 
 
+def _section(title: str, lines: DataFrame, order: str | Column, max_tokens: int, score: float | None, seq: int, end: str = "\n", counted: Column | None = None) -> DataFrame:
+    """One section of all lines (line), scored by their number or those ``counted``; none if there are none.
+
+    A section beyond the budget is left out whatever it says, so its lines are not joined: blanks
+    of that length stand for them, and what one task joins is bounded by the budget.
+    """
+    facts = lines.agg((F.count("*") if counted is None else F.count_if(counted)).alias("n"), F.coalesce(F.sum(F.length("line") + 1), F.lit(0)).alias("size")).where("n > 0")
+    fits = F.col("size") <= 8 * max_tokens
+    text = lines.crossJoin(F.broadcast(facts.where(fits).select("n"))).agg(_joined(order, F.col("line")).alias("t"), F.count("*").alias("k"))
+    whole = facts.crossJoin(F.broadcast(text)).withColumn("text", F.when(fits, F.col("t")).otherwise(F.lit(" " * (8 * max_tokens + 8))))
+    number = F.col("n").cast("double") if score is None else F.lit(score)
+    return whole.select(F.concat(F.lit(f"## {title}\n"), "text", F.lit(end)).alias("content"), number.alias("score"), F.lit(seq).cast("long").alias("seq"))
+
+
 def module_scores(c: Catalog) -> DataFrame:
     """(file_path, score): 3 an exported unit, 2 a scored pattern, 1 a complex unit, 1 an importer."""
     top = c.units_top
@@ -131,23 +147,23 @@ def patterns(c: Catalog, max_tokens: int) -> str:
     """R06."""
     top = c.units_top.select(F.col("id").alias("code_unit_id"), "file_path", "name", F.col("seq").alias("useq"))
     rows = c["code_unit_patterns"].join(top, "code_unit_id").withColumn("line", F.concat(F.lit("- "), "pattern_value", F.lit(" - "), "file_path", F.lit(":"), "name"))
-    order = F.struct("useq", "seq")
 
     def group(title: str, kinds: tuple[str, ...], seq: int) -> DataFrame:
-        found = rows.where(F.col("pattern_type").isin(*kinds)).groupBy("pattern_type").agg(_joined(order, F.col("line")).alias("text"), F.count("*").alias("n"))
+        found = rows.where(F.col("pattern_type").isin(*kinds)).select("pattern_type", "useq", "seq", "line")
         if len(kinds) > 1:
-            found = found.withColumn("text", F.concat(F.when(F.col("pattern_type") == "DATABASE_READ", "### Reads\n").otherwise("### Writes\n"), "text"))
-        whole = found.agg(_joined("pattern_type", F.col("text")).alias("text"), F.sum("n").alias("n")).where("n > 0")
-        return whole.select(F.concat(F.lit(f"## {title}\n"), "text", F.lit("\n")).alias("content"), F.col("n").cast("double").alias("score"), F.lit(seq).cast("long").alias("seq"))
+            # Reads come before writes; each part begins with its title.
+            heads = found.select("pattern_type").distinct().select("pattern_type", F.lit(None).cast("long").alias("useq"), F.lit(None).cast("long").alias("seq"), F.when(F.col("pattern_type") == "DATABASE_READ", "### Reads").otherwise("### Writes").alias("line"))
+            found = found.unionByName(heads)
+        return _section(title, found, F.struct("pattern_type", "useq", "seq"), max_tokens, None, seq, counted=F.col("useq").isNotNull())
 
     parts = group("API Endpoints", ("API_ENDPOINT",), 0)
     for i, (title, kinds) in enumerate((("Database Operations", ("DATABASE_READ", "DATABASE_WRITE")), ("External Services", ("EXTERNAL_SERVICE",)), ("API Calls", ("API_CALL",))), 1):
         parts = parts.unionByName(group(title, kinds, i))
-    env = c["env_variables"].agg(_joined("name", F.concat(F.lit("- "), "name", F.coalesce(F.concat(F.lit(" - "), "description"), F.lit("")))).alias("t"), F.count("*").alias("n")).where("n > 0")
-    parts = parts.unionByName(env.select(F.concat(F.lit("## Environment Variables\n"), "t", F.lit("\n")).alias("content"), F.col("n").cast("double").alias("score"), F.lit(4).cast("long").alias("seq")))
+    env = c["env_variables"].withColumn("line", F.concat(F.lit("- "), "name", F.coalesce(F.concat(F.lit(" - "), "description"), F.lit(""))))
+    parts = parts.unionByName(_section("Environment Variables", env, "name", max_tokens, None, 4))
     line = F.concat(F.lit("- "), "event_name", F.lit(" ("), "direction", F.lit(", "), "framework", F.lit(") - "), "file_path", F.lit(":"), "name")
-    flows = c["event_flows"].join(top, "code_unit_id").agg(_joined(F.struct("useq", "line_number", "event_name"), line).alias("t"), F.count("*").alias("n")).where("n > 0")
-    parts = parts.unionByName(flows.select(F.concat(F.lit("## Event Flows\n"), "t", F.lit("\n")).alias("content"), F.col("n").cast("double").alias("score"), F.lit(5).cast("long").alias("seq")))
+    flows = c["event_flows"].join(top, "code_unit_id").withColumn("line", line)
+    parts = parts.unionByName(_section("Event Flows", flows, F.struct("useq", "line_number", "event_name"), max_tokens, None, 5))
     out = render("# Patterns\n\n", parts, max_tokens)
     t = c["pattern_templates"]
     content = F.concat(F.lit("### "), "name", F.lit("\n"), "description", F.lit("\nExample: "), "template_file_path", F.lit("\n"), F.array_join(F.transform("conventions", lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""))
@@ -162,8 +178,8 @@ def hubs(c: Catalog) -> DataFrame:
 def dependencies(c: Catalog, max_tokens: int) -> str:
     """R07."""
     d = c["file_dependencies"]
-    hub = hubs(c).agg(_joined(F.struct((-F.col("importers")).alias("k"), "file_path"), F.concat(F.lit("- "), "file_path", F.lit(" (imported by "), F.col("importers").cast("string"), F.lit(" files)"))).alias("t"), F.count("*").alias("n")).where("n > 0")
-    top = hub.select(F.concat(F.lit("## Hub Files (most imported)\n"), "t", F.lit("\n\n")).alias("content"), F.lit(100.0).alias("score"), F.lit(-(1 << 62)).alias("seq"))
+    hub = hubs(c).withColumn("line", F.concat(F.lit("- "), "file_path", F.lit(" (imported by "), F.col("importers").cast("string"), F.lit(" files)")))
+    top = _section("Hub Files (most imported)", hub, F.struct((-F.col("importers")).alias("k"), "file_path"), max_tokens, 100.0, -(1 << 62), "\n\n")
     per = d.groupBy("source_file").agg(_joined("target_file", F.concat(F.lit("  → "), "target_file")).alias("t"), F.count("*").alias("n"))
     own = per.select(F.concat("source_file", F.lit("\n"), "t", F.lit("\n\n")).alias("content"), F.col("n").cast("double").alias("score"), F.xxhash64("source_file").alias("seq"))
     out = render("# Dependencies\n", top.unionByName(own), max_tokens)
@@ -201,8 +217,7 @@ def hotspot_report(c: Catalog, max_tokens: int) -> str:
     )
     parts = None
     for i, (title, rows, key) in enumerate(lists):
-        one = rows.agg(_joined(key, F.col("line")).alias("t"), F.count("*").alias("n")).where("n > 0")
-        one = one.select(F.concat(F.lit(f"## {title}\n"), "t", F.lit("\n")).alias("content"), F.lit(float(max(1, 3 - i))).alias("score"), F.lit(i).cast("long").alias("seq"))
+        one = _section(title, rows, key, max_tokens, float(max(1, 3 - i)), i)
         parts = one if parts is None else parts.unionByName(one)
     return render("# Hotspots\n\n", parts, max_tokens)
 

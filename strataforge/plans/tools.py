@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..operators import graph, ranking
+from ..operators import graph, patterns, ranking
 from ..operators.lines import slice_lines
-from ..operators.units import test_structure
+from ..operators.units import bodies_of, test_structure, units_with_bodies
+from ..sources.files import with_file_columns
+from ..sources.settings import Settings
 
 
 class ToolError(ValueError):
@@ -30,7 +32,7 @@ class Result:
 
     rows: DataFrame
     total: DataFrame | None = None
-    context: str | None = None
+    context: dict[str, str] | None = None
     parts: dict[str, DataFrame] | None = None
 
     def response(self) -> str:
@@ -40,7 +42,7 @@ class Result:
         if self.total is not None:
             meta["total_count"] = self.total.first()[0]
             meta["has_more"] = meta["total_count"] > len(data)
-        if self.context:
+        if self.context and not data:
             meta["context"] = self.context
         out: dict[str, Any] = {"data": data, "meta": meta}
         for name, df in (self.parts or {}).items():
@@ -55,8 +57,22 @@ def page(df: DataFrame, order: list, limit: int | None = None, offset: int = 0)
     return Result(ordered.limit(limit) if limit is not None else ordered, df.agg(F.count("*").alias("total")))
 
 
+def with_source(c: Catalog, rows: DataFrame, wanted: bool = True, name: str = "source") -> DataFrame:
+    """Rows (file_path, line_start, line_end) with the lines they stand for; null where the file isn't there."""
+    if not wanted:
+        return rows
+    texts = c["files"].select(F.col("file_path").alias("__path"), F.col("content").alias("__content"))
+    cut = slice_lines(F.col("__content"), F.col("line_start"), F.col("line_end"))
+    return rows.join(texts, F.col("file_path") == F.col("__path"), "left").withColumn(name, cut).drop("__path", "__content")
+
+
+def sources_of(c: Catalog, key: str) -> DataFrame:
+    """(key, source) of all units, to be joined where a row points at one."""
+    return with_source(c, c.units_flat.select(F.col("id").alias(key), "file_path", "line_start", "line_end")).select(key, "source")
+
+
 def stats(c: Catalog) -> DataFrame:
-    """Counts over top-level units, with languages as a sorted list of language=count."""
+    """Q01: counts over top-level units, with languages as a sorted list of language=count."""
     top = c.units_top
     one = top.agg(F.count("*").alias("code_units"), F.count_distinct("file_path").alias("files"))
     pats = c["code_unit_patterns"].join(top.select(F.col("id").alias("code_unit_id")), "code_unit_id", "left_semi").agg(F.count("*").alias("patterns"))
@@ -70,6 +86,11 @@ def stats(c: Catalog) -> DataFrame:
     return out
 
 
+def project_stats(c: Catalog, settings: Settings) -> DataFrame:
+    """The counts with the project's name."""
+    return stats(c).withColumn("project_name", F.lit(settings.project_name))
+
+
 def module_overview(c: Catalog, language: str | None = None, limit: int = 50, offset: int = 0) -> Result:
     """Q02: files with their units in order."""
     top = c.units_top if language is None else c.units_top.where(F.col("language") == language)
@@ -80,7 +101,7 @@ def module_overview(c: Catalog, language: str | None = None, limit: int = 50, of
     return page(grouped, ["seq", "file_path"], limit, offset)
 
 
-def search(c: Catalog, query: str, kind: str = "code_unit", limit: int = 20) -> Result:
+def search(c: Catalog, query: str, kind: str = "code_unit", limit: int = 20, include_source: bool = False) -> Result:
     """Case-insensitive substring over unit names, pattern values or paths."""
     if not query:
         raise ToolError("query is required")
@@ -89,15 +110,20 @@ def search(c: Catalog, query: str, kind: str = "code_unit", limit: int = 20) ->
     if kind == "code_unit":
         hits = top.where(has(F.col("name")))
     elif kind == "pattern":
-        hits = top.join(c["code_unit_patterns"].where(has(F.col("pattern_value")) | has(F.col("pattern_type"))).select(F.col("code_unit_id").alias("id")), "id", "left_semi")
+        hits = top.join(c["code_unit_patterns"].where(has(F.col("pattern_value"))).select(F.col("code_unit_id").alias("id")), "id", "left_semi")
     elif kind == "file":
         hits = top.where(has(F.col("file_path")))
     else:
         raise ToolError(f"unknown search type: {kind}")
-    return page(hits.select("id", "file_path", "name", "unit_type", "line_start", "line_end", "seq"), ["seq", "id"], limit)
+    found = page(hits.select("id", "name", "unit_type", "file_path", "line_start", "line_end", "language", "signature", "seq"), ["seq", "id"], limit)
+    found.rows = with_source(c, found.rows, include_source).orderBy("seq", "id")
+    found.context = {"reason": "no_matches", "detail": "No results found. Try a broader query."}
+    return found
 
 
-def code_units(c: Catalog, file_path=None, name=None, unit_type=None, language=None, min_complexity=None, is_exported=None, limit: int = 100, offset: int = 0, full: bool = False) -> Result:
+def code_units(
+    c: Catalog, file_path=None, name=None, unit_type=None, language=None, min_complexity=None, is_exported=None, limit: int = 100, offset: int = 0, full: bool = False, include_source: bool = False
+) -> Result:
     """Conjunctive filters, compact or full rows."""
     df = c.units_top
     for column, value in (("file_path", file_path), ("unit_type", unit_type), ("language", language), ("is_exported", is_exported)):
@@ -108,7 +134,9 @@ def code_units(c: Catalog, file_path=None, name=None, unit_type=None, language=N
     if min_complexity is not None:
         df = df.where(F.col("complexity_score") >= min_complexity)
     compact = ["id", "file_path", "name", "unit_type", "line_start", "line_end", "complexity_score", "is_exported", "seq"]
-    return page(df if full else df.select(compact), ["seq", "id"], limit, offset)
+    found = page(df if full else df.select(compact), ["seq", "id"], limit, offset)
+    found.rows = with_source(c, found.rows, include_source).orderBy("seq", "id")
+    return found
 
 
 def dependencies(c: Catalog, source_file=None, target_file=None, limit: int = 100, both: bool = False) -> Result:
@@ -168,43 +196,46 @@ def _unit(c: Catalog, unit_id=None, name=None, file_path=None, what: str = "unit
     return row
 
 
-def change_impact(c: Catalog, file_path=None, unit_id=None, function_name=None, depth: int = 5, resolve: bool = False) -> Result:
+def change_impact(c: Catalog, file_path=None, unit_id=None, function_name=None, depth: int = 5, resolve: bool = False, include_source: bool = False) -> Result:
     """Q10: what depends on a file, directly and further, with cycles, endpoints, patterns and a risk label."""
+    target = c.units_top.where(F.col("file_path") == file_path).orderBy("seq", "id").limit(1)
     if unit_id is not None or function_name is not None:
-        file_path = _unit(c, unit_id, function_name)["file_path"]
+        unit = _unit(c, unit_id, function_name)
+        file_path, target = unit["file_path"], c.units_flat.where(F.col("id") == unit["id"])
     if file_path is None:
         raise ToolError("file_path, unit_id or function_name is required")
     edges = graph.edges_of(c["file_dependencies"])
     if resolve:
         edges = graph.resolve_extensions(edges, c["files"])
+    edges = graph.settle(edges, "impact-edges")
     start = c.spark.createDataFrame([(file_path,)], "start string")
     hit = graph.settle(graph.closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, depth), "impact")
     files = hit.select(F.col("node").alias("file_path"), "depth")
     touched = c.units_top.join(files, "file_path")
-    pats = c["code_unit_patterns"].join(touched.select(F.col("id").alias("code_unit_id"), "file_path"), "code_unit_id")
+    pats = c["code_unit_patterns"].join(touched.select(F.col("id").alias("code_unit_id"), "file_path", "line_start", "line_end"), "code_unit_id")
     endpoints = pats.where("pattern_type = 'API_ENDPOINT'")
-    loops = graph.strong_components(edges)
-    own = loops.join(loops.where(F.col("node") == file_path).select("component"), "component", "left_semi").select(F.col("component").cast("string").alias("component")).distinct()
     counts = hit.agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("total"))
-    counts = counts.crossJoin(F.broadcast(endpoints.agg(F.count("*").alias("endpoints")))).crossJoin(F.broadcast(own.agg(F.count("*").alias("cycles"))))
+    counts = counts.crossJoin(F.broadcast(endpoints.agg(F.count("*").alias("endpoints")))).crossJoin(F.broadcast(graph.on_cycle(edges, file_path)))
     d, t, e, n = (F.col(x) for x in ("direct", "total", "endpoints", "cycles"))
     risk = counts.select("direct", "total", "endpoints", "cycles", ranking.risk_level(d, n, e).alias("risk"), ranking.risk_sentence(d, t, e, n).alias("summary"))
+    own = ["source"] if include_source else []
     return Result(files.orderBy("depth", "file_path"), parts={
+        "target": with_source(c, target.select("id", "file_path", "name", "unit_type", "signature", "line_start", "line_end"), include_source),
         "risk": risk, "affected_units": touched.select("id", "file_path", "name", "depth").orderBy("depth", "file_path", "id"),
-        "endpoints": endpoints.select("pattern_value", "file_path").orderBy("file_path", "pattern_value"), "patterns": ranking.pattern_histogram(pats),
+        "endpoints": with_source(c, endpoints, include_source).select("pattern_value", "file_path", *own).orderBy("file_path", "pattern_value"), "patterns": ranking.pattern_histogram(pats),
         "clusters": c.clusters_of(file_path),
     })
 
 
-def call_chain(c: Catalog, unit_id=None, function_name=None, direction: str = "callees", depth: int = 3) -> Result:
+def call_chain(c: Catalog, unit_id=None, function_name=None, direction: str = "callees", depth: int = 3, include_source: bool = False) -> Result:
     """Q11: the units reached; the leaves whose call is not resolved are the part ``unresolved``, in one numbering."""
     start = _unit(c, unit_id, function_name)
     walked = graph.trace_calls(c["function_calls"], start["id"], depth, direction == "callers", c.units_flat.select("id", "name"))
     order = c.spark.createDataFrame([(x.unit_id, x.name, x.file_path, x.depth, i) for i, x in enumerate(walked)], "id string, callee_name string, callee_file_path string, depth int, position int")
     leaves = order.where("id IS NULL").select("depth", "position", F.col("callee_name").alias("name"), F.col("callee_file_path").alias("file_path"))
     reached = order.where("id IS NOT NULL").select("id", "depth", "position")
-    rows = reached.join(c.units_flat.select("id", "name", "file_path", "line_start"), "id", "left").orderBy("position")
-    return Result(rows, parts={"unresolved": leaves.orderBy("position")})
+    rows = reached.join(c.units_flat.select("id", "name", "file_path", "line_start", *(["line_end"] if include_source else [])), "id", "left")
+    return Result(with_source(c, rows, include_source).orderBy("position"), parts={"unresolved": leaves.orderBy("position")})
 
 
 def event_flow(c: Catalog, unit_id=None, event_name=None, direction=None, framework=None) -> Result:
@@ -291,23 +322,38 @@ def find_pattern(c: Catalog, query: str, pattern_type: str | None = None) -> Res
 
 
 def validate_file(c: Catalog, file_path: str) -> Result:
-    """Q17: a file's patterns against the templates: what it follows, deviates from, and files like it."""
-    top = c.units_top
-    own = top.where(F.col("file_path") == file_path)
-    pats = c["code_unit_patterns"].join(own.select(F.col("id").alias("code_unit_id")), "code_unit_id", "left_semi")
+    """Q17: a file's patterns, as extracted from its text now, against the templates: what it follows, deviates from, and files like it.
+
+    The part ``units`` has its patterns; without units all parts are empty.
+    """
+    if not file_path:
+        raise ToolError("file_path is required")
+    file = c["files"].where(F.col("file_path") == file_path).select("file_path", "content")
+    if file.isEmpty():
+        raise ToolError(f"Failed to read file: {file_path}")
+    fresh = graph.settle(units_with_bodies(with_file_columns(file)), "fresh")
+    own = fresh.where("parent_unit_id IS NULL")
+    pats = graph.settle(patterns.unit_patterns(bodies_of(fresh), fresh.drop("body")), "fresh-patterns").join(own.select(F.col("id").alias("code_unit_id")), "code_unit_id", "left_semi")
     types = pats.select("pattern_type").distinct()
     held = types.agg(F.collect_set("pattern_type").alias("held"))
     matched = c["pattern_templates"].crossJoin(F.broadcast(held)).where(F.arrays_overlap("pattern_types", "held"))
     covered = matched.select(F.explode(F.array_intersect("pattern_types", "held")).alias("pattern_type")).distinct()
-    deviations = types.join(covered, "pattern_type", "left_anti").select(F.concat(F.lit("Pattern type '"), F.col("pattern_type"), F.lit("' has no matching template in the codebase")).alias("deviation"))
+    missing = types.join(covered, "pattern_type", "left_anti")
+    deviations = missing.select(F.concat(F.lit("Pattern type '"), F.col("pattern_type"), F.lit("' has no matching template in the codebase")).alias("deviation"))
+    unmatched = missing.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(1).alias("position"), F.lit("Consider creating pattern templates for the unmatched pattern types").alias("suggestion"))
+    named = matched.agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "id", "template_file_path"))), lambda x: x["template_file_path"]).alias("p")).where(F.size("p") > 0)
+    review = named.select(F.lit(2).alias("position"), F.concat(F.lit("Review the canonical examples: "), F.array_join("p", ", ")).alias("suggestion"))
+    follows = matched.select("name", "id", F.posexplode("conventions").alias("position", "convention"))
     near = c["code_unit_patterns"].join(types, "pattern_type", "left_semi").select(F.col("code_unit_id").alias("id")).distinct()
-    similar = top.where(F.col("file_path") != file_path).join(near, "id", "left_semi").groupBy("file_path").agg(F.min_by("name", "seq").alias("unit_name"), F.min("seq").alias("seq")).orderBy("seq", "file_path").limit(5)
+    similar = c.units_top.where(F.col("file_path") != file_path).join(near, "id", "left_semi").groupBy("file_path").agg(F.min_by("name", "seq").alias("unit_name"), F.min("seq").alias("seq")).orderBy("seq", "file_path").limit(5)
     return Result(own.select("id", "name", "unit_type", "line_start", "line_end").orderBy("line_start", "id"), parts={
-        "matched": matched.select("name", "template_file_path", "conventions").orderBy("name"), "deviations": deviations.orderBy("deviation"), "similar_files": similar.select("file_path", "unit_name"),
+        "patterns": pats.select("code_unit_id", "pattern_type", "pattern_value").orderBy("code_unit_id", "pattern_type", "pattern_value"),
+        "matched": matched.select("name", "template_file_path", "conventions", "id").orderBy("name", "id").drop("id"), "follows": follows.orderBy("name", "id", "position").select("convention"),
+        "deviations": deviations.orderBy("deviation"), "suggestions": unmatched.unionByName(review).orderBy("position").select("suggestion"), "similar_files": similar.select("file_path", "unit_name"),
     })
 
 
-def function_context(c: Catalog, unit_id=None, function_name=None, file_path=None, by_id_only: bool = False) -> Result:
+def function_context(c: Catalog, unit_id=None, function_name=None, file_path=None, by_id_only: bool = False, include_source: bool = False) -> Result:
     """Calls out, calls in (by id or by name, each call once), events and fields of one unit."""
     unit = _unit(c, unit_id, function_name, file_path)
     calls = c["function_calls"]
@@ -317,13 +363,17 @@ def function_context(c: Catalog, unit_id=None, function_name=None, file_path=Non
     names = c.units_flat.select(F.col("id").alias("caller_unit_id"), F.col("name").alias("caller_name"), F.col("file_path").alias("caller_file"))
     default = F.lit("unknown") if by_id_only else F.col("caller_unit_id")
     incoming = calls.where(hits).dropDuplicates(["id"]).join(names, "caller_unit_id", "left").withColumn("caller_name", F.coalesce("caller_name", default))
-    return Result(c.units_flat.where(F.col("id") == unit["id"]), parts={
-        "outgoing": calls.where(F.col("caller_unit_id") == unit["id"]).orderBy("seq", "id"), "incoming": incoming.orderBy("caller_name", "seq", "id"),
+    outgoing = calls.where(F.col("caller_unit_id") == unit["id"])
+    if include_source:
+        outgoing = outgoing.join(sources_of(c, "callee_unit_id"), "callee_unit_id", "left")
+        incoming = incoming.join(sources_of(c, "caller_unit_id"), "caller_unit_id", "left")
+    return Result(with_source(c, c.units_flat.where(F.col("id") == unit["id"]), include_source), parts={
+        "outgoing": outgoing.orderBy("seq", "id"), "incoming": incoming.orderBy("caller_name", "seq", "id"),
         "events": c.find("event_flows", code_unit_id=unit["id"]).orderBy("line_number", "id"), "fields": c.find("type_fields", parent_unit_id=unit["id"]).orderBy("line_number", "id"),
     })
 
 
-def implementation_context(c: Catalog, file_path=None, unit_name=None, query=None) -> Result:
+def implementation_context(c: Catalog, file_path=None, unit_name=None, query=None, include_source: bool = True) -> Result:
     """Q19: units, imports both ways, related templates, likely tests and the cluster."""
     top = c.units_top
     if file_path is not None:
@@ -342,7 +392,7 @@ def implementation_context(c: Catalog, file_path=None, unit_name=None, query=Non
     there = c["files"].select(F.col("file_path").alias("test_file"), F.lit(True).alias("e"))
     tests = tried.join(there, "test_file", "left").select("file_path", "rank", "test_file", F.coalesce("e", F.lit(False)).alias("exists"))
     area = c["file_clusters"].join(c["file_cluster_members"].join(paths, "file_path", "left_semi"), F.col("id") == F.col("cluster_id"), "left_semi")
-    return Result(own.orderBy("seq", "id"), parts={
+    return Result(with_source(c, own, include_source).orderBy("seq", "id"), parts={
         "imports": d.join(paths.withColumnRenamed("file_path", "source_file"), "source_file", "left_semi").orderBy("source_file", "seq", "target_file"),
         "imported_by": d.join(paths.withColumnRenamed("file_path", "target_file"), "target_file", "left_semi").orderBy("target_file", "seq", "source_file"),
         "templates": related.orderBy("name", "id"), "tests": tests.orderBy("file_path", "rank"), "cluster": area.orderBy("name", "id").limit(1),

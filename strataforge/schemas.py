@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 UNIT_TYPES = ("FUNCTION", "CLASS", "METHOD", "ARROW_FUNCTION", "MODULE", "INTERFACE", "ENUM", "TYPE_ALIAS", "STRUCT", "TRAIT", "IMPL_BLOCK")
 PATTERN_TYPES = ("API_ENDPOINT", "API_CALL", "DATABASE_READ", "DATABASE_WRITE", "EXTERNAL_SERVICE", "ENV_VARIABLE", "IMPORT", "EXPORT")
-IMPORT_TYPES = ("NAMED", "DEFAULT", "NAMESPACE", "DYNAMIC", "MODULE", "USE", "USING")
+IMPORT_TYPES = ("NAMED", "DEFAULT", "NAMESPACE", "DYNAMIC", "PACKAGE", "MODULE", "WILDCARD")
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 #: Units with a body that runs, and units with fields.
 CALLABLE_TYPES = ("FUNCTION", "ARROW_FUNCTION", "METHOD")

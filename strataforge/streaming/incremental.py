@@ -61,49 +61,92 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def stream_latest(reader: DataStreamReader, source: str, target: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
+#: Parts of a merged table: a batch rewrites only those that its keys fall in.
+PARTS = 64
+
+
+def stream_latest(reader: DataStreamReader, source: str, target: str, checkpoint: str, key: str, order: list[str], parts: int = PARTS) -> StreamingQuery:
     """A file stream merged into ``target``: Parquet with the last row of each key.
 
-    Each micro-batch is reduced to one row a key, joined with what is there and written to
-    a new version folder named by the batch, so a batch that is run again after a failure
-    writes the same folder.
+    Each micro-batch is reduced to one row a key and joined with the parts of the table that
+    its keys fall in; these are written to a version folder named by the batch, so a batch that
+    is run again after a failure writes the same folder. A part's newest folder counts; folders
+    that no reader and no second try needs any more are deleted. ``parts`` stays the same for a table.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = latest(batch, key, order)
-        last = _version(spark, target, number)
-        whole = new if last is None else latest(spark.read.parquet(last).unionByName(new), key, order)
-        whole.write.mode("overwrite").parquet(f"{target}/v{number:012d}")
+        own = latest(batch, key, order).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        own = graph.settle(own, "stream-batch")
+        touched = {r[0] for r in own.select("__part").distinct().collect()}
+        before = _parts(spark, target, number)
+        paths = [before[p][0] for p in sorted(touched & before.keys())]
+        whole = own.drop("__part")
+        if paths:
+            whole = latest(spark.read.schema(batch.schema).parquet(*paths).unionByName(whole), key, order)
+        whole = whole.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        whole.write.mode("overwrite").partitionBy("__part").parquet(f"{target}/v{number:012d}")
+        graph.forget(own)
+        for versions in before.values():
+            _delete(spark, *versions[1:])
 
     return reader.load(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _version(spark, target: str, before: int | None = None) -> str | None:
-    """The newest version folder, or the newest before a batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+def _names(spark, folder: str, start: str) -> list[str]:
+    """Names below a folder that begin so, in order; none without the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v"))
-    names = [n for n in names if before is None or int(n[1:]) < before]
-    return f"{target}/{names[-1]}" if names else None
+    return sorted(n for s in fs.listStatus(path) if (n := s.getPath().getName()).startswith(start)) if fs.exists(path) else []
+
+
+def _versions(spark, target: str, before: int | None = None) -> list[str]:
+    """Version folders, the newest first; only those before a batch, if one is given."""
+    return [f"{target}/{n}" for n in reversed(_names(spark, target, "v")) if before is None or int(n[1:]) < before]
+
+
+def _parts(spark, target: str, before: int | None = None) -> dict[int, list[str]]:
+    """The folders of each part, the newest first."""
+    found: dict[int, list[str]] = {}
+    for version in _versions(spark, target, before):
+        for name in _names(spark, version, "__part="):
+            found.setdefault(int(name.split("=")[1]), []).append(f"{version}/{name}")
+    return found
+
+
+def _delete(spark, *folders: str) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_latest(spark, target: str) -> DataFrame:
-    return spark.read.parquet(_version(spark, target))
+    """The merged table as it is now."""
+    return spark.read.parquet(*[v[0] for _, v in sorted(_parts(spark, target).items())])
 
 
 def stream_catalog(reader: DataStreamReader, source: str, root: str, checkpoint: str) -> StreamingQuery:
-    """D27 as a stream: file versions (file_path, content, deleted) keep a catalog under ``root`` up to date."""
+    """D27 as a stream: file versions (file_path, version, content, deleted) keep a catalog under ``root`` up to date.
+
+    Of a file that comes several times in a batch the highest version counts. The catalog before
+    the last stays for readers and for a second try of the batch; older ones are deleted.
+    """
     from ..sources.files import with_file_columns
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = graph.settle(batch.dropDuplicates(["file_path"]), "batch")
-        last = _version(spark, root, number)
+        batch = graph.settle(latest(batch, "file_path", ["version", "content"]), "batch")
+        before = _versions(spark, root, number)
         changes = batch.select("file_path", F.when(F.col("deleted"), "deleted").otherwise("modified").alias("change_type"), F.lit(None).cast("string").alias("old_path"))
-        done = apply_changes(Catalog(spark, root=last), changes, with_file_columns(batch.where("NOT deleted")))
+        done = apply_changes(Catalog(spark, root=before[0] if before else None), changes, with_file_columns(batch.where("NOT deleted")))
         done.write(f"{root}/v{number:012d}")
+        graph.forget(batch)
+        _delete(spark, *before[1:])
 
     return reader.load(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_catalog(spark, root: str) -> Catalog:
+    """The catalog that a stream keeps."""
+    found = _versions(spark, root)
+    return Catalog(spark, root=found[0] if found else None)

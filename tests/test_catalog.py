@@ -5,6 +5,7 @@ from strataforge.catalog import Catalog, analyse
 from strataforge.operators import ranking, resolve
 from strataforge.plans import reports, tools
 from strataforge.sources.files import with_file_columns
+from strataforge.sources.settings import Settings
 from strataforge.streaming import incremental
 
 FILES = {
@@ -76,6 +77,81 @@ def test_incremental_equals_a_full_run(spark, catalog, tmp_path):
     assert back["code_units"].count() == full["code_units"].count()
 
 
+def test_sources_come_along(catalog):
+    first = tools.call(catalog, "search_codebase", query="CREATE", include_source=True).rows.first()
+    assert first["source"] == "\n".join(FILES["src/api/users.ts"].split("\n")[1:6]) and first["language"] == "typescript" and first["signature"] == "(id: string)"
+    assert '"reason": "no_matches"' in tools.call(catalog, "search_codebase", query="zzz").response()
+    chain = tools.call(catalog, "trace_call_chain", function_name="createUser", include_source=True).rows.first()
+    assert chain["source"].startswith("export const save")
+    context = tools.call(catalog, "get_function_context", function_name="save", include_source=True)
+    assert context.rows.first()["source"].startswith("export const save") and context.parts["incoming"].first()["source"].startswith("export async function createUser")
+    impact = tools.call(catalog, "plan_change_impact", function_name="save", resolve=True, include_source=True)
+    assert impact.parts["target"].first()["source"].startswith("export const save")
+    assert "source" in tools.call(catalog, "get_implementation_context", unit_name="log").rows.columns
+    assert "source" not in tools.call(catalog, "get_implementation_context", unit_name="log", include_source=False).rows.columns
+    files = Catalog(catalog.spark, {"code_units": catalog["code_units"]})
+    assert [r["source"] for r in tools.code_units(files, name="log", include_source=True).rows.collect()] == [None]
+
+
+def test_a_file_is_validated_from_its_text(spark, catalog):
+    text = "export function load() {\n  fetch('/x');\n  q('SELECT a FROM t');\n}\n"
+    t = spark.createDataFrame([("t", "Reads", "d", ["DATABASE_READ"], "u", "src/r.ts", 3, ["Reads first", "Then maps"])], "id string, name string, description string, pattern_types array<string>, template_unit_id string, template_file_path string, follower_count long, conventions array<string>")
+    c = Catalog(spark, {**catalog.tables, "files": with_file_columns(spark.createDataFrame([("src/new.ts", text)], "file_path string, content string")), "pattern_templates": t})
+    parts = tools.validate_file(c, "src/new.ts").parts
+    assert [r[0] for r in parts["follows"].collect()] == ["Reads first", "Then maps"]
+    assert [r[0] for r in parts["deviations"].collect()] == ["Pattern type 'API_CALL' has no matching template in the codebase"]
+    assert [r[0] for r in parts["suggestions"].collect()] == ["Consider creating pattern templates for the unmatched pattern types", "Review the canonical examples: src/r.ts"]
+    with pytest.raises(tools.ToolError, match="Failed to read file"):
+        tools.validate_file(c, "gone.ts")
+
+
+def test_catalog_folders(spark, catalog, tmp_path):
+    root = str(tmp_path / "c")
+    c = Catalog(spark, root=root).migrate().migrate()
+    assert all(c[name].count() == 0 for name in ("files", "code_units", "analysis_results"))
+    kept = catalog.drop_files(spark.createDataFrame([("src/util/log.ts",)], "file_path string"))
+    assert kept["code_units"].count() == 2 and kept["guard_clauses"].count() < catalog["guard_clauses"].count()
+    assert tools.project_stats(catalog, Settings(project_name="p")).first()["project_name"] == "p"
+
+
+def test_sections_without_tokens_always_fit(spark):
+    rows = [("ab", 9.0, 1), ("abcd" * 10, 5.0, 2), ("abcd" * 3, 4.0, 3), ("", 1.0, 4), ("abcd" * 11, 0.5, 5)]
+    kept, used, omitted = reports.fit(spark.createDataFrame(rows, "content string, score double, seq long"), 10)
+    assert (sorted(r["seq"] for r in kept.collect()), used, omitted) == ([1, 2, 4], 10, 2)
+
+
+def test_a_section_beyond_the_budget_is_left_out(spark):
+    rows = spark.createDataFrame([(f"N{i:05d}", None, True, i) for i in range(3000)], "name string, description string, has_default boolean, line_number int")
+    c = Catalog(spark, {"env_variables": rows})
+    assert reports.patterns(c, 50) == "# Patterns\n\n\n_1 more files available via MCP tools_"
+    assert "N02999" in reports.patterns(c, 20_000)
+
+
+def test_a_stream_keeps_a_catalog(spark, tmp_path):
+    src, root = str(tmp_path / "src"), str(tmp_path / "catalog")
+    schema = "file_path string, version long, content string, deleted boolean"
+    batches = (
+        [("a.ts", 1, "export function a() { b(); }\n", False), ("b.ts", 1, "export function b() { }\n", False)],
+        [("a.ts", 3, "export function a3() { b(); }\n", False), ("a.ts", 2, "export function a2() { }\n", False), ("b.ts", 2, None, True), ("c.ts", 1, "export function c() { }\n", False)],
+    )
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        incremental.stream_catalog(spark.readStream.schema(schema).format("parquet"), src, root, str(tmp_path / "state")).awaitTermination()
+    c = incremental.read_catalog(spark, root)
+    assert sorted(r["name"] for r in c["code_units"].collect()) == ["a3", "c"]
+    assert len(incremental._versions(spark, root)) == 2
+
+
+def test_only_touched_parts_are_written(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    for rows in ([(i, 1) for i in range(200)], [(5, 9)], [(5, 10)], [(5, 11)]):
+        spark.createDataFrame(rows, "k long, v long").coalesce(1).write.mode("append").parquet(src)
+        incremental.stream_latest(spark.readStream.schema("k long, v long").format("parquet"), src, out, str(tmp_path / "state"), "k", ["v"], parts=8).awaitTermination()
+    parts = incremental._parts(spark, out)
+    assert len(parts) == 8 and sorted(map(len, parts.values())) == [1] * 7 + [2]
+    assert sorted(map(tuple, incremental.read_latest(spark, out).collect())) == sorted((i, 11 if i == 5 else 1) for i in range(200))
+
+
 def test_stream_keeps_the_latest(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     reader = lambda: spark.readStream.schema("k long, v long").format("parquet")

@@ -109,7 +109,7 @@ def test_columns_are_read_around_the_match(spark):
     ("create({ data: { a: '" + "x" * 500 + "' } })", None, ["*"]),
 ])
 def test_prisma_columns_by_method(call, read, write):
-    assert patterns.prisma_access(f"db.{'user.'}{call}"[:502], 2) == {"read": read, "write": write}
+    assert patterns.prisma_access(f"db.{'user.'}{call}"[:502], 0) == {"read": read, "write": write}
 
 
 def test_prisma_columns_of_the_matched_call(spark):
@@ -126,9 +126,10 @@ def test_routes(spark, path, route):
 @pytest.mark.parametrize(("language", "text", "want"), [
     ("typescript", "export async function a(x: number): Promise<T> {\n}\nconst b = (y) => y;\nclass C {\n  m(z) { }\n}", [("a", "FUNCTION", 1, 2), ("b", "ARROW_FUNCTION", 3, 3), ("C", "CLASS", 4, 6), ("m", "METHOD", 5, 5)]),
     ("python", "class K:\n    def m(self):\n        pass\n\ndef _f(a):\n    return 1\n", [("K", "CLASS", 1, 3), ("m", "METHOD", 2, 3), ("_f", "FUNCTION", 5, 6)]),
-    ("go", "func (s *S) Get(id string) error {\n}\ntype S struct {\n}\n", [("Get", "METHOD", 1, 2), ("S", "STRUCT", 3, 4)]),
+    ("python", "def one(): return 1\ndef two(): return 2\n", [("one", "FUNCTION", 1, 2), ("two", "FUNCTION", 2, 3)]),
+    ("go", "func (s *S) Get(id string) error {\n}\ntype S struct {\n}\nfunc any(x interface{}) {\n}\nfunc open() {\n", [("Get", "METHOD", 1, 2), ("S", "STRUCT", 3, 4), ("any", "FUNCTION", 5, 5), ("open", "FUNCTION", 7, 18)]),
     ("java", "public class A {\n  public int f(String s) throws E {\n    g(s);\n  }\n}\n", [("A", "CLASS", 1, 5), ("f", "METHOD", 2, 4)]),
-    ("rust", "pub struct S { }\nimpl S {\n  pub fn go(&self) { }\n}\nfn main() { }\n", [("S", "STRUCT", 1, 1), ("S", "IMPL_BLOCK", 2, 4), ("go", "METHOD", 3, 3), ("main", "FUNCTION", 5, 5)]),
+    ("rust", "pub struct S { }\nimpl S {\n  pub fn go(&self) { }\n}\nfn main() { }\n", [("S", "STRUCT", 1, 1), ("impl S", "IMPL_BLOCK", 2, 4), ("go", "METHOD", 3, 3), ("main", "FUNCTION", 5, 5)]),
     ("csharp", "public class A {\n  public int X { get; set; }\n  public async Task<int> F(int a) { return a; }\n}\n", [("A", "CLASS", 1, 4), ("F", "METHOD", 3, 3)]),
 ])
 def test_units(language, text, want):
@@ -136,9 +137,17 @@ def test_units(language, text, want):
 
 
 def test_models():
-    orm = "@Entity('users')\nexport class User {\n  @PrimaryGeneratedColumn()\n  id: number;\n  @ManyToOne(() => Team)\n  team?: Team;\n}\n"
-    assert list(units.typeorm_models(orm, "u.ts")) == [("User", "typeorm", "users", [("id", "number", True, True, False, True, None), ("team", "Team", False, False, False, False, "Team")])]
-    drizzle = "export const users = pgTable('users', {\n  id: serial('id').primaryKey(),\n  t: text('t').notNull().unique().references(() => teams.id),\n});\n"
-    assert list(units.drizzle_models(drizzle, "s.ts")) == [("users", "drizzle", "users", [("id", "serial", True, True, False, True, None), ("t", "text", False, True, True, False, "teams")])]
-    mongo = "const userSchema = new Schema({ name: { type: String, required: true }, owner: { type: ObjectId, ref: 'Org' }, n: Number })"
+    assert list(units.typeorm_models("@Entity()\nexport class User {\n  @Column()\n  a: string;\n}\n", "u.ts")) == []
+    orm = "@Entity('users')\nclass User {\n  @PrimaryGeneratedColumn()\n  id: number;\n  @ManyToOne(() => Team)\n  team: Team;\n  @Column()\n  late?: string;\n}\n"
+    assert list(units.typeorm_models(orm, "u.ts")) == [("User", "typeorm", "users", [("id", "number", True, True, False, True, None), ("team", "Team", False, True, False, False, "Team")])]
+    drizzle = "export const users = pgTable('users', {\n  id: serial('id').primaryKey(),\n  t: text('t').notNull().unique().references(() => teams.id),\n  last: text('x')\n});\n"
+    assert list(units.drizzle_models(drizzle, "s.ts")) == [("users", "drizzle", "users", [("id", "serial", True, False, False, False, None), ("t", "text", False, True, True, False, "teams")])]
+    mongo = "const userSchema = new Schema({ name: { type: String, required: true }, owner: { type: ObjectId, ref: 'Org' }, n: Number, tags: [String] })"
     assert list(units.mongoose_models(mongo, "m.js")) == [("user", "mongoose", None, [("name", "String", False, True, False, False, None), ("owner", "ObjectId", False, False, False, False, "Org"), ("n", "Number", False, False, False, False, None)])]
+
+
+def test_sql_is_recorded_twice_in_four_languages(spark):
+    rows = [(x, "q(\"SELECT a FROM t\")", x, "f") for x in ("go", "java", "rust", "csharp", "python", "typescript")]
+    found = patterns.detect(spark.createDataFrame(rows, "unit_id string, body string, language string, file_path string")).where("pattern_type = 'DATABASE_READ'")
+    got = {k: sorted(r["pattern_value"] for r in found.where(F.col("unit_id") == k).collect()) for k in ("go", "csharp", "python", "typescript")}
+    assert got == {"go": ["SELECT FROM t", "SELECT a FROM t"], "csharp": ["SELECT FROM t", "SELECT a FROM t"], "python": ["SELECT FROM t"], "typescript": ["SELECT FROM t"]}

@@ -93,3 +93,18 @@ def test_order_of_rows_does_not_matter(spark):
     one = graph.components(edges(spark, pairs).coalesce(1)).orderBy("node").collect()
     two = graph.components(edges(spark, pairs[::-1]).repartition(5, F.col("src"))).orderBy("node").collect()
     assert one == two
+
+
+def test_rounds_grow_with_the_logarithm_of_a_cycle(spark, monkeypatch):
+    n, rounds = 300, []
+    settle = graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name="graph": (rounds.append(name), settle(df, name))[1])
+    rows = [(i, (i + 1) % n) for i in range(n)] + [(1000 + i, 1001 + i) for i in range(3)] + [(7, 7), (5, 1000)]
+    found = graph.strong_components(spark.createDataFrame(rows, "src long, dst long")).collect()
+    assert sorted(map(tuple, found)) == [(i, 0) for i in range(n)]
+    assert rounds.count("labels") < 200
+
+
+def test_a_node_on_a_cycle(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e")], "src string, dst string")
+    assert [graph.on_cycle(e, x).first()[0] for x in "abcdez"] == [1, 1, 1, 0, 1, 0]
