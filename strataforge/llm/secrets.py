@@ -2,7 +2,8 @@
 
 Candidates are runs of sixteen or more key characters that hold a digit, mix
 cases or follow a word such as ``token``. Each gets features of its length,
-character transitions, dictionary coverage, path and neighbouring words. A
+character transitions (between classes of characters, and pairs of letters usual in
+words), dictionary coverage, path and neighbouring words. A
 random forest trained on labelled findings decides; its trees are compiled to
 CASE expressions, so scoring is one projection where the text is read, without
 user functions or a shuffle.
@@ -11,6 +12,9 @@ There is no table of labelled findings, so ``labelled_findings`` writes one by
 rule, from digests and word lists: the bound on what is learned from is its
 ``LABELLED`` rows. ``train`` takes any table of that shape instead.
 
+Runs of fewer than ``MIN_CHARS`` characters, and longer ones without any of these
+signs, are no candidates; they are words for all that can be told.
+
 Defined results: null and empty texts have no candidates; a null ``doc_id`` is
 carried; a null source is an empty path; repeated rows each give their findings;
 every candidate of a very long text is scored; a table without candidates gives
@@ -56,6 +60,9 @@ DICTIONARY = (
     "week width window winter word work world write year your zone"
 ).split()
 
+#: Pairs of letters that follow each other in dictionary words.
+PAIRS = sorted({w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1)})
+
 
 def _share(pattern: str) -> Column:
     return F.regexp_count("candidate", F.lit(pattern)) / F.length("candidate")
@@ -69,6 +76,8 @@ def features() -> dict[str, Column]:
     pieces = F.filter(F.split(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+", -1), lambda p: F.length(p) >= 3)
     known = F.aggregate(F.filter(pieces, lambda p: p.isin(DICTIONARY)), F.lit(0), lambda n, p: n + F.length(p))
     runs = F.length(F.regexp_replace(classes, r"(.)\1*", "x"))
+    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.lower(F.substring(c, i, F.lit(2)))), lambda p: p.rlike(r"\A[a-z]{2}\z"))
+    usual = F.size(F.filter(pairs, lambda p: p.isin(PAIRS))) / F.greatest(F.size(pairs), F.lit(1))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return {
         "length": F.length(c).cast("double"),
@@ -76,6 +85,7 @@ def features() -> dict[str, Column]:
         "distinct": (F.size(F.array_distinct(F.split(c, ""))) / F.least(F.length(c), F.lit(36))).cast("double"),
         "digits": _share("[0-9]").cast("double"),
         "uppers": _share("[A-Z]").cast("double"),
+        "usual_pairs": usual.cast("double"),
         "vowel_turns": _share("(?i)[aeiou][bcdfghjklmnpqrstvwxyz]").cast("double"),
         "hex": flag(c.rlike(r"\A[0-9a-fA-F]+\z")),
         "separators": _share(r"[/_\-]").cast("double"),
@@ -151,15 +161,19 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     return rows.select(F.element_at(F.array(*as_struct), (F.pmod("id", F.lit(len(kinds))) + 1).cast("int")).alias("x")).select("x.*").withColumn("word", F.concat(F.lit('"'), "candidate", F.lit('"'))).where(F.length("candidate") >= MIN_CHARS)
 
 
-def train(findings: DataFrame) -> list[Column]:
-    """The trees of a forest fitted on labelled findings, as expressions of the features' names."""
+def fit(findings: DataFrame):
+    """A random forest fitted on labelled findings."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     made = features()
     rows = VectorAssembler(inputCols=list(made), outputCol="x").transform(findings.select(F.col("label").cast("double").alias("label"), *[f.alias(k) for k, f in made.items()]))
-    forest = RandomForestClassifier(featuresCol="x", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.7, featureSubsetStrategy="sqrt").fit(rows.select("x", "label"))
-    return [_compile(t.toDebugString, list(made)) for t in forest.trees]
+    return RandomForestClassifier(featuresCol="x", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.7, featureSubsetStrategy="sqrt").fit(rows.select("x", "label"))
+
+
+def train(findings: DataFrame) -> list[Column]:
+    """The trees of a forest fitted on labelled findings, as expressions of the features' names."""
+    return [_compile(t.toDebugString, list(features())) for t in fit(findings).trees]
 
 
 def _compile(described: str, names: list[str]) -> Column:
