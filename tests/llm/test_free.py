@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -56,6 +57,51 @@ def test_chain_feeds_earlier_categories(spark):
     assert p[1][0] > 0.5 > p[1][1] and p.shape == (2, 3)
 
 
+def plain_link(x, dense, y):
+    """One link by plain proximal steps on dense arrays: L1 picks words, L2 weighs those picked."""
+    def solve(columns, l1, l2, steps):
+        z = np.column_stack([columns, np.ones(len(y))])
+        w, step = np.zeros(z.shape[1]), 4 / np.linalg.eigvalsh(z.T @ z)[-1]
+        soft = np.concatenate([np.full(columns.shape[1] - dense.shape[1], l1), np.zeros(dense.shape[1] + 1)])
+        for _ in range(steps):
+            g = z.T @ (1 / (1 + np.exp(-z @ w)) - y)
+            g[:-1] += l2 * w[:-1]
+            w = w - step * g
+            w = np.sign(w) * np.maximum(0, np.abs(w) - step * soft)
+        return w
+
+    k = x.shape[1]
+    picked = np.flatnonzero(solve(np.hstack([x, dense]), toxicity.L1 * np.sqrt(len(y)), 0.0, 20_000)[:k])
+    w = solve(np.hstack([x[:, picked], dense]), 0.0, toxicity.WEAK_L2, 20_000)
+    words = np.zeros(k)
+    words[picked] = w[: len(picked)]
+    return words, w[len(picked) : -1], w[-1]
+
+
+def test_chain_matches_plain_solver():
+    rng = np.random.default_rng(5)
+    x = (rng.random((90, 4)) < 0.4).astype(float)
+    a = (rng.random(90) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1])))).astype(float)
+    b = (rng.random(90) < 1 / (1 + np.exp(-(2 * x[:, 2] + 2 * a - 2)))).astype(float)
+    labels, fold = np.column_stack([a, b]), np.arange(90) % 3
+    row, word = np.nonzero(x)
+    chain = toxicity.fit_chain([bytes([97 + i]) for i in range(4)], row, word, labels, fold)
+    dense, links = np.empty((90, 0)), []
+    for k in range(2):
+        held = np.zeros(90)
+        for f in range(3):
+            # what a row's later link learns from comes from a model that hasn't seen the row
+            words, d, bias = plain_link(x[fold != f], dense[fold != f], labels[fold != f, k])
+            held[fold == f] = x[fold == f] @ words + dense[fold == f] @ d + bias
+        links.append(plain_link(x, dense, labels[:, k]))
+        dense = np.column_stack([dense, held])
+    total = []
+    for words, d, bias in links:
+        total.append(x @ words + bias + sum(w * t for w, t in zip(d, total, strict=True)))
+    got = chain.predict([" ".join(chr(97 + i) for i in np.flatnonzero(r)) for r in x])
+    assert np.abs(got - 1 / (1 + np.exp(-np.array(total)))).max() < 0.01
+
+
 def test_toxicity_of_awkward_tables(spark):
     d = docs(spark, AWKWARD).withColumn("p_toxic", F.lit(1))
     none = spark.createDataFrame([(None, None, None)], "doc_id long, poor int, toxic int")
@@ -63,6 +109,10 @@ def test_toxicity_of_awkward_tables(spark):
     labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 0, 0)], "doc_id long, poor int, toxic int")
     assert toxicity.score(d, toxicity.train(d, labels)).count() == len(AWKWARD)
     assert toxicity.score(docs(spark, []), toxicity.train(docs(spark, []), labels)).collect() == []
+    # Repeated rows, and ids that many documents share, are each scored, the same texts alike.
+    many = docs(spark, [(3, "same"), (3, "same"), (3, "other words"), (1, "same")])
+    p = [(r["doc_id"], r["p_toxic"]) for r in toxicity.score(many, toxicity.train(many, labels, train_rows=2)).where("doc_id = 3 OR doc_id = 1").collect()]
+    assert len(p) == 4 and len({x for _, x in p}) <= 2
 
 
 # ------------------------------------------------------------------ op5
@@ -94,7 +144,7 @@ def brute_leaks(rows, items):
 @pytest.mark.parametrize("block_words", [300_000, 40])
 def test_leaks_match_brute_force(spark, block_words):
     rng = random.Random(9)
-    items = [(i, babble(rng, rng.choice([3, 7, 10, 14, 40]), 30)) for i in range(25)] + [(25, None), (26, ""), (None, babble(rng, 12, 30)), (3, "second text of three ONE two"), (27, "É-é x9")]
+    items = [(i, babble(rng, rng.choice([3, 7, 10, 14, 40, 130]), 30)) for i in range(25)] + [(25, None), (26, ""), (None, babble(rng, 12, 30)), (3, "second text of three ONE two"), (27, "É-é x9")]
     rows = list(AWKWARD)
     for i in range(80):
         words = babble(rng, rng.randrange(0, 120), 30).split()
@@ -109,7 +159,9 @@ def test_leaks_match_brute_force(spark, block_words):
     got = decontaminate.find_contamination(d, bench, block_words=block_words)
     assert Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in got.collect()) == brute_leaks(rows, items)
     assert decontaminate.clean(d, bench).columns == d.columns
-    assert (len(list(decontaminate.blocks(bench, block_words))) > 1) == (block_words == 40)
+    parts = list(decontaminate.blocks(bench, block_words))
+    assert (len(parts) > 1) == (block_words == 40)
+    assert all(sum(len(t.split()) for _, t in part) <= block_words for part in parts)
 
 
 def test_leaks_of_nothing(spark):
@@ -154,6 +206,47 @@ def test_filter_of_more_than_64_languages():
     assert f.decide(seen, hits)[0] == langs
 
 
+def test_parts_of_a_long_text_count_like_the_whole(monkeypatch):
+    rng = random.Random(14)
+    texts = pa.array([" ".join("".join(rng.choices("abcdé", k=rng.randrange(1, 9))) for _ in range(n)) for n in (1, 3, 40, 200, 0, 7)] + ["x" * 300, None, "12 3", "日本語" * 40])
+
+    def counted():
+        every, once = Counter(), []
+        for h, o, _ in language_id._pieces(texts):
+            every.update(zip(o.tolist(), h.tolist(), strict=True))
+        for h, o in language_id._distinct(texts):
+            once += zip(o.tolist(), h.tolist(), strict=True)
+        return every, Counter(once)
+
+    whole = counted()
+    assert set(whole[1].values()) == {1} and set(whole[0]) == set(whole[1])
+    for size in (1, 7, 50):
+        monkeypatch.setattr(language_id, "CHUNK_CHARS", size)
+        assert counted() == whole
+
+
+def test_corrected_counts_match_exact_sets():
+    rng = np.random.default_rng(3)
+    grams = rng.integers(1, 1 << 62, 4000).astype(np.uint64)
+    langs = rng.integers(1, 8, 4000).astype(np.uint64)
+    f = language_id.Filter(["a", "b", "c"], grams, langs[:, None])
+    asked = np.concatenate([rng.choice(grams, 3000), rng.integers(1, 1 << 62, 30_000).astype(np.uint64)])
+    sets = {int(g): int(m) for g, m in zip(grams, langs, strict=True)}
+    exact = [sum(sets.get(int(g), 0) >> i & 1 for g in asked) for i in range(3)]
+    seen, hits = f.hits(asked, np.zeros(len(asked), int), 1)
+    assert seen[0] == len(asked) and all(h >= e for h, e in zip(hits[0], exact, strict=True))
+    corrected = (hits[0] - seen[0] * f.false_positive) / (1 - f.false_positive)
+    assert np.abs(corrected / exact - 1).max() < 0.05
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, f"the thing {i % 7} there", "en", "s", 1) for i in range(600)] + [(1000 + i, f"der schuh {i % 7} dort", "de", "s", 1) for i in range(12)]
+    model = language_id.train(spark.createDataFrame(rows, DOCS), train_docs=40)
+    assert model.langs == ["de", "en"]
+    found = language_id.predict(spark.createDataFrame([(1, "schuh dort", None, None, 1), (2, "thing there", None, None, 1)], DOCS), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {1: "de", 2: "en"}
+
+
 def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
     rows = [(i, ("ab cd " if i % 2 else "xy zw ") * 30, "l" if i % 2 else "r", "s", 1) for i in range(60)]
     d = spark.createDataFrame(rows, DOCS)
@@ -242,11 +335,43 @@ def test_classes_match_brute_force(spark):
     assert kept.count() == len({c for _, c in want}) + 2  # the two without an id
 
 
+def test_parity_bounds_lose_no_similar_pair(spark):
+    rng = random.Random(15)
+    texts = []
+    for _ in range(60):
+        base = babble(rng, rng.randrange(1, 200), rng.choice([6, 400])).split()
+        texts += [" ".join(base), " ".join(edited(rng, base, rng.randrange(5)))]
+    d = docs(spark, list(enumerate(texts)))
+    nodes = d.select(F.col("doc_id").alias("node"), near_dup.text_key(F.col("text")).alias("key")).dropDuplicates(["key"])
+    facts = near_dup.shingles_of(d, nodes).select("node", "total", F.size("shingles").alias("n"), "parity")
+    other = facts.select(*[F.col(c).alias(f"{c}_b") for c in facts.columns])
+    kept = {(r[0], r[1]) for r in facts.crossJoin(other).where(near_dup.may_be_similar(0.8)).select("node", "node_b").collect()}
+    ids = [r[0] for r in nodes.select("node").collect()]
+    similar = {(a, b) for a in ids for b in ids if brute_similarity(brute_shingles(texts[a]), brute_shingles(texts[b])) >= 0.8}
+    assert similar <= kept and len(similar) > len(ids) + 20 and len(kept) < len(ids) ** 2 / 4
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(docs(spark, [])).collect() == []
     assert near_dup.representatives(docs(spark, [(1, None), (2, "")])).count() == 2
 
 
+def test_texts_longer_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CHUNK", 1000)
+    rng = random.Random(17)
+    long = babble(rng, 6000, 10**5).split()
+    rows = [(1, " ".join(long)), (2, " ".join(edited(rng, long, 20))), (3, " ".join(long[::-1])), (4, babble(rng, 30)), (5, None)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_rows_of_one_id_and_text_that_differ_elsewhere(spark):
+    d = docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]).withColumn("n_chars", F.monotonically_increasing_id())
+    d = spark.createDataFrame(d.collect(), d.schema)
+    kept = [near_dup.representatives(x).collect() for x in (d.coalesce(1), d.repartition(3), d.orderBy(F.desc("n_chars")))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 1 and kept[0][0]["doc_id"] == 1
+
+
 def test_different_texts_under_one_id_stay(spark):
     rng = random.Random(12)
     texts = [babble(rng, 60) for _ in range(9)]
@@ -312,6 +437,14 @@ def test_texts_that_share_an_id_keep_their_own_sentences(spark):
     assert want[(2, "".join(first))] == "" and sum(s in "".join(t for _, t in got) for s in own + shared + other) == 9
 
 
+def test_spans_of_long_texts(spark):
+    rng = random.Random(18)
+    many = [babble(rng, 8, 10**6) + ". " for _ in range(20_000)]
+    rows = [(1, "".join(many[:10_000])), (2, "".join(many[9_000:])), (3, None)]
+    got = {r["doc_id"]: r["removed"] for r in sentence_spans.repeated_sentences(docs(spark, rows)).collect()}
+    assert got == {1: [], 2: list(range(1000)), 3: []}
+
+
 def test_sentences_join_to_the_text():
     for t in ("A b. C!  D?\n\nE", "  lead. x", "...", "a.b c", "x\n\n\ny. ", "日本。", "end."):
         assert "".join(sentence_spans.sentences(t)) == t
