@@ -7,13 +7,15 @@ a model fitted on the others, so that a later model learns from predictions as
 good as those it will meet; in use they come from the model fitted on all rows.
 An L1 penalty picks the words, a weak L2 refit on the picked words takes its
 shrinkage back, so a few strong words count as much in a long text as in a short.
-Of copies among the labelled rows one is learned from.
+Of labelled rows with the same words and labels one is learned from.
 
 The label table has two properties, so the query's chain has two links: ``poor``
 (quality 0) and then ``toxic``. The operator takes any label columns, in the
 order of the chain. Training reads a hashed sample of about ``TRAIN_ROWS``
-labelled rows, and words found useful by a chi-squared screen, at most ``VOCAB``;
-both bounds hold what the driver gathers. Every document is scored whole.
+labelled rows, the bound on what the driver gathers, and of their words those in
+``MIN_ROWS`` rows or more that pass a chi-squared screen of ``MIN_Z`` standard
+deviations for some category. Labels of the sample are few, so they go to the
+documents, whose texts are not shuffled. Every document is scored whole.
 
 Defined results: a null or empty text has no words and is scored by the models'
 intercepts; rows with a null label are not learned from, nor null ids (they
@@ -31,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, sent, table
 
 TRAIN_ROWS = 20_000
-VOCAB = 5_000
+MIN_ROWS, MIN_Z = 3, 2.5
 FOLDS = 3
 THRESHOLD = 0.5
 #: Weak enough for a word that is always toxic to decide on its own.
@@ -141,58 +143,69 @@ def fit_chain(vocab: list[bytes], row: np.ndarray, word: np.ndarray, labels: np.
     return Chain(vocab, links)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], vocab: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [sorted(vocab[w] for w in vocab.keys() & words_of(t)) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(words, pa.list_(pa.int32()))], [*batch.schema.names[1:], "words"])
+        words = [sorted(words_of(t)) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(words, pa.list_(pa.binary()))], [*batch.schema.names[1:], "words"])
 
 
-def one_of_copies(found: list, categories: tuple[str, ...], n_words: int) -> list:
-    """The first of rows that agree in their labels and their three rarest words.
+def _numbers(batches: Iterator[pa.RecordBatch], number: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [sorted(number[w] for w in row if w in number) for row in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(words, pa.list_(pa.int32()))], [*batch.schema.names[1:], "words"])
 
-    Copies of one document are no independent evidence: a wrong label that many copies
-    share would else make a rule of their words, and they'd predict each other across folds.
-    """
-    seen = np.bincount([w for r in found for w in r["words"]], minlength=n_words)
-    kept = {}
-    for r in found:
-        rarest = tuple(sorted(sorted(r["words"], key=lambda w: (seen[w], w))[:3]))
-        kept.setdefault((rarest, *[r[c] for c in categories]), r)
-    return list(kept.values())
 
+def _some(rows: DataFrame, share: float, *by: str) -> DataFrame:
+    """A share of the rows, chosen by a hash."""
+    return rows if share >= 1 else rows.where(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(share * (1 << 30)))
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, train_rows: int = TRAIN_ROWS) -> Chain | None:
-    """``docs``: doc_id, text. ``labels``: doc_id and a 0/1 column for each category."""
-    spark = docs.sparkSession
-    known = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).where(" AND ".join(f"{c} IS NOT NULL" for c in ("doc_id", *categories)))
+
+def labelled_words(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, train_rows: int = TRAIN_ROWS) -> DataFrame | None:
+    """The categories and ``words`` (distinct, in order) of about ``train_rows`` labelled documents, those that agree in both once."""
+    known = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).where(" AND ".join(f"{c} IS NOT NULL" for c in ("doc_id", *categories))).distinct()
     n = known.count()
     if not n:
         return None
-    if n > train_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "doc_id", *categories)
+    known = materialize(_some(known, train_rows / n, "doc_id"), "labels")
+    rows = docs.select("doc_id", "text")
+    # A label row takes some tens of bytes: the sample is small enough to send, but for a sample's chance to be large.
+    rows = rows.join(F.broadcast(known) if known.count() <= 2 * train_rows else known, "doc_id").select("text", *categories)
+    kinds = ", ".join(f"{c} int" for c in categories)
+    rows = materialize(rows.mapInArrow(_word_sets, f"{kinds}, words array<binary>").distinct(), "labelled-words")
+    # Ids that many documents share join more rows than there are labels.
+    return _some(rows, train_rows / max(1, rows.count()), "words")
+
+
+def useful_words(rows: DataFrame, categories: tuple[str, ...]) -> list[bytes]:
+    """Words that tell some category from the rest, in order."""
     total = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    if not total["n"]:
+    counts = rows.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories])
+    share = {c: (total[c] or 0) / max(1, total["n"]) for c in categories}
+    screen = [F.abs(F.col(c) - F.col("n") * p) / F.sqrt(F.col("n") * max(1e-9, p * (1 - p))) >= MIN_Z for c, p in share.items()]
+    chosen = counts.where(F.col("n") >= MIN_ROWS).where(F.exists(F.array(*screen), lambda x: x)).select("word").collect()
+    return sorted(bytes(r[0]) for r in chosen)
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, train_rows: int = TRAIN_ROWS) -> Chain | None:
+    """``docs``: doc_id, text. ``labels``: doc_id and a 0/1 column for each category."""
+    rows = labelled_words(docs, labels, categories, train_rows)
+    if rows is None:
         return None
-    word = F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_WORD, -1))).alias("word")
-    counts = rows.select(word, *categories).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories])
-    screen = F.greatest(F.lit(0.0), *[
-        F.abs(F.col(c) - F.col("n") * (total[c] / total["n"])) / F.sqrt(F.col("n") * max(1e-9, total[c] / total["n"] * (1 - total[c] / total["n"]))) for c in categories
-    ])
-    # A count in words of the bounded sample; the screen keeps at most VOCAB of them.
-    chosen = counts.where("n >= 3").orderBy(screen.desc(), "word").select("word").limit(VOCAB).collect()
-    vocab = sorted(r[0].encode() for r in chosen)
-    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(vocab)})
+    vocab = useful_words(rows, categories)
+    number = sent(docs.sparkSession, {w: i for i, w in enumerate(vocab)})
     kinds = ", ".join(f"{c} int" for c in categories)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(lambda b: _gather(b, shared.value), f"doc_id {id_type}, {kinds}, words array<int>").collect()
-    found.sort(key=lambda r: (str(r["doc_id"]), *[r[c] for c in categories], r["words"]))
-    found = one_of_copies(found, categories, len(vocab))
-    row = np.repeat(np.arange(len(found)), [len(r["words"]) for r in found])
-    word_at = np.fromiter((w for r in found for w in r["words"]), np.int64, len(row))
-    y = np.array([[r[c] for c in categories] for r in found], float).reshape(len(found), len(categories))
-    fold = np.array([hash(tuple(r["words"])) % FOLDS for r in found])
-    return fit_chain(vocab, row, word_at, y, fold)
+    # Only numbers of useful words come to the driver, at most a sample's.
+    numbered = rows.select("words", F.pmod(F.xxhash64("words"), F.lit(FOLDS)).cast("int").alias("fold"), *categories).mapInArrow(lambda b: _numbers(b, number()), f"fold int, {kinds}, words array<int>")
+    found = [(r["fold"], tuple(r["words"]), *[r[c] for c in categories]) for r in numbered.collect()]
+    if not found:
+        return None
+    found.sort()
+    row = np.repeat(np.arange(len(found)), [len(r[1]) for r in found])
+    word = np.fromiter((w for r in found for w in r[1]), np.int64, len(row))
+    y = np.array([r[2:] for r in found], float).reshape(len(found), len(categories))
+    # Rows with the same words are in one fold, so none predicts its own copy.
+    fold = np.array([r[0] for r in found])
+    return fit_chain(vocab, row, word, y, fold)
 
 
 def _score(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
@@ -208,11 +221,11 @@ def score(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...] = CA
     if chain is None:
         out = docs.select(*keep, *[F.lit(0.0).alias(f"p_{c}") for c in categories])
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(chain)
+        shared = sent(docs.sparkSession, chain)
         names = [f"k{i}" for i in range(len(keep))]
         types = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(keep, names, strict=True))
         ps = [f"p{k}" for k in range(len(categories))]
-        out = docs.select("text", *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]).mapInArrow(lambda b: _score(b, shared.value), types + ", ".join(f"{p} double" for p in ps))
+        out = docs.select("text", *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]).mapInArrow(lambda b: _score(b, shared()), types + ", ".join(f"{p} double" for p in ps))
         out = out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *[F.col(p).alias(f"p_{c}") for p, c in zip(ps, categories, strict=True)])
     return out.withColumn(last, F.col(f"p_{last}") >= threshold)
 
