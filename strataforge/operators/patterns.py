@@ -1,13 +1,15 @@
 """Framework patterns in code: rule tables and their matching.
 
-Rules are rows. ``detect`` makes one array expression of literal patterns per language, so
-each regular expression is compiled once and bodies are read once; the first line wins
-where a unit has the same type and value again.
+Rules are rows. ``detect`` runs those of a text's language over it in one Arrow pass: a hundred
+expressions in one plan would cost more to compile than most corpora to read. The first
+line wins where a unit has the same type and value again.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -152,80 +154,90 @@ RULES += tuple(Rule(("go", "java", "rust", "csharp"), kind, pattern, "{0}") for
 RULES += tuple(Rule(EVERY, kind, pattern, f"{label} {{1}}") for kind, pattern, label in SHARED)
 
 
-def _value(match: Column, rule: Rule) -> Column:
-    """The rule's template filled in from a struct of groups g1 and g2."""
-    parts = []
-    for literal, group, form, default in re.findall(r"([^{}]*)(?:\{(\d)(?::(u|list))?(?:\|([^}]*))?\})?", rule.value):
-        if literal:
-            parts.append(F.lit(literal))
-        if group:
-            x = match[f"g{group}"]
-            if form == "u":
-                x = F.upper(x)
-            if form == "list":
-                x = F.replace(F.regexp_replace(x, r"['\"\s]", ""), F.lit(","), F.lit("|"))
-            parts.append(F.when(x == "", default).otherwise(x) if default else x)
-    return F.trim(F.concat(*parts))
-
-
 def next_route(path: Column) -> Column:
     """The route of app/api/**/route.ts: catch-all segments become ``*``; null for other files."""
     inner = F.regexp_extract(path, r"(?:\A|/)app(/api(?:/.*)?)/route\.[jt]sx?\z", 1)
     return F.when(inner != "", F.regexp_replace(inner, r"\[\[?\.\.\.[^\]]+\]\]?", "*"))
 
 
-def _breaks(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+@cache
+def _template(value: str) -> tuple[tuple[str, int, str, str], ...]:
+    """A rule's template as (literal, group or -1, form, default)."""
+    parts = re.findall(r"([^{}]*)(?:\{(\d)(?::(u|list))?(?:\|([^}]*))?\})?", value)
+    return tuple((literal, int(group or -1), form, default) for literal, group, form, default in parts if literal or group)
 
 
-def _matches(text: str, rule: Rule, number: int) -> Column:
-    """Matches as structs: value, line within the text, order, and for database rules the code from 10 characters before to 500 after the start."""
-    n = re.compile(re.sub(r"\(\?[is]+\)|\(\?m\)", "", rule.pattern)).groups
-    cols = [F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(min(g, n))).alias(f"g{g}") for g in (0, 1, 2)]
-    # Places come from the text around the matches: split there, add up the pieces and matches before each.
-    pieces = F.transform(F.split(F.col(text), rule.pattern, -1), lambda s: F.struct(F.length(s).alias("n"), _breaks(s).alias("nl")))
-    found = F.arrays_zip(*cols, F.transform(cols[0], lambda m: F.struct(F.length(m).alias("n"), _breaks(m).alias("nl"))).alias("own"), pieces.alias("piece"))
-    before = lambda every, i, x: F.aggregate(F.slice(every, F.lit(1), i), F.lit(0), lambda a, m: a + m["piece"][x] + m["own"][x])
-    database = rule.kind.startswith("DATABASE_")
+def _value(m: re.Match, rule: Rule) -> str:
+    out = ""
+    for literal, group, form, default in _template(rule.value):
+        out += literal
+        if group >= 0:
+            x = m[group] or ""
+            if form == "u":
+                x = x.upper()
+            if form == "list":
+                x = re.sub(r"['\"\s]", "", x).replace(",", "|")
+            out += x or default
+    return out.strip(" ")
 
-    def window(offset: Column) -> Column:
-        lead = F.least(offset, F.lit(LEAD))
-        return F.struct(lead.alias("lead"), F.substring(F.col(text), offset - lead + 1, lead + WINDOW).alias("text"))
 
-    def one(every: Column, m: Column, i: Column) -> Column:
-        code = F.transform(F.array(before(every, i, "n") + m["piece"]["n"]), window)[0]
-        return F.struct(
-            F.lit(rule.kind).alias("pattern_type"), _value(m, rule).alias("pattern_value"), (before(every, i, "nl") + m["piece"]["nl"] + 1).cast("int").alias("line_number"),
-            (F.lit(number * 100_000) + i).cast("long").alias("ord"), (code if database else F.lit(None).cast("struct<lead:int,text:string>")).alias("code"),
-        )
+def found_in(text: str, language: str | None, route: str | None, rules: tuple[Rule, ...]) -> Iterator[tuple]:
+    """(type, value, line, order, Prisma columns, statement) of the first match of each type and value, rule by rule.
 
-    # The array of one has the expressions evaluated once a text; the last piece follows the last match.
-    return F.flatten(F.transform(F.array(found), lambda every: F.transform(F.slice(every, F.lit(1), F.size(every) - 1), lambda m, i: one(every, m, i))))
+    ``route`` is what E13 adds to bare verbs. A database match has the columns of its Prisma call, or the
+    code from its start on, which its columns are read from later.
+    """
+    seen: set[tuple[str, str]] = set()
+    for number, rule in enumerate(rules):
+        if language not in rule.languages:
+            continue
+        line, counted = 1, 0
+        for i, m in enumerate(re.finditer(rule.pattern, text, re.A)):
+            line, counted = line + text.count("\n", counted, m.start()), m.start()
+            value = _value(m, rule)
+            if route and rule.kind == "API_ENDPOINT" and value in UPPER.split("|"):
+                value = f"{value} {route}"
+            if (rule.kind, value) in seen:
+                continue
+            seen.add((rule.kind, value))
+            access = statement = None
+            if rule.kind.startswith("DATABASE_"):
+                lead = min(m.start(), LEAD)
+                if value.startswith("prisma."):
+                    access = prisma_access(text[m.start() - lead : m.start() + WINDOW], lead)
+                else:
+                    # A statement starts at its match; the lead would show the end of the one before.
+                    statement = text[m.start() : m.start() + WINDOW]
+            yield rule.kind, value, line, number * 100_000 + i, access, statement
+
+
+FOUND = f"pattern_type string, pattern_value string, line_number int, ord long, prisma {ACCESS}, statement string"
+
+
+def _detect(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
+    lists = pa.list_(pa.string())
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.struct([("read", lists), ("write", lists)]), pa.string()]
+    for batch in batches:
+        at, rows = [], []
+        for i, (text, language, route) in enumerate(zip(*(batch.column(j).to_pylist() for j in (1, 2, 3)), strict=True)):
+            found = list(found_in(text or "", language, route, rules))
+            at += [i] * len(found)
+            rows += found
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["key", *[c.split()[0] for c in FOUND.replace(ACCESS, "x").split(", ")]])
 
 
 def detect(bodies: DataFrame, key: str = "unit_id", text: str = "body", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(key, pattern_type, pattern_value, line_number, ord, column_access), one for each type and value.
 
-    ``bodies`` has key, text, language and file_path; lines count from the text's first.
+    ``bodies`` has key, text, language and file_path, a row for each key; lines count from the text's
+    first. Texts are read once and leave no shuffle behind.
     """
-    # One pass over the texts: a text's language picks its rules.
-    found = F.array().cast("array<" + bodies.select(F.explode(_matches(text, rules[0], 0)).alias("x")).schema["x"].dataType.simpleString() + ">")
-    groups: dict[tuple[int, ...], list[str]] = {}
-    for language in EVERY:
-        groups.setdefault(tuple(i for i, r in enumerate(rules) if language in r.languages and r.languages != EVERY), []).append(language)
-    for own, languages in groups.items():
-        if own:
-            found = F.when(F.col("language").isin(*languages), F.concat(*[_matches(text, rules[i], i) for i in own])).otherwise(found)
-    shared = [F.when(F.col("language").isin(*EVERY), F.concat(*[_matches(text, r, i) for i, r in enumerate(rules) if r.languages == EVERY]))] if any(r.languages == EVERY for r in rules) else []
-    rows = bodies.select(key, "file_path", F.explode(F.concat(found, *shared)).alias("x")).select(key, "file_path", "x.*")
-    bare = F.col("pattern_value").isin(*UPPER.split("|")) & (F.col("pattern_type") == "API_ENDPOINT") & next_route(F.col("file_path")).isNotNull()
-    rows = rows.withColumn("pattern_value", F.when(bare, F.concat_ws(" ", "pattern_value", next_route(F.col("file_path")))).otherwise(F.col("pattern_value")))
-    first = rows.groupBy(key, "pattern_type", "pattern_value").agg(F.min(F.struct("ord", "line_number", "code")).alias("m"))
-    code = F.col("m.code.text")
-    # A statement starts at its match; the lead would show the end of the one before.
-    access = F.when(F.col("pattern_value").startswith("prisma."), prisma_columns(F.when(F.col("pattern_value").startswith("prisma."), F.col("m.code")))).otherwise(sql_columns(F.substring(code, F.col("m.code.lead") + 1, F.lit(WINDOW))))
-    access = F.when(F.col("pattern_type").isin("DATABASE_READ", "DATABASE_WRITE"), access)
-    return first.select(key, "pattern_type", "pattern_value", F.col("m.line_number").alias("line_number"), F.col("m.ord").alias("ord"), access.alias("column_access"))
+    kind = bodies.schema[key].dataType.simpleString()
+    own = bodies.select(F.col(key).alias("key"), text, "language", next_route(F.col("file_path")).alias("route"))
+    found = own.mapInArrow(lambda b: _detect(b, rules), f"key {kind}, {FOUND}")
+    access = F.when(F.col("statement").isNotNull(), sql_columns(F.col("statement"))).otherwise(F.col("prisma"))
+    return found.select(F.col("key").alias(key), "pattern_type", "pattern_value", "line_number", "ord", access.alias("column_access"))
 
 
 _PRISMA = re.compile(r"\w+\.(\w+)\.(find(?:Many|(?:First|Unique)(?:OrThrow)?)|count|aggregate|create(?:Many)?|update(?:Many)?|delete(?:Many)?|upsert)\s*\(", re.A)
@@ -329,17 +341,6 @@ def prisma_access(code: str, lead: int) -> dict[str, list[str] | None] | None:
     return {"read": where, "write": list(dict.fromkeys(write)) or star}
 
 
-def prisma_columns(code: Column) -> Column:
-    """E14 for Prisma calls, from structs of ``text`` and ``lead``; null for null."""
-    @F.arrow_udf(ACCESS)
-    def access(codes: pa.Array) -> pa.Array:
-        found = [x and prisma_access(x["text"], x["lead"]) for x in codes.to_pylist()]
-        lists = pa.list_(pa.string())
-        return pa.array(found, pa.struct([("read", lists), ("write", lists)]))
-
-    return access(code)
-
-
 def unit_patterns(bodies: DataFrame, units: DataFrame) -> DataFrame:
     """code_unit_patterns of bodies (unit_id, language, body)."""
     found = detect(bodies.where("body IS NOT NULL").join(units.select(F.col("id").alias("unit_id"), "file_path", "line_start"), "unit_id"))
