@@ -12,9 +12,11 @@ All of that runs on one row per leaf.
 A leaf that gets a budget takes whole epochs of its documents, then a prefix of
 one more epoch in seeded random order: the documents whose running token count
 stays within what is left. To find the prefix without sorting a leaf, order
-keys are cut into ranges of about ``RANGE_ROWS`` rows; ranges wholly inside or
-outside are decided from sums, only the one range where the prefix ends is
-sorted, so a leaf with a third of all rows costs no more than others.
+keys are cut into ranges of about ``RANGE_ROWS`` rows; sums of ranges tell the one
+where the prefix ends, and only that one is sorted. So a leaf's share is one row,
+its epochs and the last order key of its prefix, and a leaf with a third of all
+rows costs no more than others. Documents are not shuffled where the optimiser
+finds the leaves' rows small enough to send.
 
 Defined results: null domain, language or source is the node ``none``; a null or
 empty text has no tokens and is taken with its leaf's prefix like any other;
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 #: Production parameters: half of the corpus, at most four passes over a leaf.
 BUDGET_SHARE = (1, 2)
@@ -94,66 +96,65 @@ def allocate(leaves: DataFrame, budget: int, weights: dict = WEIGHTS, max_epochs
     return out.drop("cap")
 
 
-def mix(
-    df: DataFrame,
-    budget: int | None = None,
-    weights: dict = WEIGHTS,
-    max_epochs: int = MAX_EPOCHS,
-    seed: int = SEED,
-) -> DataFrame:
-    """Documents taken, with ``n_copies``: whole epochs, and one more for those in the prefix.
+def leaf_of() -> dict[str, Column]:
+    return {"domain": domain_of(F.col("source")), "lang": F.coalesce("lang", F.lit("none")), "source": F.coalesce("source", F.lit("none"))}
 
-    ``df`` has doc_id, text, lang and source; ``budget`` in words, or a share of all.
-    Texts are read once, for their length and key, and not carried along.
-    """
-    rows = df.select(
-        "doc_id",
-        domain_of(F.col("source")).alias("domain"),
-        F.coalesce("lang", F.lit("none")).alias("lang"),
-        F.coalesce("source", F.lit("none")).alias("source"),
-        n_words(F.col("text")).alias("n_tokens"),
-        order_key(seed).alias("order_key"),
-    )
+
+def prefix_ends(df: DataFrame, budget: int | None, weights: dict, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, leaf, n_tokens, order_key), and of each leaf that gives tokens its epochs and the last order key of its prefix."""
+    leaf = [c.alias(k) for k, c in leaf_of().items()]
+    rows = df.select("doc_id", *leaf, n_words(F.col("text")).alias("n_tokens"), order_key(seed).alias("order_key"))
     rows = materialize(rows, "mix-rows")
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows")), "mix-leaves")
     if budget is None:
         total = leaves.agg(F.sum("tokens")).first()[0] or 0
         budget = total * BUDGET_SHARE[0] // BUDGET_SHARE[1]
-    alloc = allocate(leaves, budget, weights, max_epochs).where("alloc > 0").select(
+    shares = allocate(leaves, budget, weights, max_epochs).where("alloc > 0").select(
         *LEVELS,
         F.expr("alloc DIV tokens").alias("epochs"),
         F.expr("alloc % tokens").alias("remaining"),
         # Hexadecimal digits of the order key that name a range.
         F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("n_rows") / RANGE_ROWS))).cast("int").alias("digits"),
     )
-    alloc = materialize(alloc, "mix-alloc")
-    # One row per leaf: joined by hash, or broadcast by the optimiser if it proves small.
-    rows = rows.join(alloc, list(LEVELS)).withColumn("range", F.substring(F.col("order_key"), F.lit(1), F.col("digits")))
-    ranges = rows.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("range_tokens"), F.max("remaining").alias("remaining"))
-    before = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_tokens").over(before), F.lit(0).cast("long")))
-    ranges = ranges.withColumn("inside", F.col("range_before") + F.col("range_tokens") <= F.col("remaining"))
-    ranges = materialize(ranges.where("range_before <= remaining").select(*LEVELS, "range", "range_before", "inside"), "mix-ranges")
-    # Rows of the ranges where a prefix ends, one for each order key: repeated rows count together.
-    at = [*LEVELS, "range"]
-    edge = rows.join(ranges.where("NOT inside"), at).groupBy(*at, "order_key").agg(F.sum("n_tokens").alias("t"), F.max("range_before").alias("b"), F.max("remaining").alias("r"))
-    running = F.sum("t").over(Window.partitionBy(*at).orderBy("order_key")) + F.col("b")
-    edge = edge.withColumn("within", running <= F.col("r")).where("within").select(*at, "order_key", "within")
-    taken = (
-        rows.join(ranges.select(*at, "inside"), at, "left")
-        .join(edge, [*at, "order_key"], "left")
-        .withColumn("n_copies", F.col("epochs") + F.coalesce(F.col("inside") | F.col("within"), F.col("inside"), F.col("within"), F.lit(False)).cast("long"))
-        .where("n_copies > 0")
-    )
-    return taken.select("doc_id", *LEVELS, "n_tokens", "n_copies", "order_key")
+    shares = materialize(shares, "mix-shares")
+    ranged = rows.join(shares, list(LEVELS)).withColumn("range", F.substring(F.col("order_key"), F.lit(1), F.col("digits")))
+    ranges = ranged.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("t"), F.max("remaining").alias("remaining"))
+    upto = Window.partitionBy(*LEVELS).orderBy("range")
+    ranges = ranges.withColumn("upto", F.sum("t").over(upto)).where(F.col("upto") > F.col("remaining"))
+    # What is left is less than the leaf has, so some range goes beyond it; the first one has the end.
+    edges = ranges.groupBy(*LEVELS).agg(F.min(F.struct("range", (F.col("upto") - F.col("t")).alias("before"))).alias("e")).select(*LEVELS, "e.*")
+    edges = materialize(edges, "mix-edges")
+    # One row for each order key: repeated rows count together.
+    edge = ranged.join(edges, [*LEVELS, "range"]).groupBy(*LEVELS, "order_key").agg(F.sum("n_tokens").alias("t"), F.max("before").alias("before"), F.max("remaining").alias("remaining"))
+    running = F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("order_key")) + F.col("before")
+    last = edge.withColumn("upto", running).where("upto <= remaining").groupBy(*LEVELS).agg(F.max("order_key").alias("last"))
+    # Without a key in that range the prefix ends before it.
+    out = shares.join(edges, list(LEVELS)).join(last, list(LEVELS), "left").select(*LEVELS, "epochs", F.coalesce("last", "range").alias("last"))
+    return rows, materialize(out, "mix-ends")
+
+
+def _copies() -> Column:
+    return F.col("epochs") + (F.col("order_key") <= F.col("last")).cast("long")
+
+
+def mix(df: DataFrame, budget: int | None = None, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """Documents taken, with ``n_copies``: whole epochs, and one more for those in the prefix.
+
+    ``df`` has doc_id, text, lang and source; ``budget`` in words, or a share of all.
+    Texts are read once, for their length and key, and not carried along.
+    """
+    rows, ends = prefix_ends(df, budget, weights, max_epochs, seed)
+    return rows.join(ends, list(LEVELS)).withColumn("n_copies", _copies()).where("n_copies > 0").select("doc_id", *LEVELS, "n_tokens", "n_copies", "order_key")
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
+def mixed(df: DataFrame, budget: int | None = None, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of ``df`` that are taken, each as often as it is, with all their columns."""
-    key, seed = "__order", options.get("seed", SEED)
-    taken = mix(df, **options).groupBy(F.col("order_key").alias(key)).agg(F.max("n_copies").alias("__copies"))
-    rows = df.withColumn(key, order_key(seed)).join(taken, key)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*df.columns)
+    rows, ends = prefix_ends(df, budget, weights, max_epochs, seed)
+    discard(rows)
+    ends = ends.select(*[F.col(c).alias(f"__{c}") for c in LEVELS], "epochs", "last")
+    own = df.select(F.struct(*df.columns).alias("__row"), *[c.alias(f"__{k}") for k, c in leaf_of().items()], order_key(seed).alias("order_key"))
+    taken = own.join(ends, [f"__{c}" for c in LEVELS]).withColumn("n_copies", _copies()).where("n_copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select("__row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
