@@ -7,6 +7,7 @@ relational tables read as catalog tables, and real text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -737,7 +738,7 @@ def i_cascade(spark, sf_dir):
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def i_stream_latest(spark, sf_dir):
-    base = graph.settle(spark.range(1), "stream-base").inputFiles()[0].rsplit("/", 1)[0]
+    base = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = t(spark, sf_dir, "events").schema
     # A file stream watches the folder that the table is in.
     reader = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events.parquet")

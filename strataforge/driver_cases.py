@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog, analyse
-from .driver import C, CALL_SQL, D_SQL, PATH, U_SQL, area_catalog, catalog, corpus, corpus_bodies, empty, query, t, tree
-from .operators import imports, patterns, ranking, units
+from .driver import C, CALL_SQL, D_SQL, P_SQL, PATH, U_SQL, area_catalog, catalog, corpus, corpus_bodies, empty, query, t, tree
+from .operators import imports, lines, patterns, ranking, units
 from .plans import reports, tools
 from .sources import files as sources
+from .sources.settings import Settings
 from .streaming import incremental
 
 #: language, text (a path may follow), and (type, value) of each pattern in it
@@ -269,6 +270,20 @@ UNIT_CASES = (
         ("P{k}", "CLASS", 17, 17, None, False, True), ("I{k}", "INTERFACE", 18, 19, None, False, False), ("C{k}", "ENUM", 20, 20, None, False, False),
     ]),
 )
+#: language, body, and its conditionals, loops, depth, handlers, async patterns and callbacks
+COMPLEXITY_CASES = (
+    ("typescript", "async function f(a) {\n  for (const x of a) {\n    while (b) { try { g(); } catch (e) { h(); } finally { } }\n  }\n  if (a) { } else if (b) { }\n  const y = a ? 1 : 2;\n"
+     "  a.map(z).filter(z);\n  return new Promise(r).then(x)\n\n    .catch(y)\n}", [(4, 5, 4, 4, 4, 2)]),
+    ("python", "async def f(a):\n    for x in a:\n        while x:\n            try:\n                await g(x if x else 1)\n            except E as e:\n                pass\n            finally:\n"
+     "                asyncio.sleep(1)\n    if a:\n        pass\n    elif b:\n        pass", [(4, 2, 0, 3, 3, 0)]),
+    ("go", "func f() {\n\tfor i := range xs {\n\t\tif err != nil {\n\t\t\tdefer c()\n\t\t} else {\n\t\t\tswitch x {\n\t\t\tcase 1:\n\t\t\t}\n\t\t}\n\t}\n\tgo func() { }()\n\tgo run()\n}", [(4, 2, 4, 2, 3, 0)]),
+    ("java", "void f() {\n  for (int i = 0; i < n; i++) { do { x(); } while (y); }\n  xs.stream().forEach(z);\n  try (R r = q()) { } catch (E e) { } finally { }\n"
+     "  CompletableFuture.supplyAsync(a).thenApply(b).thenCompose(c);\n  switch (k) { case 1: }\n  int t = a ? b : c;\n}", [(3, 5, 3, 3, 3, 0)]),
+    ("rust", "async fn f() {\n    for x in xs {\n        while let Some(y) = z.next() { }\n        loop { break; }\n    }\n    if let Some(a) = b { } else if c { } else { }\n    g()?;\n    h().unwrap();\n"
+     "    i().expect(\"x\").await;\n    tokio::spawn(j);\n}", [(5, 4, 3, 3, 3, 0)]),
+    ("csharp", "async Task<int> F() {\n  foreach (var x in xs) { while (y) { } }\n  if (a) { } else if (b) { }\n  try { await Task.Run(z); } catch { } finally { }\n  return a ? 1 : 2;\n}", [(4, 2, 3, 3, 4, 0)]),
+    ("javascript", "} } { '{ \\' {' { // {\n \"{\n{\" /* { \n { */ { `${ {` }", [(0, 0, 3, 0, 0, 0)]),
+)
 #: language, text, and (target, type, names) of each import in it
 IMPORT_CASES = (
     ("python", _PYTHON, [("os.path", "NAMED", ""), ("d/m{k}", "NAMED", "a,c"), ("d/s{k}", "NAMED", "s{k}")]),
@@ -331,6 +346,13 @@ def e_units_languages(spark, sf_dir):
     return found.select(k.alias("k"), "name", "unit_type", "line_start", "line_end", "signature", "is_async", "is_exported")
 
 
+@query(expected(COMPLEXITY_CASES, "conditionals loops max_nesting_depth try_catch_blocks async_patterns callback_depth"))
+def e_complexity_languages(spark, sf_dir):
+    f = case_files(spark, sf_dir, COMPLEXITY_CASES)
+    found = f.select("k", lines.complexity(F.col("content"), F.col("language"), F.lit("(a)")).alias("c")).select("k", "c.*")
+    return found.select("k", "conditionals", "loops", "max_nesting_depth", "try_catch_blocks", "async_patterns", "callback_depth")
+
+
 @query(expected(IMPORT_CASES, "target_file import_type names"))
 def e_imports_languages(spark, sf_dir):
     found = imports.other_imports(case_files(spark, sf_dir, IMPORT_CASES))
@@ -407,6 +429,37 @@ def q20_test_patterns(spark, sf_dir):
     return tools.test_patterns(c, file_path="src/n00.ts").rows.select("file_path", "test_count")
 
 
+Q10 = f"""WITH RECURSIVE d AS {D_SQL}, u AS {U_SQL}, p AS {P_SQL}, r AS (SELECT 'Brand#11' AS node, 0 AS depth UNION SELECT d.source_file, r.depth + 1 FROM r JOIN d ON d.target_file = r.node WHERE r.depth < 2),
+  f AS (SELECT node, min(depth) AS depth FROM r WHERE node <> 'Brand#11' GROUP BY node), a AS (SELECT target_file AS node FROM d WHERE source_file = 'Brand#11' UNION SELECT d.target_file FROM a JOIN d ON d.source_file = a.node),
+  e AS (SELECT count(*) AS endpoints FROM p JOIN u ON u.id = p.code_unit_id JOIN f ON f.node = u.file_path WHERE pattern_type = 'API_ENDPOINT'),
+  c AS (SELECT count(*) FILTER (depth = 1) AS direct, count(*) AS total, (SELECT count(*) FROM a WHERE node = 'Brand#11') AS cycles FROM f),
+  k AS (SELECT *, CASE WHEN cycles > 0 OR direct >= 6 THEN 'HIGH' WHEN direct >= 3 OR endpoints > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM c, e)"""
+
+
+@query(Q10 + """ SELECT direct, total, endpoints, cycles, risk, risk || ' RISK ' || direct || ' direct dependent' || CASE WHEN direct = 1 THEN '' ELSE 's' END || ', ' || total || ' total affected file' || CASE WHEN total = 1 THEN '' ELSE 's' END || '.'
+    || CASE WHEN endpoints > 0 THEN ' Affects ' || endpoints || ' API endpoint' || CASE WHEN endpoints = 1 THEN '' ELSE 's' END || '.' ELSE '' END
+    || CASE WHEN cycles > 0 THEN ' Part of ' || cycles || ' circular dependency chain' || CASE WHEN cycles = 1 THEN '' ELSE 's' END || '.' ELSE '' END AS summary FROM k""")
+def q10_risk(spark, sf_dir):
+    return tools.change_impact(catalog(spark, sf_dir), file_path="Brand#11", depth=2).parts["risk"]
+
+
+@query(f"""WITH u AS {U_SQL} SELECT 'ASIA Api' AS name, 'To implement this pattern:' || chr(10) || '1. Follow the example in src/2.ts (lines ' || line_start || '-' || line_end || ')' || chr(10) || '2. Include these pattern elements: API_ENDPOINT, DATABASE_READ'
+    || chr(10) || '3. Conventions:' || chr(10) || '- one' || chr(10) || '- two 2' || chr(10) || chr(10) || 'See 12 existing implementations for reference.' AS instructions FROM u WHERE id = '2'""")
+def q16_instructions(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    rows = t(spark, sf_dir, "region").selectExpr(
+        "cast(r_regionkey AS string) AS id", "concat(r_name, ' Api') AS name", "'d' AS description", "array('API_ENDPOINT', 'DATABASE_READ') AS pattern_types", "cast(r_regionkey AS string) AS template_unit_id",
+        "concat('src/', r_regionkey, '.ts') AS template_file_path", "cast(10 + r_regionkey AS long) AS follower_count", "array('one', concat('two ', r_regionkey)) AS conventions",
+    )
+    c.tables["pattern_templates"] = empty(spark, "pattern_templates", rows)
+    return tools.find_pattern(c, "asia").rows.select("name", "instructions")
+
+
+@query(f"""WITH u AS {U_SQL} SELECT (SELECT count(*) FROM u) AS code_units, (SELECT count(*) FROM region) AS clusters, 'demo' AS project_name""")
+def h01_stats(spark, sf_dir):
+    return tools.project_stats(catalog(spark, sf_dir), Settings(project_name="demo")).select("code_units", "clusters", "project_name")
+
+
 @query("SELECT '0' AS caller_unit_id, p_name AS caller_name FROM part WHERE p_partkey = 0")
 def h03_context(spark, sf_dir):
     return tools.function_context(tree(spark, sf_dir), unit_id="1", by_id_only=True).parts["incoming"].select("caller_unit_id", "caller_name")

@@ -26,6 +26,12 @@ JS_COUNTS = {
     "try_catch_blocks": (rf"{B}try\s*\{{", rf"{B}catch\s*\(", rf"{B}finally\s*\{{"),
     "async_patterns": (rf"{B}async\s+", rf"{B}await\s+", r"new\s+Promise\s*\(", r"\.then\s*\(", r"\.catch\s*\(", r"Promise\.(?:all|race|allSettled|any)\s*\("),
 }
+COUNTS = {
+    "conditionals": (rf"{B}if\s*\(", rf"{B}else\s+if\s*\(", rf"{B}switch\s*\(", rf"{B}case\s+", r"\?[^?:]+:"),
+    "loops": (rf"{B}for\s*\(", rf"{B}while\s*\(", rf"{B}do\s*\{{", *(rf"\.{m}\s*\(" for m in ("forEach", "map", "filter", "reduce", "find", "some", "every")), rf"{B}for\s*\([^)]*\s+of\s+", rf"{B}for\s*\([^)]*\s+in\s+"),
+    "try_catch_blocks": (rf"{B}try\s*\{{", rf"{B}catch\s*\(", rf"{B}finally\s*\{{"),
+    "async_patterns": (rf"{B}async\s+", rf"{B}await\s+", r"new\s+Promise\s*\(", r"\.then\s*\(", r"\.catch\s*\(", r"Promise\.(?:all|race|allSettled|any)\s*\("),
+}
 BRACE_TRY = (rf"{B}try\s*\{{", rf"{B}catch\s*\(", rf"{B}finally\s*\{{")
 COUNTS = {
     "javascript": JS_COUNTS,
@@ -37,28 +43,28 @@ COUNTS = {
         "async_patterns": (rf"{B}async\s+def", rf"{B}await\s", rf"{B}asyncio\."),
     },
     "go": {
-        "conditionals": (rf"{B}if\s+", rf"{B}else\s+if\s+", rf"{B}switch\s+", rf"{B}case\s+"),
-        "loops": (rf"{B}for\s+", rf"{B}range\s+"),
-        "try_catch_blocks": (r"if\s+err\s*!=\s*nil", rf"{B}recover\s*\(", rf"{B}panic\s*\("),
-        "async_patterns": (rf"{B}go\s+", r"<-", rf"{B}chan\s+", rf"{B}select\s*\{{"),
+        "conditionals": (rf"{B}if\s", rf"{B}else\s", rf"{B}switch\s", rf"{B}case\s"),
+        "loops": (rf"{B}for\s", rf"{B}range\s"),
+        "try_catch_blocks": (rf"{B}if\s+err\s*!=\s*nil", rf"{B}defer\s"),
+        "async_patterns": (rf"{B}go\s+func", rf"{B}go\s+[A-Za-z0-9_]"),
     },
     "java": {
         "conditionals": (rf"{B}if\s*\(", rf"{B}else\s+if\s*\(", rf"{B}switch\s*\(", rf"{B}case\s+", r"\?[^?:]+:"),
         "loops": (rf"{B}for\s*\(", rf"{B}while\s*\(", rf"{B}do\s*\{{", r"\.forEach\s*\(", r"\.stream\s*\("),
-        "try_catch_blocks": BRACE_TRY,
-        "async_patterns": (r"CompletableFuture", r"@Async", r"\.thenApply\s*\(", r"ExecutorService", rf"{B}synchronized{E}"),
+        "try_catch_blocks": (rf"{B}try\s*[({{]", rf"{B}catch\s*\(", rf"{B}finally\s*\{{"),
+        "async_patterns": (r"CompletableFuture", r"\.thenApply\s*\(", r"\.thenAccept\s*\(", r"\.thenCompose\s*\("),
     },
     "rust": {
-        "conditionals": (rf"{B}if\s+", rf"{B}else\s+if\s+", rf"{B}match\s+", r"=>"),
-        "loops": (rf"{B}for\s+", rf"{B}while\s+", rf"{B}loop\s*\{{", r"\.iter\s*\(", r"\.map\s*\("),
-        "try_catch_blocks": (r"\?;", r"\.unwrap\s*\(", rf"{B}Err\s*\("),
-        "async_patterns": (rf"{B}async\s+", r"\.await", r"tokio::", rf"{B}spawn\s*\("),
+        "conditionals": (rf"{B}if\s", rf"{B}else\s+if\s", rf"{B}else\s*\{{", rf"{B}match\s*\{{", rf"{B}if\s+let\s"),
+        "loops": (rf"{B}for\s+[A-Za-z0-9_]+\s+in\s", rf"{B}while\s", rf"{B}while\s+let\s", rf"{B}loop\s*\{{"),
+        "try_catch_blocks": (r"\?;", r"\.unwrap\(\)", r"\.expect\s*\("),
+        "async_patterns": (rf"{B}async\s+fn", rf"\.await{E}", r"tokio::spawn"),
     },
     "csharp": {
-        "conditionals": (rf"{B}if\s*\(", rf"{B}else\s+if\s*\(", rf"{B}switch\s*\(", rf"{B}case\s+", r"\?[^?:]+:"),
-        "loops": (rf"{B}for\s*\(", rf"{B}foreach\s*\(", rf"{B}while\s*\(", rf"{B}do\s*\{{", r"\.Select\s*\(", r"\.Where\s*\("),
-        "try_catch_blocks": BRACE_TRY,
-        "async_patterns": (rf"{B}async\s+", rf"{B}await\s+", r"Task\.", rf"{B}lock\s*\("),
+        "conditionals": (rf"{B}if\s*\(", rf"{B}else\s+if\s*\(", rf"{B}switch\s*[({{]", rf"{B}case\s+", r"\?[^?:]+:"),
+        "loops": (rf"{B}for\s*\(", rf"{B}foreach\s*\(", rf"{B}while\s*\(", rf"{B}do\s*\{{"),
+        "try_catch_blocks": (rf"{B}try\s*\{{", rf"{B}catch\s*[({{]", rf"{B}finally\s*\{{"),
+        "async_patterns": (rf"{B}async\s+", rf"{B}await\s+", r"Task\.", r"Task<[A-Za-z0-9_]+>"),
     },
 }
 
@@ -268,10 +274,12 @@ def callback_depth(body: Column) -> Column:
 
 def nesting_depth(body: Column) -> Column:
     """The deepest brace nesting outside strings and comments."""
-    bare = F.regexp_replace(body, r"(?s)/\*.*?(\*/|\z)|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", "")
+    # A string ends at its quote unless a backslash stands before it; lines don't end it.
+    strings = "|".join(rf"{q}[^{q}]*(?:(?<=\\){q}[^{q}]*)*(?:{q}|\z)" for q in ('"', "'", "`"))
+    bare = F.regexp_replace(body, rf"(?s)/\*.*?(?:\*/|\z)|//[^\n]*|{strings}", "")
     braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
     return F.aggregate(braces, F.struct(F.lit(0).alias("at"), F.lit(0).alias("top")), lambda a, c: F.struct(
-        (a["at"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("at"), F.greatest(a["top"], a["at"] + F.when(c == "{", 1).otherwise(0)).alias("top")
+        F.greatest(F.lit(0), a["at"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("at"), F.greatest(a["top"], a["at"] + F.when(c == "{", 1).otherwise(0)).alias("top")
     ), lambda a: a["top"])
 
 
