@@ -245,8 +245,43 @@ namespace N
     enum C{k} : byte { R }
 }
 """
+_SCRIPT = """export default function main{k}(a: string): Promise<void> {
+}
+export async function load{k}<T>(a: T, b = 2): Map<T, number> {
+}
+function load{k}() { }
+const short = (x) => x + 1;
+export const long{k}: F = async (x, y): Promise<X> => {
+  return x;
+};
+abstract class A{k} extends B.C<D> implements E, F {
+  constructor(private x: X) { }
+  private async run{k}<T>(a: T): Promise<T> {
+    if (a) { go(a); }
+    return a;
+  }
+  static get size() { return 1; }
+  run{k}() { }
+  get(a) { }
+}
+interface P{k} extends Q, R {
+  a: string;
+}
+interface Generic<T> { }
+export const enum M{k} { ONE = 1, TWO,
+  THREE }
+export type T{k}<X> = { a: X; b: (c: number) => void } | null;
+type U{k} = string
+"""
 #: language, text, and (name, type, first line, last line, signature, async, exported) of each unit in it
 UNIT_CASES = (
+    ("typescript", _SCRIPT, [
+        ("main{k}", "FUNCTION", 1, 2, "(a: string): Promise<void>", False, False), ("load{k}", "FUNCTION", 3, 4, "(a: T, b = 2): Map<T, number>", True, True),
+        ("short", "ARROW_FUNCTION", 6, 11, "(x)", False, False), ("long{k}", "ARROW_FUNCTION", 7, 9, "(x, y): Promise<X>", True, True),
+        ("A{k}", "CLASS", 10, 19, "extends B.C<D> implements E, F", False, False), ("run{k}", "METHOD", 12, 15, "(a: T): Promise<T>", True, False), ("size", "METHOD", 16, 16, "()", False, False),
+        ("P{k}", "INTERFACE", 20, 22, "extends Q, R", False, False), ("M{k}", "ENUM", 24, 25, "{ ONE, TWO, THREE }", False, True),
+        ("T{k}", "TYPE_ALIAS", 26, 26, "{ a: X; b: (c: number) => void } | null", False, True), ("U{k}", "TYPE_ALIAS", 27, 27, "string", False, False),
+    ]),
     ("python", _PYTHON, [
         ("K{k}", "CLASS", 4, 12, "(Base, Other)", False, True), ("limit", "ARROW_FUNCTION", 5, 5, "(x, y)", False, False), ("go", "METHOD", 7, 9, "(a: int, b=2) -> int", True, False),
         ("_hid", "METHOD", 11, 12, "()", False, False), ("top{k}", "FUNCTION", 14, 16, "(a, b)", False, True), ("_p", "FUNCTION", 17, 18, "()", False, False),

@@ -22,11 +22,11 @@ from .lines import complexity, complexity_score
 FALLBACK_LINES = 10
 JS_FILES = ("javascript", "typescript")
 
-# fixed values: words that name no function
+# fixed values: words that name no unit of JavaScript or TypeScript
 JS_RESERVED = frozenset(
     "if for while switch catch function class new return throw try typeof void delete instanceof in do else case break continue default finally with "
-    "debugger yield await super this null true false import export extends implements interface enum abstract lock using foreach sizeof nameof "
-    "checked unchecked fixed synchronized record struct undefined NaN Infinity type namespace module declare as from get set constructor".split()
+    "debugger yield await super this null true false undefined NaN Infinity import export extends implements interface type enum namespace module "
+    "declare abstract as from get set".split()
 )
 
 _SLASH = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
@@ -62,10 +62,6 @@ class Source:
         """The same for the first brace from ``at`` on."""
         return self.block_end(self.code.find("{", at))
 
-    def next_brace(self, at: int, stop: str = ";") -> int | None:
-        m = re.compile(r"[{" + re.escape(stop) + "]").search(self.code, at)
-        return m.start() if m and m.group() == "{" else None
-
     def indented_end(self, line: int) -> int:
         """The last line, but for blank ones, before the next that is indented no more than ``line``.
 
@@ -86,49 +82,61 @@ def _signature(parameters: str, returns: str) -> str:
     return f"({parameters}): {returns}" if returns else f"({parameters})"
 
 
-_JS_FUNCTION = re.compile(r"(export\s+(?:default\s+)?)?(async\s+)?function\s*\*?\s*(\w+)\s*(?:<[^>(]*>)?\s*\(([^)]*)\)\s*(?::\s*([^{;]+?))?\s*\{")
-_JS_ARROW = re.compile(r"(export\s+)?(?:const|let)\s+(\w+)\s*(?::\s*[^=;]+)?=\s*(async\s*)?(?:<[^>(]*>)?\(([^)]*)\)\s*(?::\s*([^=]+?))?\s*=>")
-_JS_CLASS = re.compile(r"(export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+(\w+)(?:<[^>{]*>)?((?:\s+extends\s+[\w.<>, ]+?)?(?:\s+implements\s+[^{]+?)?)\s*\{")
-_JS_METHOD = re.compile(r"(?<![\w.])((?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*)\*?(\w+)\s*(?:<[^>(]*>)?\(([^)]*)\)\s*(?::\s*([^{;]+?))?\s*\{")
-_JS_INTERFACE = re.compile(r"(export\s+)?interface\s+(\w+)(?:<[^>{]*>)?(?:\s+extends\s+([^{]+?))?\s*\{")
-_JS_ENUM = re.compile(r"(export\s+)?(?:const\s+)?enum\s+(\w+)\s*\{")
-_JS_ALIAS = re.compile(r"(export\s+)?type\s+(\w+)\s*(?:<[^>=]*>)?\s*=\s*")
+_JS_FUNCTION = re.compile(r"(export\s+)?(?:async\s+)?function\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)(?:\s*:\s*([^{]+))?\s*\{", re.A)
+_JS_ARROW = re.compile(r"(export\s+)?(?:const|let)\s+(\w+)\s*(?::\s*[^=]+)?\s*=\s*(?:async\s*)?\(([^)]*)\)\s*(?::\s*([^=]+))?\s*=>", re.A)
+_JS_CLASS = re.compile(r"(export\s+)?(?:abstract\s+)?class\s+(\w+)(?:<[^>]*>)?(?:\s+extends\s+([\w.<>]+))?(?:\s+implements\s+([^{]+))?\s*\{", re.A)
+_JS_METHOD = re.compile(r"(?:(?:public|private|protected|static|async|readonly|override)\s+)*(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)\s*(?::\s*([^{]+))?\s*\{", re.A)
+_JS_INTERFACE = re.compile(r"(export\s+)?interface\s+(\w+)(?:\s+extends\s+([^{]+))?\s*\{", re.A)
+_JS_ENUM = re.compile(r"(export\s+)?(?:const\s+)?enum\s+(\w+)\s*\{", re.A)
+_JS_ALIAS = re.compile(r"(export\s+)?type\s+(\w+)\s*(?:<[^>]*>)?\s*=", re.A)
+#: Lines that an arrow function without a block takes after its first, if there are so many.
+EXPRESSION_LINES = 5
+ALIAS_CHARS = 100
+
+
+def _alias_end(s: Source, at: int) -> int | None:
+    """The semicolon outside braces and parentheses that ends an alias."""
+    depth = 0
+    for m in re.compile(r"[{}();]").finditer(s.code, at):
+        if m[0] == ";" and depth == 0:
+            return m.start()
+        depth += (m[0] in "{(") - (m[0] in "})")
+    return None
 
 
 def javascript_units(s: Source) -> Iterator[tuple]:
     """(name, type, first line, last line, signature, async, exported, parent name)."""
     for m in _JS_FUNCTION.finditer(s.code):
-        yield m[3], "FUNCTION", s.line(m.start()), s.block_end(m.end() - 1), _signature(s.cut(m, 4), s.cut(m, 5)), bool(m[2]), bool(m[1]), None
+        yield m[2], "FUNCTION", s.line(m.start()), s.block_end(m.end() - 1), _signature(s.cut(m, 3), s.cut(m, 4)), "async" in m[0], bool(m[1]), None
     for m in _JS_ARROW.finditer(s.code):
-        brace = s.next_brace(m.end())
-        first = s.line(m.start())
-        end = re.compile(r";|\n|\Z").search(s.code, m.end())
-        last = s.block_end(brace) if brace is not None and (brace - m.end() < 2 or end is None or brace < end.start()) else s.line(end.start() if end else m.end())
-        yield m[2], "ARROW_FUNCTION", first, last, _signature(s.cut(m, 4), s.cut(m, 5)), bool(m[3]), bool(m[1]), None
+        first, brace, stop = s.line(m.start()), s.code.find("{", m.end()), s.code.find(";", m.end())
+        if brace >= 0 and (stop < 0 or brace < stop):
+            last = s.block_end(brace)
+        else:
+            last = first + min(EXPRESSION_LINES, s.code.count("\n", m.end()))
+        yield m[2], "ARROW_FUNCTION", first, last, _signature(s.cut(m, 3), s.cut(m, 4)), "async" in m[0], bool(m[1]), None
     for m in _JS_CLASS.finditer(s.code):
         brace = m.end() - 1
         first, last = s.line(m.start()), s.block_end(brace)
-        yield m[2], "CLASS", first, last, " ".join(s.cut(m, 3).split()) or None, False, bool(m[1]), None
-        at, stop = brace + 1, s.close.get(brace, len(s.code))
-        while k := _JS_METHOD.search(s.code, at, stop):
-            at = s.close.get(k.end() - 1, k.end()) + 1
-            if k[2] not in JS_RESERVED:
-                yield k[2], "METHOD", s.line(k.start()), min(last, s.block_end(k.end() - 1)), _signature(s.cut(k, 3), s.cut(k, 4)), "async" in k[1], False, m[2]
-            elif k[2] != "constructor":
-                at = k.end()
+        above = [f"{word} {s.cut(m, i)}" for word, i in (("extends", 3), ("implements", 4)) if s.cut(m, i)]
+        yield m[2], "CLASS", first, last, " ".join(above) or None, False, bool(m[1]), None
+        for k in _JS_METHOD.finditer(s.code, m.start(), s.close.get(brace, len(s.code)) + 1):
+            if k[1] != "constructor":
+                start = s.line(k.start())
+                yield k[1], "METHOD", start, min(last, max(start, s.block_end(k.end() - 1))), _signature(s.cut(k, 2), s.cut(k, 3)), "async" in k[0], False, m[2]
     for m in _JS_INTERFACE.finditer(s.code):
         parents = s.cut(m, 3)
         yield m[2], "INTERFACE", s.line(m.start()), s.block_end(m.end() - 1), f"extends {parents}" if parents else None, False, bool(m[1]), None
     for m in _JS_ENUM.finditer(s.code):
-        inside = s.text[m.end() : s.close.get(m.end() - 1, m.end())]
-        members = [x.split("=")[0].strip() for x in inside.split(",")]
-        yield m[2], "ENUM", s.line(m.start()), s.block_end(m.end() - 1), ", ".join(x for x in members if re.fullmatch(r"\w+", x)) or None, False, bool(m[1]), None
+        end = s.close.get(m.end() - 1)
+        inside = [] if end is None else [x.strip() for x in re.split(r"[,\n]", s.text[m.end() : end])]
+        members = [y for x in inside if x and (y := re.split(r"[\s=]", x)[0])]
+        yield m[2], "ENUM", s.line(m.start()), s.block_end(m.end() - 1), f"{{ {', '.join(members)} }}" if members else None, False, bool(m[1]), None
     for m in _JS_ALIAS.finditer(s.code):
-        brace = s.next_brace(m.end())
-        end = s.close.get(brace) if brace is not None and not s.code[m.end() : brace].strip() else None
-        stop = re.compile(r";|\n\s*\n|\n(?=\S)|\Z").search(s.code, (end or m.end()))
-        value = " ".join(s.text[m.end() : stop.start()].split())
-        yield m[2], "TYPE_ALIAS", s.line(m.start()), s.line(max(m.start(), stop.start() - (stop.group() == "" and 1 or 0))), value[:100] or None, False, bool(m[1]), None
+        end = _alias_end(s, m.end())
+        value = (s.text[m.end() : end] if end is not None else s.text[m.end() :].split("\n")[0]).strip()
+        first = s.line(m.start())
+        yield m[2], "TYPE_ALIAS", first, first if end is None else s.line(end), value[:ALIAS_CHARS] or None, False, bool(m[1]), None
 
 
 _PY_DEF = re.compile(r"^([ \t]*)(async[ \t]+)?def[ \t]+(\w+)[ \t]*\(([^)]*)\)(?:[ \t]*->[ \t]*([^:\n]+))?[ \t]*:", re.M | re.A)

