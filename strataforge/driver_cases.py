@@ -305,6 +305,25 @@ UNIT_CASES = (
         ("P{k}", "CLASS", 17, 17, None, False, True), ("I{k}", "INTERFACE", 18, 19, None, False, False), ("C{k}", "ENUM", 20, 20, None, False, False),
     ]),
 )
+#: language, body, and (callee, line, async) of each call in it
+CALL_CASES = (
+    ("typescript", "async function run{k}(a) {\n  /* no( */ const x = new Foo{k}(a);\n  await this.load{k}(x);\n  await a.b.c(1); return $(y);\n  if (ok{k}()) { a.c(); super.x(); }\n  // skip{k}()\n  /* x()\n  y() */ z{k}()\n}", [
+        ("run{k}", 1, False), ("new Foo{k}", 2, False), ("this.load{k}", 3, True), ("a.b.c", 4, True), ("b.c", 4, False), ("ok{k}", 5, False), ("a.c", 5, False), ("z{k}", 8, False),
+    ]),
+)
+#: language, body, and (event, direction, framework, line) of each flow in it
+EVENT_CASES = (
+    ("typescript", "bus.emit(\n  'e{k}', x);\nsocket.on(\"m{k}\", f);\nel.dispatchEvent(\n  new CustomEvent('c{k}'));\n// bus.emit('n')\nsub.publish('p{k}'); el.addEventListener('a{k}', f); q.once('o{k}'); store.dispatch(x)", [
+        ("e{k}", "emit", "node-events", 1), ("m{k}", "subscribe", "socket.io", 3), ("c{k}", "emit", "dom-events", 4), ("p{k}", "emit", "pub-sub", 7), ("a{k}", "subscribe", "dom-events", 7), ("o{k}", "subscribe", "node-events", 7),
+    ]),
+)
+#: language, text, and (target, type, names) of each import in it
+SCRIPT_IMPORT_CASES = (
+    ("typescript", "import d{k}, { e } from './no';\nimport { f as g, type H } from '../b{k}/';\nimport * as n from '/abs/c{k}';\nconst { q, r } = require('./q{k}');\nlet s = require(\"./s\");\nawait import('./dyn{k}');\n"
+     "export * from './re{k}';\nexport { z } from './a';\nimport type T from './no';\nimport ext from 'lib';\nimport two from './a';", [
+        ("b{k}/", "NAMED", "f,H"), ("d//abs/c{k}", "NAMESPACE", "n"), ("d/q{k}", "NAMED", "q,r"), ("d/s", "DEFAULT", "s"), ("d/dyn{k}", "DYNAMIC", ""), ("d/re{k}", "NAMED", ""), ("d/a", "NAMED", ""), ("d/a", "DEFAULT", "two"),
+    ]),
+)
 #: language, body, and its conditionals, loops, depth, handlers, async patterns and callbacks
 COMPLEXITY_CASES = (
     ("typescript", "async function f(a) {\n  for (const x of a) {\n    while (b) { try { g(); } catch (e) { h(); } finally { } }\n  }\n  if (a) { } else if (b) { }\n  const y = a ? 1 : 2;\n"
@@ -381,6 +400,26 @@ def e_units_languages(spark, sf_dir):
     return found.select(k.alias("k"), "name", "unit_type", "line_start", "line_end", "signature", "is_async", "is_exported")
 
 
+def case_bodies(spark: SparkSession, sf_dir: str, cases: tuple) -> DataFrame:
+    return case_files(spark, sf_dir, cases).select(F.col("k").alias("unit_id"), "language", F.col("content").alias("body"))
+
+
+@query(expected(CALL_CASES, "callee line_number is_async"))
+def e_calls_cases(spark, sf_dir):
+    return lines.function_calls(case_bodies(spark, sf_dir, CALL_CASES)).select(F.col("caller_unit_id").alias("k"), F.col("callee_name").alias("callee"), "line_number", "is_async")
+
+
+@query(expected(EVENT_CASES, "event_name direction framework line_number"))
+def e_events_cases(spark, sf_dir):
+    return lines.event_flows(case_bodies(spark, sf_dir, EVENT_CASES)).select(F.col("code_unit_id").alias("k"), "event_name", "direction", "framework", "line_number")
+
+
+@query(expected(SCRIPT_IMPORT_CASES, "target_file import_type names"))
+def e_imports_script(spark, sf_dir):
+    found = lines.js_imports(case_files(spark, sf_dir, SCRIPT_IMPORT_CASES))
+    return found.select(F.regexp_extract("source_file", "([0-9]+)", 1).cast("long").alias("k"), "target_file", "import_type", F.array_join("imported_names", ",").alias("names"))
+
+
 @query(expected(COMPLEXITY_CASES, "conditionals loops max_nesting_depth try_catch_blocks async_patterns callback_depth"))
 def e_complexity_languages(spark, sf_dir):
     f = case_files(spark, sf_dir, COMPLEXITY_CASES)

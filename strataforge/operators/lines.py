@@ -14,6 +14,8 @@ from ..schemas import CALLABLE_TYPES, FIELD_TYPES, stable_id
 B = r"(?<![A-Za-z0-9_])"  # a word begins
 E = r"(?![A-Za-z0-9_])"  # a word ends
 NAME = r"[A-Za-z_$][A-Za-z0-9_]*"
+# Where a word begins or, before a dollar sign, ends.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 # fixed values: words before a parenthesis that are no calls
 NO_CALL = ("if", "for", "while", "switch", "catch", "return", "throw", "typeof", "instanceof", "import", "require", "else", "do", "delete", "void", "in", "of", "case", "yield", "function", "class", "super")
@@ -97,13 +99,14 @@ def function_calls(bodies: DataFrame) -> DataFrame:
     line = lines_of(bodies.select("unit_id", without_block_comments(F.col("body")).alias("body"))).where(~F.ltrim("line").startswith("//"))
     text = F.col("line")
     call = lambda names, is_async: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(is_async).alias("is_async")))
-    skip = lambda a: F.filter(a, lambda n: ~n.isin(*NO_CALL) & ~F.substring_index(n, ".", 1).isin(*NO_CALL))
+    named = lambda a: F.filter(a, lambda n: ~n.isin(*NO_CALL))
+    skip = lambda a: F.filter(named(a), lambda n: ~F.substring_index(n, ".", 1).isin(*NO_CALL))
     made = F.transform(F.regexp_extract_all(text, F.lit(rf"{B}new\s+([A-Z_$][A-Za-z0-9_]*)\s*\("), F.lit(1)), lambda n: F.concat(F.lit("new "), n))
     awaited = F.regexp_extract_all(text, F.lit(rf"{B}await\s+({NAME}(?:\.{NAME})*)\s*\("), F.lit(1))
     own = F.regexp_extract_all(text, F.lit(rf"{B}(this\.{NAME})\s*\("), F.lit(1))
-    method = F.filter(F.regexp_extract_all(text, F.lit(rf"{B}({NAME}\.{NAME})\s*\("), F.lit(1)), lambda n: ~n.startswith("this."))
-    plain = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_])(?<!\.)(?<!\.\s)(?<!new\s)(?<!await\s)({NAME})\s*\("), F.lit(1))
-    found = line.select("unit_id", "line_number", F.explode(F.concat(call(made, False), call(skip(awaited), True), call(own, False), call(skip(method), False), call(skip(plain), False))).alias("c"))
+    method = F.filter(F.regexp_extract_all(text, F.lit(rf"{EDGE}({NAME}\.{NAME})\s*\("), F.lit(1)), lambda n: ~n.startswith("this."))
+    plain = F.regexp_extract_all(text, F.lit(rf"{EDGE}(?<!\.)(?<!\.\s)(?<!new\s)(?<!new\s\s)(?<!await\s)({NAME})\s*\("), F.lit(1))
+    found = line.select("unit_id", "line_number", F.explode(F.concat(call(made, False), call(named(awaited), True), call(own, False), call(skip(method), False), call(named(plain), False))).alias("c"))
     return found.groupBy(F.col("unit_id").alias("caller_unit_id"), F.col("c.name").alias("callee_name"), "line_number").agg(F.bool_or("c.is_async").alias("is_async"))
 
 
@@ -139,7 +142,10 @@ def _events(number: int, pattern: str, framework: str, direction: str) -> Column
 
 def event_flows(bodies: DataFrame, named_only: bool = True) -> DataFrame:
     """(code_unit_id, event_name, direction, framework, line_number, ord); ``ord`` keeps the rules' order in a line."""
-    line = lines_of(bodies.select("unit_id", "body")).where(~F.ltrim("line").rlike(r"\A(//|/\*|\*)"))
+    # A name on a later line than its call moves up to it; the breaks between follow.
+    joined = F.regexp_replace("body", r"\((\s*\n\s*)new\s+CustomEvent\(", r"(new CustomEvent($1")
+    joined = F.regexp_replace(joined, r"\((\s*\n\s*)('[^'\"]*'|\"[^'\"]*\")", "($2$1")
+    line = lines_of(bodies.select("unit_id", joined.alias("body"))).where(~F.ltrim("line").rlike(r"\A(//|/\*|\*)"))
     rules = [(r"([A-Za-z0-9_]+)\.dispatchEvent\(\s*new\s+CustomEvent\(\s*(?:'([^'\"]*)'|\"([^'\"]*)\")", "dom-events", "emit", True)]
     rules += [(rf"([A-Za-z0-9_]+)\.{m}\(" + (r"\s*(?:'([^'\"]*)'|\"([^'\"]*)\")" if named else "()()"), f, d, named) for m, f, d, named in EVENT_METHODS]
     found = [_events(i, *rule[:3]) for i, rule in enumerate(rules)]
@@ -187,9 +193,10 @@ def env_variables(files: DataFrame) -> DataFrame:
 
 
 def join_path(base: Column, target: Column) -> Column:
-    """A relative import against the importing file's directory."""
-    parts = F.filter(F.concat(F.slice(F.split(base, "/"), F.lit(1), F.size(F.split(base, "/")) - 1), F.split(target, "/")), lambda p: (p != "") & (p != "."))
-    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
+    """A relative import against the importing file's directory; slashes at its ends and twice in a row stay."""
+    folder = F.filter(F.slice(F.split(base, "/"), F.lit(1), F.size(F.split(base, "/")) - 1), lambda p: p != "")
+    parts = F.filter(F.split(target, "/"), lambda p: p != ".")
+    walked = F.aggregate(parts, folder, lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
     return F.array_join(walked, "/")
 
 
