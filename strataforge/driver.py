@@ -79,7 +79,8 @@ def corpus_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def corpus_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = corpus(spark, sf_dir)
-    whole = graph.settle(units.units_with_bodies(files), "units")
+    # What nothing asks for isn't computed.
+    whole = graph.settle(units.units_with_bodies(files).drop("complexity", "complexity_score"), "units")
     return files, whole.drop("body"), units.bodies_of(whole)
 
 

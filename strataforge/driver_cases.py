@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog, analyse
-from .driver import C, CALL_SQL, D_SQL, P_SQL, PATH, U_SQL, area_catalog, catalog, corpus, corpus_bodies, empty, query, t, tree
-from .operators import imports, lines, patterns, ranking, units
+from .driver import C, CALL_SQL, D_SQL, P_SQL, PATH, U_SQL, area_catalog, catalog, corpus, empty, query, t, tree
+from .operators import graph, imports, lines, patterns, ranking, units
 from .plans import reports, tools
 from .sources import files as sources
 from .sources.settings import Settings
@@ -456,8 +456,8 @@ FUNCTION_TEXT = """concat_ws(chr(10), concat('export ', CASE WHEN k % 2 = 0 THEN
 
 
 def corpus_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    files, found, _ = corpus_bodies(spark, sf_dir)
-    return Catalog(spark, {"files": files, "code_units": found})
+    files = corpus(spark, sf_dir)
+    return Catalog(spark, {"files": files, "code_units": graph.settle(units.code_units(files), "units")})
 
 
 @query(f"""SELECT concat('f', k) AS name, 'typescript' AS language, '(a: string, b: number)' AS signature, {FUNCTION_TEXT} AS source FROM {C} WHERE k = 199 OR k BETWEEN 1990 AND 1999""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -133,33 +134,34 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on cycles; the component is its least node.
 
-    Nodes of a component agree on the least node that reaches them, their colour, and on the
-    least node ahead of them. Edges whose ends don't agree are cut, until none is cut: then
-    the least node of what hangs together is colour and goal of all of it, so it reaches all
-    and all reach it. Least is by a hash, so that long ways in the nodes' own order take few rounds.
+    A node's colour is the least node that reaches it, its goal the least ahead of it within
+    its colour. Where both are the same node, it reaches the node and is reached, so they are in
+    one component. Others of a component agree on colour and goal: edges whose ends don't are
+    cut, and what is left goes round again. Least is by a hash, so that long ways in the
+    nodes' own order take few rounds.
     """
     mark = F.struct(F.xxhash64("node").alias("h"), "node")
-    left = cyclic_core(edges.where("src <> dst").select("src", "dst").distinct())
-    n, found = left.count(), None
-    while n:
+    left, parts = cyclic_core(edges.where("src <> dst").select("src", "dst").distinct()), []
+    while not left.isEmpty():
         colour = least_reaching(left, nodes_of(left), "colour", mark)
         inside = left.join(colour.withColumnRenamed("node", "src"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("colour = c2")
         back = settle(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-edges")
-        ahead = least_reaching(back, colour.select("node"), "ahead", mark)
-        kept = back.join(ahead.withColumnRenamed("node", "src"), "src").join(ahead.select(F.col("node").alias("dst"), F.col("ahead").alias("a2")), "dst").where("ahead = a2")
-        kept = settle(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-left")
-        forget(left, back, ahead)
-        left, before, n = kept, n, kept.count()
-        if n == before:
-            least = colour.groupBy("colour").agg(F.min("node").alias("component"))
-            found = colour.join(least, "colour").select("node", "component")
-            break
-        forget(colour)
+        goal = least_reaching(back, colour.select("node"), "goal", mark)
+        known = colour.join(goal, "node")
+        parts.append(settle(known.where("colour = goal").select("node", "colour"), "scc-part"))
+        open_nodes = known.where("colour <> goal").select("node", "goal")
+        kept = back.join(open_nodes.withColumnRenamed("node", "src"), "src").join(open_nodes.select(F.col("node").alias("dst"), F.col("goal").alias("g2")), "dst").where("goal = g2")
+        new = cyclic_core(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        forget(left, colour, back, goal)
+        left = new
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
-    if found is None:
-        return loops.withColumn("component", F.col("node"))
-    alone = loops.join(found, "node", "left_anti").withColumn("component", F.col("node"))
-    return settle(found.unionByName(alone), "scc-found")
+    alone = loops.withColumn("component", F.col("node"))
+    if not parts:
+        return alone
+    found = reduce(DataFrame.unionByName, parts)
+    several = found.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = found.join(several, "colour").select("node", "component")
+    return settle(found.unionByName(alone.join(found.select("node"), "node", "left_anti")), "scc-found")
 
 
 def on_cycle(edges: DataFrame, node) -> DataFrame:
