@@ -48,7 +48,7 @@ HASHES = 3
 SLOTS_PER_GRAM = 8
 MAX_SLOTS = 1 << 22
 #: Characters handled at once in a task; longer texts are taken in parts.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 17
 
 held_out_sql = "coalesce(crc32(cast(doc_id AS string)) % 5 = 0, false)"
 
