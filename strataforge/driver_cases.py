@@ -7,6 +7,8 @@ values in SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -447,6 +449,34 @@ def e_routes(spark, sf_dir):
     return p.select("k", patterns.next_route(path).alias("route"))
 
 
+def write_tree(spark: SparkSession, texts: dict[str, str]) -> str:
+    """A few small files in a new folder that all executors share."""
+    base = f"{graph.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, text in texts.items():
+        out = fs.create(path(f"{base}/{name}"))
+        out.write(bytearray(text.encode()))
+        out.close()
+    return base
+
+
+@query("""SELECT concat('src/n', n_nationkey, '.ts') AS file_path, 'typescript' AS language, length(n_name) + 19 AS n, false AS env_example, false AS schema_file FROM nation
+  UNION ALL SELECT concat('p', n_nationkey, '/__init__.py'), 'python', length(n_name) + 3, false, false FROM nation WHERE n_regionkey = 1
+  UNION ALL SELECT concat('e', n_nationkey, '/.env.example'), NULL, length(n_name) + 3, true, false FROM nation WHERE n_regionkey = 2
+  UNION ALL SELECT concat('db ', n_nationkey, '/s.prisma'), NULL, length(n_name) + 9, false, true FROM nation WHERE n_regionkey = 3""")
+def s_read_files(spark, sf_dir):
+    texts = {}
+    for r in t(spark, sf_dir, "nation").collect():  # 25 rows
+        k, name, region = r["n_nationkey"], r["n_name"], r["n_regionkey"]
+        texts[f"src/n{k}.ts"] = f"export const {name} = 1;\n"
+        texts[f"node_modules/{k}.js"] = texts[f".git/{k}.ts"] = name
+        texts |= {1: {f"p{k}/__init__.py": f"{name}=1\n"}, 2: {f"e{k}/.env.example": f"{name}=1\n"}, 3: {f"db {k}/s.prisma": f"model {name} {{}}"}}.get(region, {})
+    found = sources.read_files(spark, write_tree(spark, texts))
+    path = F.col("file_path")
+    return found.select("file_path", "language", F.length("content").alias("n"), sources.is_env_example(path).alias("env_example"), sources.is_schema_file(path).alias("schema_file"))
+
+
 # ---------------------------------------------------------------- composites
 
 FUNCTION_TEXT = """concat_ws(chr(10), concat('export ', CASE WHEN k % 2 = 0 THEN 'async ' ELSE '' END, 'function f', k, '(a: string, b: number) {'),
