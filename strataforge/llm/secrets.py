@@ -60,8 +60,10 @@ DICTIONARY = (
     "week width window winter word work world write year your zone"
 ).split()
 
-#: Pairs of letters that follow each other in dictionary words.
-PAIRS = sorted({w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1)})
+#: Where two letters follow each other, and where they do so in some dictionary word.
+PAIR = "(?i)(?=[a-z]{2})"
+_AFTER = {a: "".join(sorted({w[i + 1] for w in DICTIONARY for i in range(len(w) - 1) if w[i] == a})) for a in "abcdefghijklmnopqrstuvwxyz"}
+USUAL_PAIR = f"(?i)(?={'|'.join(f'{a}[{b}]' for a, b in _AFTER.items() if b)})"
 
 
 def _share(pattern: str) -> Column:
@@ -76,8 +78,7 @@ def features() -> dict[str, Column]:
     pieces = F.filter(F.split(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+", -1), lambda p: F.length(p) >= 3)
     known = F.aggregate(F.filter(pieces, lambda p: p.isin(DICTIONARY)), F.lit(0), lambda n, p: n + F.length(p))
     runs = F.length(F.regexp_replace(classes, r"(.)\1*", "x"))
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.lower(F.substring(c, i, F.lit(2)))), lambda p: p.rlike(r"\A[a-z]{2}\z"))
-    usual = F.size(F.filter(pairs, lambda p: p.isin(PAIRS))) / F.greatest(F.size(pairs), F.lit(1))
+    usual = F.regexp_count(c, F.lit(USUAL_PAIR)) / F.greatest(F.regexp_count(c, F.lit(PAIR)), F.lit(1))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return {
         "length": F.length(c).cast("double"),
@@ -173,7 +174,8 @@ def fit(findings: DataFrame):
 
 def train(findings: DataFrame) -> list[Column]:
     """The trees of a forest fitted on labelled findings, as expressions of the features' names."""
-    return [_compile(t.toDebugString, list(features())) for t in fit(findings).trees]
+    names = list(features())
+    return [_compile(t.toDebugString, names) for t in fit(findings).trees]
 
 
 def _compile(described: str, names: list[str]) -> Column:
