@@ -28,13 +28,6 @@ JS_COUNTS = {
     "try_catch_blocks": (rf"{B}try\s*\{{", rf"{B}catch\s*\(", rf"{B}finally\s*\{{"),
     "async_patterns": (rf"{B}async\s+", rf"{B}await\s+", r"new\s+Promise\s*\(", r"\.then\s*\(", r"\.catch\s*\(", r"Promise\.(?:all|race|allSettled|any)\s*\("),
 }
-COUNTS = {
-    "conditionals": (rf"{B}if\s*\(", rf"{B}else\s+if\s*\(", rf"{B}switch\s*\(", rf"{B}case\s+", r"\?[^?:]+:"),
-    "loops": (rf"{B}for\s*\(", rf"{B}while\s*\(", rf"{B}do\s*\{{", *(rf"\.{m}\s*\(" for m in ("forEach", "map", "filter", "reduce", "find", "some", "every")), rf"{B}for\s*\([^)]*\s+of\s+", rf"{B}for\s*\([^)]*\s+in\s+"),
-    "try_catch_blocks": (rf"{B}try\s*\{{", rf"{B}catch\s*\(", rf"{B}finally\s*\{{"),
-    "async_patterns": (rf"{B}async\s+", rf"{B}await\s+", r"new\s+Promise\s*\(", r"\.then\s*\(", r"\.catch\s*\(", r"Promise\.(?:all|race|allSettled|any)\s*\("),
-}
-BRACE_TRY = (rf"{B}try\s*\{{", rf"{B}catch\s*\(", rf"{B}finally\s*\{{")
 COUNTS = {
     "javascript": JS_COUNTS,
     "typescript": JS_COUNTS,
@@ -332,12 +325,6 @@ def slice_lines(content: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(lines, first, F.greatest(F.least(end, F.size(lines)) - first + 1, F.lit(0))), "\n")
 
 
-def unit_bodies(units: DataFrame, files: DataFrame) -> DataFrame:
-    """(unit_id, unit_type, language, body); the body is null where the file isn't there."""
-    joined = units.select(F.col("id").alias("unit_id"), "file_path", "unit_type", "language", "line_start", "line_end").join(files.select("file_path", "content"), "file_path", "left")
-    return joined.select("unit_id", "unit_type", "language", slice_lines(F.col("content"), F.col("line_start"), F.col("line_end")).alias("body"))
-
-
 def deep_rows(bodies: DataFrame) -> dict[str, DataFrame]:
     """Calls, events and guards of callables, and fields of types, as catalog tables."""
     run = bodies.where(F.col("body").isNotNull() & F.col("unit_type").isin(*CALLABLE_TYPES))

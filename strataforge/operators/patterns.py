@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ACCESS, stable_id
-from .lines import B, E, sql_columns
+from .lines import B, sql_columns
 
 
 class Rule(NamedTuple):
