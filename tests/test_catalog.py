@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from strataforge import driver, driver_cases
 from strataforge.catalog import Catalog, analyse
 from strataforge.operators import ranking, resolve
 from strataforge.plans import reports, tools
@@ -190,3 +192,13 @@ def test_run_history(spark):
     c.tables["analysis_results"] = c.record_run(full)
     c.tables["analysis_results"] = c.record_run(full)
     assert c.latest_run().first()["id"] == 2
+
+
+def test_search_query_finds_what_its_sql_lists_among_many_hits(spark, tmp_path):
+    keys = [5, 199, *range(1990, 2000), *range(19900, 20000)]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = driver_cases.q03_search_source(spark, str(tmp_path)).collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+        want = con.execute(driver.SQL["q03_search_source"]).fetchall()
+    assert len(want) == 11 and sorted(map(tuple, got)) == sorted(want)
