@@ -202,3 +202,14 @@ def test_search_query_finds_what_its_sql_lists_among_many_hits(spark, tmp_path):
         con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
         want = con.execute(driver.SQL["q03_search_source"]).fetchall()
     assert len(want) == 11 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_dependency_lines_are_taken_by_number(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"a{i:02}", f"b{j:02}") for i in range(12) for j in range(15)], "source_file string, target_file string")
+    monkeypatch.setattr(driver_cases, "catalog", lambda spark, sf_dir: Catalog(spark, {"file_dependencies": driver.empty(spark, "file_dependencies", edges)}))
+    text_lines = driver_cases.text_lines
+    # Executors send their lines in any order.
+    monkeypatch.setattr(driver_cases, "text_lines", lambda spark, text: text_lines(spark, text).orderBy(F.desc("line_number")))
+    got = sorted(map(tuple, driver_cases.r07_dependencies(spark, "").collect()))
+    assert [n for n, _ in got] == list(range(20))
+    assert got[0][1] == "# Dependencies" and got[2][1] == "- b00 (imported by 12 files)"
